@@ -1,0 +1,4 @@
+"""The queries of the engine, each with its SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
