@@ -8,8 +8,10 @@ import re
 from array import array
 from functools import lru_cache
 
+#: How the last token of a word ends in the vocabulary; words encoded as one text.
+WORD_END, TOGETHER = "</w>", 64
 #: A chunk table forgets the older half beyond this many entries (about 100 MB a worker).
-CHUNKS = 250_000
+CHUNKS = 300_000
 
 
 class Chunks:
@@ -50,13 +52,35 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        import numpy as np
+
         self.tokenizer, self.added, self.width = Tokenizer.from_file(path), added, width
-        self.chunks = Chunks(self._many)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for v, i in vocab.items() if v.endswith(WORD_END)]] = True
+        self.chunks = Chunks(self._chunks)
         self.chunks.new[""] = b""
 
     def _many(self, texts: list[str]) -> list[bytes]:
         return [array(self.width, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Chunks of letters only are one word each, so many are encoded as one text and told apart
+        by the word ends; the others go one by one."""
+        words = [c for c in chunks if c.isalpha()]
+        others = [c for c in chunks if not c.isalpha()]
+        found = dict(zip(others, self._many(others), strict=True))
+        lines = [" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        for i, e in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = array(self.width, e.ids)
+            part, raw, size = words[i * TOGETHER : (i + 1) * TOGETHER], ids.tobytes(), ids.itemsize
+            ends = ((self.last[ids].nonzero()[0] + 1) * size).tolist()
+            if len(ends) == len(part):
+                found.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:
+                found.update(zip(part, self._many(part), strict=True))
+        return [found[c] for c in chunks]
+
     def _split(self, text: str) -> list[str] | None:
         if any(a in text for a in self.added):
             return None
