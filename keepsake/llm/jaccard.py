@@ -24,7 +24,7 @@ from . import common
 
 #: Fixed values of the shingle hash (odd 64-bit constants).
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)
-SKETCH_BITS, CHUNK_BITS, BUCKETS = 22, 16, 1 << 18
+SKETCH_BITS, CHUNK_BITS, BUCKETS, PARITY = 22, 16, 1 << 18, 512
 
 
 def shingle_set(text: str, size: int = 3):
@@ -55,6 +55,15 @@ def _class_of(shingles) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _parity(shingles):
+    """PARITY bits, each the parity of the shingles that fall to it. Every shingle that two sets don't
+    share turns at most one bit, so sets differ by at least the bits in which their parities do."""
+    import numpy as np
+
+    odd = np.bincount(shingles >> 32 & (PARITY - 1), minlength=PARITY).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _needed(n: int, percent: int) -> int:
     """Shingles that any partner shares with a set of n."""
     return -(-percent * n // 100)
@@ -70,33 +79,51 @@ def classes_and_sketch(docs: DataFrame, size: int) -> DataFrame:
 
         counts, pending, held = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
         for b in batches:
-            n, cls = [], []
+            n, cls, parity = [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, size)
                 n.append(len(s))
                 cls.append(_class_of(s) if len(s) else None)
+                parity.append(_parity(s))
                 pending.append(s)
                 held += len(s)
                 if held > 1 << 20:
                     counts += np.bincount(np.concatenate(pending) & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32)
                     pending, held = [], 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         if pending:
             counts += np.bincount(np.concatenate(pending) & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32)
         parts = [(c, p) for c, p in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)) if p.any()]
         if parts:
             m, none = len(parts), pa.nulls
-            yield pa.RecordBatch.from_arrays([none(m, key), none(m, pa.int64()), none(m, pa.int64()), pa.array([c for c, _ in parts], pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for _, p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none(m, key), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.list_(pa.int64())), pa.array([c for c, _ in parts], pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for _, p in parts], pa.binary())], names=names)
 
-    names = ["doc_id", "n", "class", "chunk", "counts"]
+    names = ["doc_id", "n", "class", "parity", "chunk", "counts"]
     from pyspark.sql.pandas.types import to_arrow_type
 
     key = to_arrow_type(docs.schema["doc_id"].dataType)
-    return docs.select("doc_id", common.text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n long, class long, chunk int, counts binary")
+    return docs.select("doc_id", common.text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n long, class long, parity array<long>, chunk int, counts binary")
+
+
+def shingle_counts(shingles: DataFrame) -> DataFrame:
+    """(chunk, counts): per task the counts of a shingle column by hash bucket, packed."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        for b in batches:
+            counts += np.bincount(b.column(0).to_numpy() & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32)
+        parts = [(c, zlib.compress(p.tobytes(), 1)) for c, p in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)) if p.any()]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["chunk", "counts"])
+
+    return shingles.mapInArrow(run, "chunk int, counts binary")
 
 
-def list_lengths(parts: DataFrame) -> bytes:
-    """The sketch of the whole corpus: 2**SKETCH_BITS 32-bit counts (16 MB, whatever the input)."""
+def merged(parts: DataFrame) -> bytes:
+    """Packed counts of all tasks, added up: 2**SKETCH_BITS 32-bit counts (16 MB, whatever the input)."""
 
     def add(batches):
         import numpy as np
@@ -111,7 +138,7 @@ def list_lengths(parts: DataFrame) -> bytes:
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "counts": pa.array([zlib.compress(np.minimum(s, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)], pa.binary())})
 
     chunks = 1 << (SKETCH_BITS - CHUNK_BITS)
-    rows = parts.where("chunk IS NOT NULL").select("chunk", "counts").repartition(chunks, "chunk").mapInArrow(add, "chunk int, counts binary")
+    rows = parts.select("chunk", "counts").repartition(chunks, "chunk").mapInArrow(add, "chunk int, counts binary")
     empty = bytes(4 << CHUNK_BITS)
     by = {c: zlib.decompress(bytes(x)) for c, x in rows.collect()}
     return b"".join(by.get(c, empty) for c in range(chunks))
@@ -153,6 +180,27 @@ def short_lists(docs: DataFrame, lengths: bytes, size: int, percent: int) -> Dat
     return docs.select(common.text_of().alias("text")).mapInArrow(run, "shingle long, class long, n long")
 
 
+def shared_lists(short: DataFrame) -> DataFrame:
+    """The short lists with two classes or more: (shingle, class, n, low, high), low and high being the
+    list's end classes. Most lists have one class; a sketch of fixed size of those that have more
+    spares the join the entries of nearly all others."""
+    ends = short.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    ends = common.stash(ends, "ends")
+    counts = merged(shingle_counts(ends.select("shingle")))
+    sent = short.sparkSession.sparkContext.broadcast(zlib.compress(counts, 1))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        there = np.frombuffer(zlib.decompress(sent.value), np.uint32) > 0
+        for b in batches:
+            yield b.filter(pa.array(there[b.column(0).to_numpy() & ((1 << SKETCH_BITS) - 1)]))
+
+    likely = short.mapInArrow(run, short.schema)
+    return likely.join(ends, "shingle").groupBy("shingle", "class").agg(*(F.first(c).alias(c) for c in ("n", "low", "high")))
+
+
 def class_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     """(class, items) of the classes in reps (class, doc_id of a member). Two semi-joins with at most
     BUCKETS numbers spare most other documents the work; the join with the classes is exact."""
@@ -175,6 +223,16 @@ def class_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     return sets.groupBy("class").agg(F.first("items").alias("items"))
 
 
+def close_by(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parities allow: with u shingles in both sets together, at most
+    u * (100 - percent) / (100 + percent) can be in one of them only."""
+    a = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    b = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return both.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+
 def probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the required overlap: b's shingles are looked up in a's
     sorted ones by binary search, block by block, until the overlap is out of reach."""
@@ -190,8 +248,8 @@ def probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             oy, vy = y.offsets.to_numpy(), y.values.to_numpy()
             for i in range(batch.num_rows):
                 p, q = vx[ox[i] : ox[i + 1]], vy[oy[i] : oy[i + 1]]
-                total, need, got, at = len(p) + len(q), 0, 0, 0
-                need = -(-percent * total // (100 + percent))  # overlap at which 100 * overlap >= percent * union
+                got, at = 0, 0
+                need = -(-percent * (len(p) + len(q)) // (100 + percent))  # then 100 * overlap >= percent * union
                 while at < len(q) and got + len(q) - at >= need:
                     block = q[at : at + 128]
                     where = np.searchsorted(p, block)
@@ -205,6 +263,14 @@ def probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the candidate pairs that are links, in a stored table."""
+    near = common.stash(close_by(pairs, classes, percent), "near")
+    in_pairs = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    reps = common.stash(classes.select("class", "doc_id").join(in_pairs, "class", "left_semi"), "reps")
+    return common.stash(probe(near, class_sets(docs, reps, size), percent), "linked")
+
+
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
@@ -215,30 +281,21 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     known by a 64-bit hash of its set, a shingle by one of its words."""
     rows = common.stash(classes_and_sketch(docs, size), "classes")
     members = rows.where("chunk IS NULL").select("doc_id", "n", "class")
-    classes = common.stash(members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "class")
-    short = common.stash(short_lists(docs, list_lengths(rows), size, percent), "short")
-
-    end = F.struct("class", "n")
-    ends = short.groupBy("shingle").agg(F.min(end).alias("low"), F.max(end).alias("high")).where("low.class < high.class")
-    lists = common.stash(short.join(ends, "shingle").distinct(), "lists")
-    sizes = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    star = (
-        lists.select("class", "n", F.explode(F.array("low", "high")).alias("end"))
-        .select(F.least("class", "end.class").alias("a"), F.greatest("class", "end.class").alias("b"), "n", F.col("end.n").alias("m"))
-        .where("a < b").where(sizes).select("a", "b").distinct()
-    )
-    in_lists = lists.select("class").distinct()
-    sets = common.stash(class_sets(docs, classes.join(in_lists, "class", "left_semi"), size), "sets")
-    links = common.stash(probe(star, sets, percent), "linked")
+    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+    classes = common.stash(classes, "class")
+    short = common.stash(short_lists(docs, merged(rows.where("chunk IS NOT NULL")), size, percent), "short")
+    lists = common.stash(shared_lists(short), "lists")
+
+    ends = lists.select("class", F.explode(F.array("low", "high")).alias("end")).where("class <> end")
+    star = ends.select(F.least("class", "end").alias("a"), F.greatest("class", "end").alias("b")).distinct()
+    links = linked(docs, star, classes, size, percent)
     root = common.components(links)
 
-    # What is left: pairs of a list that are still in different components and were not ends.
+    # What is left: pairs of a list whose classes are in different components and not the list's ends.
     placed = lists.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     open_ = placed.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("shingle")
-    # A list's members other than its two ends, of the lists that are not in one component.
-    inner = common.stash(
-        placed.join(open_, "shingle", "left_semi").where("class <> low.class AND class <> high.class").select("shingle", "class", "n", "root"), "inner"
-    )
+    inner = placed.join(open_, "shingle", "left_semi").where("class <> low AND class <> high").select("shingle", "class", "n", "root")
+    inner = common.stash(inner, "inner")
     x, y = inner.alias("x"), inner.alias("y")
     apart = (
         x.join(y, F.col("x.shingle") == F.col("y.shingle"))
@@ -246,11 +303,11 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
         .where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
         .select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     )
-    more = common.stash(probe(apart, sets, percent), "linked")
+    more = linked(docs, apart, classes, size, percent)
     if more.limit(1).count():
         root = common.components(links.unionAll(more))
 
-    named = classes.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    named = classes.select("class", "doc_id").join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = named.join(smallest, "root").select("class", "component_id")
     out = members.join(ids, "class", "left")

@@ -44,13 +44,14 @@ CUES = {
     "phone": r"(?i)(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|dial)\W*$",
 }
 AGAINST = r"(?i)(?:version|isbn|issn|order|sha|md5|hash|invoice|section|page|figure|build|release|id)\W*(?:no|number|nr)?\W*$"
-BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-IP_PARTS = rf"^{BYTE}(?:\.{BYTE}){{3}}$".replace("0*+", "0*")
+BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+IP_PARTS = rf"^{BYTE}(?:\.{BYTE}){{3}}$"
 
 VOTERS = ["v_check", "v_gazetteer", "v_cue", "v_edge", "v_shape"]
 FEATURES = ["f_length", "f_before", "f_after", "f_digits", "f_marks"]
 #: A first guess at the labelers, on which the iterations improve.
-START = VoteModel(0.6, [0.9, 0.75, 0.9, 0.7, 0.75])
+BALANCE = 0.5
+START = VoteModel(BALANCE, [0.9, 0.75, 0.9, 0.7, 0.75])
 
 
 def _passes(kind: str, m: Column) -> Column:
@@ -118,7 +119,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def described(base: bool, k: str) -> Column:
         col = f"_{'base' if base else 'loose'}_{k}"
-        chosen = spans.kept(F.col(col), lambda x: _passes(k, x["m"]) if base else F.lit(True))
+        chosen = spans.kept(F.col(col), lambda x: _passes(k, x["m"]) if base or k == "card" else F.lit(True))
         return F.transform(
             chosen,
             lambda x: F.struct(
@@ -152,7 +153,7 @@ def fit_spans(found: DataFrame, iterations: int = 15, smooth: float = 1.0) -> Sp
     rows = found.select(F.explode("_spans").alias("x")).select(*(F.get("x.votes", F.lit(j)).alias(v) for j, v in enumerate(VOTERS)), "x.features")
     rows = common.stash(rows.groupBy(*VOTERS, "features").agg(F.count(F.lit(1)).alias("n")), "spans")
     patterns = common.stash(rows.groupBy(*VOTERS).agg(F.sum("n").alias("n")), "patterns")
-    votes = fit_votes(patterns, VOTERS, START, iterations)
+    votes = fit_votes(patterns, VOTERS, START, iterations, balance=BALANCE)
     p = probability(votes.score([F.col(v) for v in VOTERS]))
     weighed = rows.select(F.explode(F.concat(_named_votes(F.array(*VOTERS)), "features")).alias("f"), (F.col("n") * p).alias("yes"), (F.col("n") * (1 - p)).alias("no"))
     sums = weighed.groupBy("f").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()

@@ -11,6 +11,9 @@ from .weaklabel import VoteModel, fit_votes, probability
 #: Fixed values of the base rules.
 SYMBOLS, LEAST_WORDS, MOST_REPEATED = r"[^#*$%&|<>]+", 50, 50
 
+#: Prior share of good documents, for those that no rule speaks about.
+BALANCE = 0.6
+
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -81,8 +84,8 @@ def rules() -> dict[str, Column]:
 
 
 def start_model(voters: int) -> VoteModel:
-    """Most documents are good, and a rule that speaks is mostly right."""
-    return VoteModel(0.8, [0.9] * voters)
+    """A rule that speaks is mostly right."""
+    return VoteModel(BALANCE, [0.9] * voters)
 
 
 def verdict(counted: DataFrame, threshold: float = 0.5, iterations: int = 12) -> tuple[DataFrame, VoteModel]:
@@ -91,7 +94,7 @@ def verdict(counted: DataFrame, threshold: float = 0.5, iterations: int = 12) ->
     voted = counted.withColumns(votes)
     names = list(votes)
     patterns = common.stash(voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "votes")
-    model = fit_votes(patterns, names, start_model(len(names)), iterations)
+    model = fit_votes(patterns, names, start_model(len(names)), iterations, balance=BALANCE)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = voted.withColumn("posterior", probability(model.score([F.col(v) for v in names]))).withColumn("base_failed", failed)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)), model

@@ -37,12 +37,14 @@ def probability(log_odds: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds))
 
 
-def fit_votes(patterns: DataFrame, voters: list[str], start: VoteModel, iterations: int = 15, smooth: float = 2.0, tolerance: float = 1e-3) -> VoteModel:
+def fit_votes(patterns: DataFrame, voters: list[str], start: VoteModel, iterations: int = 15, smooth: float = 2.0, tolerance: float = 1e-3, balance: float | None = None) -> VoteModel:
     """Fit accuracies and prior on patterns (the voters' columns and a count n).
 
-    smooth votes at the start model's accuracies are added to each voter's. Votes are taken to be
+    balance, if given, is the share of positives and isn't fitted: where hardly any row is negative
+    a fitted prior outvotes the voters. smooth votes at the start model's accuracies are added to each voter's. Votes are taken to be
     independent given the class. Without rows the start model comes back."""
-    model, cols = start, [F.col(v) for v in voters]
+    cols = [F.col(v) for v in voters]
+    model = VoteModel(balance or start.prior, start.accuracy)
     for _ in range(iterations):
         p = probability(model.score(cols))
         aims = [F.sum("n").alias("all"), F.sum(F.col("n") * p).alias("pos")]
@@ -53,7 +55,7 @@ def fit_votes(patterns: DataFrame, voters: list[str], start: VoteModel, iteratio
         if not row["all"]:
             return model
         fitted = [(float(row[f"r{j}"]) + smooth * a) / (float(row[f"t{j}"]) + smooth) for j, a in enumerate(start.accuracy)]
-        new = VoteModel(min(0.95, max(0.05, float(row["pos"]) / float(row["all"]))), [min(MOST, max(LEAST, a)) for a in fitted])
+        new = VoteModel(balance or min(0.95, max(0.05, float(row["pos"]) / float(row["all"]))), [min(MOST, max(LEAST, a)) for a in fitted])
         settled = max(abs(a - b) for a, b in zip([new.prior, *new.accuracy], [model.prior, *model.accuracy], strict=True)) < tolerance
         model = new
         if settled:
