@@ -64,7 +64,8 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def rules() -> dict[str, Column]:
     """Each rule votes against (-1) or for (1) a document, or abstains (0). All but the last only
-    know one kind of bad document and say nothing of others."""
+    know one kind of bad document and say nothing of others; the last judges the text as prose, with
+    limits of its own and room to abstain between, and so ties the others' votes together."""
     c = {k: F.col(k) for k in (*COUNTS, "n_lines", "n_capitals", "n_distinct")}
     n = F.greatest(c["n_words"], F.lit(1))
     root = F.sqrt(n)
@@ -80,7 +81,13 @@ def rules() -> dict[str, Column]:
         (n >= 20) & (c["n_symbols"] * 50 <= n) & (c["n_capitals"] * 10 <= c["word_chars"]) & (c["n_repeat_words"] * 5 <= n)
         & (c["n_distinct"] >= root * 4) & c["word_chars"].between(n * 3, n * 9) & (c["n_dup_lines"] * 3 <= c["n_lines"])
     )
-    return {k: F.when(bad, F.lit(-1)).otherwise(F.lit(0)).cast("tinyint") for k, bad in against.items()} | {"v_prose": F.when(prose, F.lit(1)).otherwise(F.lit(0)).cast("tinyint")}
+    noise = (n >= 20) & (
+        (c["n_symbols"] * 20 > n) | (c["n_capitals"] * 5 > c["word_chars"]) | (c["n_repeat_words"] * 2 > n)
+        | (c["n_distinct"] < root * 2.5) | (c["word_chars"] > n * 14)
+    )
+    one = {k: F.when(bad, F.lit(-1)).otherwise(F.lit(0)) for k, bad in against.items()}
+    one["v_prose"] = F.when(prose, F.lit(1)).when(noise, F.lit(-1)).otherwise(F.lit(0))
+    return {k: v.cast("tinyint") for k, v in one.items()}
 
 
 def start_model(voters: int) -> VoteModel:
