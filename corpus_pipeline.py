@@ -1,12 +1,64 @@
-"""The corpus pipeline: quality rules, near duplicates, personal data, mixing, packing."""
+"""The corpus pipeline: quality rules, near duplicates, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns documents' columns, but for the last, which
+returns the packed pieces. Each decision takes effect on what the stage before kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keepsake.llm import common, jaccard, mixing, packing, pii, quality
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the voting rules keep."""
+    scored, _ = quality.score_documents(docs)
+    return scored.where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id; of rows with the same id
+    one stays. Documents without words are nobody's copy."""
+    found = jaccard.jaccard_components(docs.select("doc_id", "text"))
+    stays = common.stash(found.where("component_id = doc_id").select("doc_id").distinct(), "stays")
+    kept = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi")
+    # joined and grouped by the same key: the second step needs no shuffle of its own
+    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), F.xxhash64(F.coalesce("text", F.lit("")))).alias("r"))
+    return one.select("doc_id", "r.*").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by the kind of it."""
+    return pii.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to the sources' target weights takes them."""
+    return mixing.mix_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("source_mix", source_mix),
+    ("best_fit_packing", packed),
+]
 
-STAGES: list = []
+#: SQL has neither the tokenizer nor the fitted models; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents, each stage's result written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = common.stash(stage(spark, docs, sf_dir), name)
+    return docs

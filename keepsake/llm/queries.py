@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, sstable, tokencount
+from . import hnsw, jaccard, mixing, packing, pii, quality, secrets, sstable, tokencount, toxicity
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_token_shards": sstable.op3_token_shards,
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
+    "op5_mix_sources": mixing.op5_mix_sources,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_embedding_near_dedup": hnsw.op7_embedding_near_dedup,
+    "op8_quality_rules": quality.op8_quality_rules,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_token_counts": tokencount.op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_mix_sources": mixing.OP5_SQL}
