@@ -17,14 +17,14 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Fixed values of the shingle hash (odd 64-bit constants).
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)
-SKETCH_BITS, CHUNK_BITS, BUCKETS, PARITY = 22, 16, 1 << 18, 512
+SKETCH_BITS, CHUNK_BITS, BUCKETS, PARITY = 23, 16, 1 << 18, 512
 
 
 def shingle_set(text: str, size: int = 3):
@@ -56,11 +56,13 @@ def _class_of(shingles) -> int:
 
 
 def _parity(shingles):
-    """PARITY bits, each the parity of the shingles that fall to it. Every shingle that two sets don't
-    share turns at most one bit, so sets differ by at least the bits in which their parities do."""
+    """Bits (PARITY, or for large sets the power of two from half their size on), each the parity of
+    the shingles that fall to it. A shingle that two sets don't share turns at most one bit, so sets
+    differ by at least the bits in which parities of one length do."""
     import numpy as np
 
-    odd = np.bincount(shingles >> 32 & (PARITY - 1), minlength=PARITY).astype(np.uint8) & 1
+    bits = max(PARITY, 1 << max(0, len(shingles) // 2 - 1).bit_length())
+    odd = np.bincount(shingles >> 32 & (bits - 1), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
 
 
@@ -77,7 +79,7 @@ def classes_and_sketch(docs: DataFrame, size: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        counts, pending, held = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
+        counts, mask = np.zeros(1 << SKETCH_BITS, np.uint32), (1 << SKETCH_BITS) - 1
         for b in batches:
             n, cls, parity = [], [], []
             for text in b.column(1).to_pylist():
@@ -85,14 +87,8 @@ def classes_and_sketch(docs: DataFrame, size: int) -> DataFrame:
                 n.append(len(s))
                 cls.append(_class_of(s) if len(s) else None)
                 parity.append(_parity(s))
-                pending.append(s)
-                held += len(s)
-                if held > 1 << 20:
-                    counts += np.bincount(np.concatenate(pending) & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                    pending, held = [], 0
+                np.add.at(counts, s & mask, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
-        if pending:
-            counts += np.bincount(np.concatenate(pending) & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32)
         parts = [(c, p) for c, p in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)) if p.any()]
         if parts:
             m, none = len(parts), pa.nulls
@@ -106,7 +102,7 @@ def classes_and_sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def shingle_counts(shingles: DataFrame) -> DataFrame:
-    """(chunk, counts): per task the counts of a shingle column by hash bucket, packed."""
+    """(chunk, counts): per task the counts of a shingle column by other bits of the hash, packed."""
 
     def run(batches):
         import numpy as np
@@ -114,7 +110,7 @@ def shingle_counts(shingles: DataFrame) -> DataFrame:
 
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
-            counts += np.bincount(b.column(0).to_numpy() & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            np.add.at(counts, b.column(0).to_numpy() >> 32 & ((1 << SKETCH_BITS) - 1), 1)
         parts = [(c, zlib.compress(p.tobytes(), 1)) for c, p in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)) if p.any()]
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["chunk", "counts"])
@@ -123,7 +119,8 @@ def shingle_counts(shingles: DataFrame) -> DataFrame:
 
 
 def merged(parts: DataFrame) -> bytes:
-    """Packed counts of all tasks, added up: 2**SKETCH_BITS 32-bit counts (16 MB, whatever the input)."""
+    """Packed counts of all tasks added up, on a logarithmic scale: 2**SKETCH_BITS 16-bit numbers
+    (16 MB, whatever the input), packed."""
 
     def add(batches):
         import numpy as np
@@ -135,13 +132,14 @@ def merged(parts: DataFrame) -> bytes:
                 new = np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.uint64)
                 sums[c] = sums[c] + new if c in sums else new
         for c, s in sums.items():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "counts": pa.array([zlib.compress(np.minimum(s, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)], pa.binary())})
+            scaled = np.minimum(np.round(np.log2(1.0 + s) * 1536), 65535).astype(np.uint16)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "counts": pa.array([zlib.compress(scaled.tobytes(), 1)], pa.binary())})
 
     chunks = 1 << (SKETCH_BITS - CHUNK_BITS)
     rows = parts.select("chunk", "counts").repartition(chunks, "chunk").mapInArrow(add, "chunk int, counts binary")
-    empty = bytes(4 << CHUNK_BITS)
+    empty = bytes(2 << CHUNK_BITS)
     by = {c: zlib.decompress(bytes(x)) for c, x in rows.collect()}
-    return b"".join(by.get(c, empty) for c in range(chunks))
+    return zlib.compress(b"".join(by.get(c, empty) for c in range(chunks)), 1)
 
 
 def short_lists(docs: DataFrame, lengths: bytes, size: int, percent: int) -> DataFrame:
@@ -149,13 +147,13 @@ def short_lists(docs: DataFrame, lengths: bytes, size: int, percent: int) -> Dat
     just written; repeats that other tasks write are put together later. Sets too small to have a
     partner of another size or with other shingles are left out: their only partner is themselves."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(zlib.compress(lengths, 1))
+    sent = spark.sparkContext.broadcast(lengths)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        length = np.frombuffer(zlib.decompress(sent.value), np.uint32)
+        length = np.frombuffer(zlib.decompress(sent.value), np.uint16)
         seen: set[int] = set()
         for b in batches:
             lists, cls, ns = [], [], []
@@ -181,24 +179,22 @@ def short_lists(docs: DataFrame, lengths: bytes, size: int, percent: int) -> Dat
 
 
 def shared_lists(short: DataFrame) -> DataFrame:
-    """The short lists with two classes or more: (shingle, class, n, low, high), low and high being the
-    list's end classes. Most lists have one class; a sketch of fixed size of those that have more
-    spares the join the entries of nearly all others."""
-    ends = short.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    ends = common.stash(ends, "ends")
-    counts = merged(shingle_counts(ends.select("shingle")))
-    sent = short.sparkSession.sparkContext.broadcast(zlib.compress(counts, 1))
+    """(shingle, class, n) of the short lists with two classes or more. Most lists have one class; a
+    sketch of fixed size of those that have more spares the join the entries of nearly all others."""
+    shared = short.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("shingle")
+    shared = common.stash(shared, "shared")
+    sent = short.sparkSession.sparkContext.broadcast(merged(shingle_counts(shared)))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        there = np.frombuffer(zlib.decompress(sent.value), np.uint32) > 0
+        there = np.frombuffer(zlib.decompress(sent.value), np.uint16) > 0
         for b in batches:
-            yield b.filter(pa.array(there[b.column(0).to_numpy() & ((1 << SKETCH_BITS) - 1)]))
+            yield b.filter(pa.array(there[b.column(0).to_numpy() >> 32 & ((1 << SKETCH_BITS) - 1)]))
 
     likely = short.mapInArrow(run, short.schema)
-    return likely.join(ends, "shingle").groupBy("shingle", "class").agg(*(F.first(c).alias(c) for c in ("n", "low", "high")))
+    return likely.join(shared, "shingle").groupBy("shingle", "class").agg(F.first("n").alias("n"))
 
 
 def class_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
@@ -223,14 +219,12 @@ def class_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     return sets.groupBy("class").agg(F.first("items").alias("items"))
 
 
-def close_by(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and parities allow: with u shingles in both sets together, at most
-    u * (100 - percent) / (100 + percent) can be in one of them only."""
-    a = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-    b = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return both.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+def allowed(na: str, pa: str, nb: str, pb: str, percent: int) -> Column:
+    """Whether sizes and parities allow a link: with u shingles in both sets together, at most
+    u * (100 - percent) / (100 + percent) are in one of them only."""
+    differ = F.aggregate(F.zip_with(pa, pb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    few = differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((F.size(pa) != F.size(pb)) | few)
 
 
 def probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -263,9 +257,8 @@ def probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the candidate pairs that are links, in a stored table."""
-    near = common.stash(close_by(pairs, classes, percent), "near")
+def linked(docs: DataFrame, near: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the candidate pairs (a stored table) that are links, in a stored table."""
     in_pairs = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     reps = common.stash(classes.select("class", "doc_id").join(in_pairs, "class", "left_semi"), "reps")
     return common.stash(probe(near, class_sets(docs, reps, size), percent), "linked")
@@ -286,24 +279,26 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     short = common.stash(short_lists(docs, merged(rows.where("chunk IS NOT NULL")), size, percent), "short")
     lists = common.stash(shared_lists(short), "lists")
 
-    ends = lists.select("class", F.explode(F.array("low", "high")).alias("end")).where("class <> end")
-    star = ends.select(F.least("class", "end").alias("a"), F.greatest("class", "end").alias("b")).distinct()
-    links = linked(docs, star, classes, size, percent)
+    most = lists.groupBy("class").agg(F.count(F.lit(1)).alias("in_lists"))
+    pivots = lists.join(most, "class").groupBy("shingle").agg(F.max(F.struct("in_lists", "class", "n")).alias("p"))
+    pivots = common.stash(pivots.select("shingle", F.col("p.class").alias("pivot"), F.col("p.n").alias("m")), "pivots")
+    star = lists.join(pivots, "shingle").where("class <> pivot").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    star = star.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
+    a = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    b = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    near = star.join(a, "a").join(b, "b").where(allowed("na", "pa", "nb", "pb", percent)).select("a", "b")
+    links = linked(docs, common.stash(near, "near"), classes, size, percent)
     root = common.components(links)
 
-    # What is left: pairs of a list whose classes are in different components and not the list's ends.
+    # What is left: pairs of a list whose classes are in different components, neither being its pivot.
     placed = lists.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     open_ = placed.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("shingle")
-    inner = placed.join(open_, "shingle", "left_semi").where("class <> low AND class <> high").select("shingle", "class", "n", "root")
-    inner = common.stash(inner, "inner")
+    inner = placed.join(open_, "shingle", "left_semi").join(pivots, "shingle").where("class <> pivot").select("shingle", "class", "n", "root")
+    inner = common.stash(inner.join(classes.select("class", "parity"), "class"), "inner")
     x, y = inner.alias("x"), inner.alias("y")
-    apart = (
-        x.join(y, F.col("x.shingle") == F.col("y.shingle"))
-        .where("x.class < y.class AND x.root <> y.root")
-        .where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-        .select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    )
-    more = linked(docs, apart, classes, size, percent)
+    apart = F.expr("x.shingle = y.shingle AND x.class < y.class AND x.root <> y.root") & allowed("x.n", "x.parity", "y.n", "y.parity", percent)
+    pairs = x.join(y, apart).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    more = linked(docs, common.stash(pairs, "near"), classes, size, percent)
     if more.limit(1).count():
         root = common.components(links.unionAll(more))
 
