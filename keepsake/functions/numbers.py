@@ -40,7 +40,7 @@ def short_number(n: Column) -> Column:
     tenth = F.regexp_replace(_grouped(F.floor(n * 10 + 0.5) / 10, 1), r"\.$", "")
     return (
         F.when(n.isNull() | F.isnan(n), "-")
-        .when(size >= 1_000_000, F.concat(F.regexp_replace(F.format_number(n / 1_000_000, 1), r"\.0$|,", ""), F.lit("M")))
+        .when(size >= 1_000_000, F.concat(F.regexp_replace(F.format_number(F.floor(n / 100_000 + 0.5) / 10, 1), r"\.0$|,", ""), F.lit("M")))
         .when(size >= 10_000, F.concat(F.floor(n / 1000 + 0.5).cast("string"), F.lit("k")))
         .otherwise(tenth)
     )

@@ -6,7 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from keepsake.functions import dates, names, text
 
@@ -246,7 +246,7 @@ def movie_date(head: Column) -> Column:
     return F.when(F.year(at).between(1990, 2100), at)
 
 
-_EXIF = StructType.fromDDL("taken string, lat double, lon double")
+_EXIF = StructType([StructField("taken", StringType()), StructField("lat", DoubleType()), StructField("lon", DoubleType())])
 
 
 @F.pandas_udf(_EXIF)
