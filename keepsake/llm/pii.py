@@ -184,7 +184,7 @@ def decide(found: DataFrame, model: SpanModel, threshold: float = 0.0) -> DataFr
 
 def digest(decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The contract's columns: counts of base spans, the base digest, all spans."""
-    count = [F.size(F.filter("_base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    count = [spans.count("_base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return decided.select(id_col, *count, F.sha2(spans.joined(F.col("_base"), KINDS), 256).alias("base_sha256"), spans.joined(F.col("_all"), KINDS).alias("spans"))
 
 

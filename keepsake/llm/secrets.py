@@ -83,7 +83,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = common.stash(parts(docs.select(id_col, text_col), text_col).drop(text_col).withColumn("_row", F.monotonically_increasing_id()), "parts")
     ties = linked(found, scope).groupBy("_row").agg(F.collect_list(F.struct("s", "kind", "e")).alias("_linked"))
     all_ = found.join(ties, "_row", "left").withColumn("_all", F.concat("_base", F.coalesce("_linked", F.array().cast("array<struct<s:int,kind:int,e:int>>"))))
-    count = [F.size(F.filter("_base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
+    count = [spans.count("_base", k).alias(f"n_{name}") for k, name in enumerate(BASE)]
     return all_.select(id_col, *count, F.sha2(spans.joined(F.col("_base"), KINDS), 256).alias("base_sha256"), spans.joined(F.col("_all"), KINDS).alias("spans"))
 
 

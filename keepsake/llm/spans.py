@@ -57,6 +57,11 @@ def kept(found: Column, test: Callable[[Column], Column]) -> Column:
     return F.coalesce(F.filter(found, test), F.array())
 
 
+def count(spans: str, kind: int) -> Column:
+    """How many spans are of a kind."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
