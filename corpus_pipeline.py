@@ -14,8 +14,9 @@ from keepsake.llm import common, jaccard, mixing, packing, pii, quality
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the voting rules keep."""
-    scored, _ = quality.score_documents(docs)
-    return scored.where("kept").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("doc"), "text")
+    scored, _ = quality.score_documents(whole)
+    return scored.where("kept").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

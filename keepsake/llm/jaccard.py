@@ -272,6 +272,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     texts have an empty set and link with nothing, so they keep their own id. Repeated rows give a
     row each. A null id counts as larger than any other. An empty table gives no rows. A class is
     known by a 64-bit hash of its set, a shingle by one of its words."""
+    docs = docs.select("doc_id", "text")
     rows = common.stash(classes_and_sketch(docs, size), "classes")
     members = rows.where("chunk IS NULL").select("doc_id", "n", "class")
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"))

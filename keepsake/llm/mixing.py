@@ -30,9 +30,10 @@ def shuffle_key(id_col: str = "doc_id", seed: str = "mix") -> Column:
 
 
 def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _size (words of the whole text, null: 0), _key (shuffled order) and _slot."""
-    key = shuffle_key()
-    return docs.withColumns({"_size": F.regexp_count(common.text_of(text_col), F.lit(common.WORD)).cast("long"), "_key": key, "_slot": F.substring(key, 1, 3)})
+    """doc (all columns), doc_id, source, _size (words of the whole text, null: 0), _key (shuffled order)
+    and _slot."""
+    key, size = shuffle_key(), F.regexp_count(common.text_of(text_col), F.lit(common.WORD)).cast("long")
+    return docs.select(F.struct("*").alias("doc"), "doc_id", "source", size.alias("_size"), key.alias("_key"), F.substring(key, 1, 3).alias("_slot"))
 
 
 def targets(light: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = EPOCHS) -> DataFrame:
@@ -129,7 +130,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     rows = sized(docs)
     mix = plan_mix(common.stash(rows.select("doc_id", "source", "_size", "_key", "_slot"), "sized"))
     taken = apply_mix(rows, mix).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-    return taken.select(*docs.columns)
+    return taken.select("doc.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,23 +192,26 @@ def redact(docs: DataFrame, text_col: str = "text", iterations: int = 15) -> Dat
     """docs with personal data replaced by <EMAIL>, <IP>, <CARD> and <PHONE> in the text, and n_chars,
     if there, set to the new length. Null texts stay null, other columns and repeated rows stay, an
     empty table gives none. Overlapping spans become one replacement, named by the first."""
-    model = fit_spans(candidates(docs.select(text_col), text_col), iterations)
-    found = decide(candidates(docs, text_col), model)
+    rest = [c for c in docs.columns if c != text_col]
+    whole = docs.select(F.struct(F.lit(0).alias("row"), *rest).alias("doc"), F.col(text_col).alias("text"))
+    model = fit_spans(candidates(whole.select("text")), iterations)
+    found = decide(candidates(whole), model)
     name = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     step = F.aggregate(
         "_all",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, x: F.when(
             x["s"] >= a["at"],
-            F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, x["s"] - a["at"]), F.get(name, x["kind"])).alias("out")),
+            F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"]), F.get(name, x["kind"])).alias("out")),
         ).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.lit(2**31 - 1))),
+        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.lit(2**31 - 1))),
     )
-    clean = F.when(F.size("_all") > 0, step).otherwise(F.col(text_col))
-    out = found.withColumn(text_col, clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    clean = F.when(F.size("_all") > 0, step).otherwise(F.col("text"))
+    out = found.select("doc", clean.alias("text"))
+    given = {c: F.col("text") if c == text_col else F.col("doc")[c] for c in docs.columns}
+    if "n_chars" in rest:
+        given["n_chars"] = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+    return out.select(*(v.alias(c) for c, v in given.items()))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", iterations: int = 15) -> DataFrame:

@@ -15,18 +15,23 @@ SYMBOLS, LEAST_WORDS, MOST_REPEATED = r"[^#*$%&|<>]+", 50, 50
 BALANCE = 0.6
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+MORE = ["n_lines", "n_capitals", "n_distinct"]
 
 
-def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the base counts and three more (n_lines, n_capitals, n_distinct) as columns, over
-    whole texts; a null text counts as none. Everything stays within the row: no shuffle.
+def counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of docs (all but those called like a count, if not given) with the base counts
+    and three more (n_lines, n_capitals, n_distinct), over whole texts; a null text counts as none.
+    Everything stays within the row: no shuffle.
 
     Repeated windows: each 3-word window is a 64-bit hash of its words; sorting (hash, position)
     puts equal windows side by side, whatever a text's length, and each repeated window adds the
-    words that the one before doesn't cover. Windows are only sorted where some hash repeats."""
-    own = [c for c in docs.columns if c not in {*COUNTS, "n_lines", "n_capitals", "n_distinct"}]
+    words that the one before doesn't cover. Windows are only sorted where some hash repeats.
+
+    Counts come out of a generator of one row, so filters on them aren't rewritten in terms of texts."""
+    kept = [c for c in docs.columns if c not in {*COUNTS, *MORE}] if keep is None else keep
     text = common.text_of(text_col)
-    a = docs.select(*own, text.alias("_t"), F.regexp_extract_all(text, F.lit(f"({common.WORD})"), 1).alias("_w"))
+    own = ["_doc"]
+    a = docs.select(F.struct(*kept).alias("_doc"), text.alias("_t"), F.regexp_extract_all(text, F.lit(f"({common.WORD})"), 1).alias("_w"))
     lines = F.filter(F.split("_t", "\n", -1), lambda s: s.rlike(common.WORD))
     windows = F.when(
         F.size("_w") >= 3,
@@ -59,14 +64,16 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p - s["at"])).alias("n"), p.alias("at")),
         lambda s: s["n"],
     )
-    return d.select(*own, *COUNTS[:-1], F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"), "n_lines", "n_capitals", "n_distinct")
+    found = F.struct(*COUNTS[:-1], F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"), *MORE)
+    e = d.select("_doc", F.explode(F.array(found)).alias("_c"))
+    return e.select(*(F.col("_doc")[c].alias(c) for c in kept), "_c.*")
 
 
 def rules() -> dict[str, Column]:
     """Each rule votes against (-1) or for (1) a document, or abstains (0). All but the last only
     know one kind of bad document and say nothing of others; the last judges the text as prose, with
     limits of its own and room to abstain between, and so ties the others' votes together."""
-    c = {k: F.col(k) for k in (*COUNTS, "n_lines", "n_capitals", "n_distinct")}
+    c = {k: F.col(k) for k in (*COUNTS, *MORE)}
     n = F.greatest(c["n_words"], F.lit(1))
     root = F.sqrt(n)
     against = {
@@ -122,6 +129,6 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document. The counts, small numbers, are kept between the fit
     and the verdict, so texts are read once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    counted = common.stash(counts(docs).drop("text"), "counts")
+    counted = common.stash(counts(docs, keep=["doc_id"]), "counts")
     scored, _ = verdict(counted)
     return scored.select("doc_id", *COUNTS, "base_failed", "kept", "posterior")

@@ -1,0 +1,149 @@
+"""Personal data and secrets: base spans against Python's expressions, linked parts against a plain scan."""
+
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from keepsake.llm import pii, secrets, weaklabel
+
+PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+SECRETS = {
+    "assign": r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def ok(kind, m):
+    digits = re.sub("[^0-9]", "", m[0])
+    return {
+        "email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 14 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 10 <= len(digits) <= 15,
+        "assign": lambda: len(m[2]) >= 12, "access": lambda: len(m[0]) >= 18, "hex": lambda: len(m[0]) >= 16,
+    }[kind]()
+
+
+def base(text, patterns):
+    order = list(patterns)
+    return sorted((m.start(), order.index(k), k, m.end()) for k, p in patterns.items() for m in re.finditer(p, text or "") if ok(k, m))
+
+
+def digest(found):
+    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in found).encode()).hexdigest()
+
+
+def noise(seed, alphabet, n=400, size=120):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, size))) for _ in range(n)]
+
+
+def held(df, patterns, texts):
+    rows = {r.doc_id: r for r in df.collect()}
+    for i, t in texts.items():
+        want = base(t, patterns)
+        r = rows[i]
+        assert r.base_sha256 == digest(want), (i, t[:200], want, r.spans)
+        for k in patterns:
+            assert r[f"n_{k}"] == sum(x[2] == k for x in want)
+        every = [x for x in r.spans.split(",") if x]
+        assert {f"{k}:{s}:{e}" for s, _, k, e in want} <= set(every)
+        starts = [int(x.split(":")[1]) for x in every]
+        assert starts == sorted(starts)
+
+
+def test_pii_base_spans_of_documents(spark, docs, texts):
+    held(pii.find_pii(docs), PII, texts)
+
+
+def test_pii_base_spans_of_noise(spark):
+    made = noise(1, "ab1.@- ", 300) + noise(2, "0123456789 -.", 300) + noise(3, "+0123 ().-", 200) + noise(4, list("a@.é😀%") + ["a.b@c.d", "1.2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1111-", "+1 (555) 123-4567"], 200, 12)
+    texts = dict(enumerate(made))
+    held(pii.find_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), PII, texts)
+
+
+def test_pii_odd_tables(odd, none):
+    rows = pii.find_pii(odd).collect()
+    assert len(rows) == odd.count() and pii.find_pii(none).count() == 0
+    by = {r.doc_id: r for r in rows}
+    assert by[3].spans == by[4].spans == "" and by[3].n_email == 0 and by[None].n_email == 1 and by[12].n_email == 1 and by[12].n_ip == 1
+    assert by[10].n_card == 1 and by[10].n_phone == 1
+
+
+def test_pii_finds_more_than_the_base(spark):
+    texts = [("contact: jane.doe at example dot com please", "email"), ("call me: 555-123-4567 today", "phone")] * 20 + [("mail bob@example.com now", "email"), ("phone +1 (555) 123-4567 x", "phone"), ("plain words only", None)] * 20
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    assert all((k is None and not rows[i].spans) or (k is not None and rows[i].spans.startswith(k)) for i, (_, k) in enumerate(texts))
+
+
+def test_redaction_replaces_all_spans(spark, docs, texts, odd, none):
+    clean = {r.doc_id: r for r in pii.redact(docs).collect()}
+    spans = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
+    for i, t in texts.items():
+        out, at = "", 0
+        for kind, s, e in (x.split(":") for x in spans[i].split(",") if x):
+            if int(s) >= at:
+                out, at = out + t[at : int(s)] + f"<{kind.upper()}>", int(e)
+            else:
+                at = max(at, int(e))
+        assert clean[i].text == out + t[at:] and clean[i].n_chars == len(clean[i].text)
+    got = pii.redact(odd)
+    assert got.columns == odd.columns and got.count() == odd.count() and pii.redact(none).count() == 0
+    assert {r.doc_id: r.text for r in got.collect()}[3] is None
+
+
+def test_expectation_maximisation_finds_accuracies(spark):
+    rnd = random.Random(4)
+    truth, rows = [0.95, 0.8, 0.65, 0.9], []
+    for _ in range(6000):
+        y = rnd.random() < 0.5
+        rows.append(tuple(0 if rnd.random() < 0.3 else (1 if y == (rnd.random() < a) else -1) for a in truth))
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names)).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    model = weaklabel.fit_votes(df, names, weaklabel.VoteModel(0.5, [0.7] * 4), 60, tolerance=1e-5)
+    assert all(abs(a - b) < 0.04 for a, b in zip(model.accuracy, truth, strict=True)) and abs(model.prior - 0.5) < 0.05
+
+
+def test_secrets_base_spans(spark, docs, texts):
+    held(secrets.find_secrets(docs), SECRETS, texts)
+    made = noise(5, ["password", "Token", "api_key", "apikey", "SECRET", "=", ":", " ", '"', "'", "x", "0123456789ab", "AKIA", "ABCDEFGH", "f", "-", "\n", "é"], 400, 14)
+    texts = dict(enumerate(made))
+    held(secrets.find_secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), SECRETS, texts)
+
+
+def test_secrets_odd_tables(odd, none):
+    rows = secrets.find_secrets(odd).collect()
+    assert len(rows) == odd.count() and secrets.find_secrets(none).count() == 0
+    by = {r.doc_id: r for r in rows}
+    assert by[3].spans == "" and by[12].n_access == 1 and by[12].n_assign == 1
+
+
+def test_weak_candidates_need_a_complement_in_scope(spark):
+    far = "x " * 300
+    texts = {1: "user: bobby password = short77", 2: "password = short77", 3: f"user: bobby {far} password = short77", 4: "host: db.example.com then password = short77", 5: f"a {far} user: bobby {'y ' * 150} password = short77 {far}"}
+    rows = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert "weak_assign" in rows[1] and "weak_id" in rows[1] and rows[2] == "" and rows[3] == "" and "weak_assign" in rows[4] and "weak_assign" in rows[5]
+
+
+def test_linking_is_the_plain_interval_scan(spark):
+    rnd = random.Random(9)
+    made = {i: " ".join(rnd.choice(["user: bobby", "password = short77", "host: db.example.com", "filler " * rnd.randint(1, 40)]) for _ in range(rnd.randint(1, 14))) for i in range(80)}
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    found = secrets.parts(df).drop("text").collect()
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(df).collect()}
+    for r in found:
+        parts = [(x["s"], secrets.ROLE[secrets.KINDS[x["kind"]]]) for x in [*r["_base"], *r["_weak"]]] + [(s, secrets.PLACE) for s in r["_ends"]]
+        want = {f"{secrets.KINDS[w['kind']]}:{w['s']}:{w['e']}" for w in r["_weak"] if any(role != secrets.ROLE[secrets.KINDS[w["kind"]]] and abs(s - w["s"]) <= secrets.SCOPE for s, role in parts)}
+        base_ = {f"{secrets.KINDS[x['kind']]}:{x['s']}:{x['e']}" for x in r["_base"]}
+        assert set(filter(None, got[r.doc_id].split(","))) == want | base_
