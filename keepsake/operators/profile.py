@@ -32,16 +32,18 @@ def column_profile(long: DataFrame, now_ms: int | None = None) -> DataFrame:
     greatest, sum and mean. Types go by the shares of all filled cells, in this order: empty, id (by
     name), date, money or number, url, category, title (by name), text. All tables in one job."""
     value = F.when(F.trim("value") != "", F.col("value"))
-    number = numbers.to_number(value)
-    read = long.select(
-        "table_id", "col_no", "col_name", value.alias("v"), number.alias("x"),
-        dates.profile_date(value, now_ms).isNotNull().cast("int").alias("d"), numbers.looks_numeric(value).cast("int").alias("k"),
-        value.rlike(numbers.SIGNS).alias("signed"), value.rlike("(?i)^https?://").cast("int").alias("u"),
+    # equal cells are put together first: expressions run once a distinct value, counts weigh them
+    cells_ = long.groupBy("table_id", "col_no", "col_name", value.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    v, c = F.col("v"), F.col("c")
+    read = cells_.select(
+        "table_id", "col_no", "col_name", "v", "c", numbers.to_number(v).alias("x"), dates.profile_date(v, now_ms).isNotNull().alias("d"),
+        numbers.looks_numeric(v).alias("k"), v.rlike(numbers.SIGNS).alias("signed"), v.rlike("(?i)^https?://").alias("u"),
     )
+    weigh = lambda cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0))
     per = read.groupBy("table_id", "col_no", "col_name").agg(
-        F.count("v").alias("filled"), F.count_distinct("v").alias("seen"), F.sum(F.when(F.col("v").isNotNull(), F.col("d"))).alias("dates"),
-        F.sum("k").alias("numeric"), F.coalesce(F.bool_or("signed"), F.lit(False)).alias("signed"), F.sum("u").alias("urls"),
-        F.min("x").alias("least"), F.max("x").alias("most"), F.sum("x").alias("total"), F.count("x").alias("n_numbers"),
+        weigh(v.isNotNull()).alias("filled"), F.count("v").alias("seen"), weigh(v.isNotNull() & F.col("d")).alias("dates"), weigh(F.col("k")).alias("numeric"),
+        F.coalesce(F.bool_or("signed"), F.lit(False)).alias("signed"), weigh(F.col("u")).alias("urls"),
+        F.min("x").alias("least"), F.max("x").alias("most"), F.sum(F.col("x") * c).alias("total"), weigh(F.col("x").isNotNull()).alias("n_numbers"),
     )
     n, name = F.col("filled"), F.col("col_name")
     numeric = F.col("numeric") > NUMBER_SHARE * n
