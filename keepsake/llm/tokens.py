@@ -37,7 +37,7 @@ class Chunks:
 
 
 #: In Latin-1 text without these, a full stop or comma is a token of its own.
-_TOUCHING = re.compile(r"(?:[^\w\s]|_)[.,]|[.,](?:[^\w\s]|_)")
+_TOUCHING = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s].)|(?<=_.))")
 
 
 class WordEncoder:
