@@ -99,3 +99,12 @@ def column_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit("SBR@"), F.upper(F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))), F.lit("_ID"))
     answer = F.when(F.col("p_size") % 2 == 0, "y").otherwise("FALSE")
     return read(spark, sf_dir, "part").select("p_partkey", names.nice_column(raw).alias("shown"), names.nice_value(F.lit("active"), answer).alias("answer"))
+
+
+@query("SELECT CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total_cents, count(*) AS n, true AS micros, CAST(NULL AS VARCHAR) AS currency FROM orders WHERE o_totalprice > 0")
+def money_micros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order totals in millionths, which the card finds out; two currencies, so none is named."""
+    millionths = numbers.cents(F.col("o_totalprice")) * 10_000
+    code = F.when(F.col("o_orderkey") % 2 == 0, "EUR").otherwise("NOK")
+    card = pf.money_card(read(spark, sf_dir, "orders"), millionths, code)
+    return card.select(F.round(F.col("total") * 100).cast("long").alias("total_cents"), "n", "micros", "currency")

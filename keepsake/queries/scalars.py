@@ -107,3 +107,19 @@ def number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, upper(left(c_mktsegment, 1)) || upper(left(c_name, 1)) AS initials FROM customer")
 def person_initials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", names.initials(F.concat_ws(" ", F.lower("c_mktsegment"), "c_name", F.lit("third"))).alias("initials"))
+
+
+@query("SELECT 'e' || event_id AS path, 'k' AS field, CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) AS value FROM events")
+def json_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects as rows of field and value."""
+    from keepsake.operators.topics import key_values
+
+    objects = read(spark, sf_dir, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), F.col("props").alias("content"))
+    return key_values(objects)
+
+
+@query("SELECT c_custkey, c_name AS name, 'c' || c_custkey || '@x.org' AS address FROM customer")
+def mail_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as mail headers write them, taken apart."""
+    header = F.concat(F.lit('"'), "c_name", F.lit('" <C'), F.col("c_custkey").cast("string"), F.lit("@X.org>"))
+    return read(spark, sf_dir, "customer").select("c_custkey", text.address_name(header).alias("a")).select("c_custkey", "a.name", "a.address")
