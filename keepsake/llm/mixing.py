@@ -121,16 +121,43 @@ def apply_mix(rows: DataFrame, mix: Mix, most: int = EPOCHS) -> DataFrame:
     return all_.withColumn("_copies", n).drop("_cum", "place")
 
 
+def last_taken(copied: DataFrame, most: int = EPOCHS) -> DataFrame:
+    """copied: light rows with _copies. One row a source: its rows up to and with `last` (key, id, size) are
+    taken hi times, those after it lo times, for in a source's order later rows are taken at most as
+    often as earlier ones, and once less at most. tied: rows equal to last are on both sides."""
+    at = F.struct("_key", "doc_id", "_size")
+    after_ = [F.min(F.when(F.col("_copies") == k, at)).alias(f"n{k}") for k in range(most + 1)]
+    upto = [F.max(F.when(F.col("_copies") == k, at)).alias(f"m{k}") for k in range(most + 1)]
+    per = copied.where("_size > 0").groupBy("source").agg(F.max("_copies").alias("hi"), F.min("_copies").alias("lo"), *upto, *after_)
+    last, after = (F.coalesce(*(F.when(F.col(side) == k, F.col(f"{c}{k}")) for k in range(most + 1))) for side, c in (("hi", "m"), ("lo", "n")))
+    return per.select("source", "hi", "lo", last.alias("last"), ((F.col("hi") > F.col("lo")) & last.eqNullSafe(after)).alias("tied"))
+
+
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus: docs' rows and columns, a row as often as the mix takes it.
 
     docs has doc_id, source and text. Null texts and texts without words have size 0 and are not
     taken; a null source is a source of its own, the last; repeated rows are documents of their
-    own; an empty table gives none. The order follows md5 of the id, so reruns agree."""
-    rows = sized(docs)
-    mix = plan_mix(common.stash(rows.select("doc_id", "source", "_size", "_key", "_slot"), "sized"))
-    taken = apply_mix(rows, mix).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-    return taken.select("doc.*")
+    own; an empty table gives none. The order follows md5 of the id, so reruns agree. Texts aren't
+    shuffled: the cut becomes one row a source, the last of its rows to be taken once more, and
+    rows are compared with it where they are read. Only rows with one id, source and size that the
+    cut runs through are numbered."""
+    light = common.stash(sized(docs).select("doc_id", "source", "_size", "_key", "_slot"), "sized")
+    copied = common.stash(apply_mix(light, plan_mix(light)), "copied")
+    rule = common.stash(last_taken(copied), "rule")
+    named = rule.withColumnRenamed("source", "_s")
+    rows = sized(docs).where("_size > 0")
+    met = rows.join(named, rows["source"].eqNullSafe(named["_s"])).withColumn("_at", F.struct("_key", "doc_id", "_size"))
+    told = met.withColumn("_copies", F.when(F.col("_at") <= F.col("last"), F.col("hi")).otherwise(F.col("lo")))
+    through = F.col("tied") & F.col("_at").eqNullSafe(F.col("last"))
+    taken = told.where(~through).select("doc", "_copies")
+    if rule.where("tied").limit(1).count():
+        here = copied.join(named.where("tied"), copied["source"].eqNullSafe(named["_s"])).where(F.struct("_key", "doc_id", "_size").eqNullSafe(F.col("last")) & (F.col("_copies") == F.col("hi")))
+        first = here.groupBy("_s").agg(F.count(F.lit(1)).alias("first")).withColumnRenamed("_s", "_f")
+        place = F.row_number().over(Window.partitionBy("_s").orderBy(F.xxhash64("doc")))
+        split = told.where(through).withColumn("_place", place).join(first, F.col("_s").eqNullSafe(F.col("_f")))
+        taken = taken.unionAll(split.select("doc", F.when(F.col("_place") <= F.col("first"), F.col("hi")).otherwise(F.col("lo")).alias("_copies")))
+    return taken.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select("doc.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,15 @@ def test_mix_meets_targets_and_reruns_agree(spark, docs, data):
 def test_mixed_documents_are_as_often_as_the_plan_says(spark, docs, data):
     times = Counter(r.doc_id for r in mixing.mix_documents(docs).collect())
     assert all(times[r.doc_id] * r["size"] == r.taken for r in mixing.op5_mix_sources(spark, data).collect())
+
+
+def test_rows_with_one_id_that_the_cut_runs_through(spark, tmp_path):
+    """Thirty rows with one id: some are taken once more than the others, as the plan says."""
+    rows = [(1, "w " * 9 + f"{i % 2}", "a") for i in range(30)] + [(2, "w " * 40, "b"), (3, "w " * 40, None), (4, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = Counter()
+    for r in mixing.op5_mix_sources(spark, str(tmp_path)).collect():
+        plan[r.doc_id] += r.taken // r["size"] if r["size"] else 0
+    got = Counter(r.doc_id for r in mixing.mix_documents(df).collect())
+    assert got == +plan and 0 < got[1] % 30
