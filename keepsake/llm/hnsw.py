@@ -3,8 +3,8 @@
 Identical vectors are one class. Classes are dealt over shards; each shard's graph is a file in the
 shared folder. Every class queries every shard, in blocks. A beam whose results are all at or above
 the threshold is widened until it isn't, up to the whole shard. When a graph is built, an audit
-compares what a sample of queries finds with all that is there, and widens the shard's beam until
-the recall is reached. Found pairs are checked by their cosine in double precision; a task returns
+compares what queries from all shards find with all that is there, their own nodes left out, and
+widens the shard's beam until the recall is reached. Found pairs are checked by their cosine in double precision; a task returns
 counts and a spanning forest of its pairs, never the pairs, so a large group costs rows in
 proportion to its members.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DEGREE, BUILD_BEAM, BEAM, AT_ONCE = 16, 64, 48, 4
+DEGREE, BUILD_BEAM, BEAM, AT_ONCE, POOL = 16, 64, 48, 4, 32
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -89,6 +89,17 @@ def choose(v: np.ndarray, at: np.ndarray, ids: np.ndarray, sims: np.ndarray, deg
     return taken
 
 
+def turned(v: np.ndarray, threshold: float, n: int) -> np.ndarray:
+    """n unit rows, each one of v turned in a random direction to a cosine just above the threshold."""
+    draw = np.random.default_rng(n)
+    at = v[draw.integers(len(v), size=n)]
+    off = draw.normal(size=at.shape)
+    off -= (off * at).sum(axis=1, keepdims=True) * at
+    off /= np.maximum(np.sqrt((off * off).sum(axis=1, keepdims=True)), 1e-300)
+    c = min(1.0, threshold + 1e-6)
+    return unit(c * at + np.sqrt(max(0.0, 1 - c * c)) * off)
+
+
 class Graph:
     """Layers over vectors v (unit rows): layers[l] = neighbours by node, -1 where none."""
 
@@ -175,16 +186,35 @@ class Graph:
             rest, width = np.concatenate(full), width * 4
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
-    def audit(self, threshold: float, recall: float, sample: int) -> float:
-        """Widen the beam until the sampled vectors' pairs are found to the recall; the last step is
-        to compare with the whole shard."""
-        pick = np.linspace(0, len(self.v) - 1, min(sample, len(self.v))).astype(int)
-        q = self.v[pick]
-        there = sum(int((q[i : i + 512] @ self.v.T >= threshold).sum()) for i in range(0, len(q), 512))
+    def audit(self, threshold: float, recall: float, sample: int, pool: np.ndarray | None = None, same: np.ndarray | None = None) -> float:
+        """Widen the beam until the queries' links are found to the recall; the last step is to compare
+        with the whole shard. Queries are taken from pool (unit rows; same: each one's own node or
+        -1, which is no link) until `sample` links are there. Where the pool has fewer, nodes turned
+        to just above the threshold ask too, and both kinds must reach the recall."""
+        if pool is None or same is None:
+            pool, same = self.v, np.arange(len(self.v))
+        asked, links = [np.zeros(0, np.int64)], 0
+        for i in range(0, len(pool), 512):
+            near = pool[i : i + 512] @ self.v.T >= threshold
+            own = np.flatnonzero(same[i : i + 512] >= 0)
+            near[own, same[i : i + 512][own]] = False
+            asked.append(i + np.flatnonzero(near.any(axis=1)))
+            links += int(near.sum())
+            if links >= sample:
+                break
+        at = np.concatenate(asked)
+        kinds = [(pool[at], same[at], links)]
+        if links < sample:
+            q = turned(self.v, threshold, sample - links)
+            kinds.append((q, np.full(len(q), -1), sum(int((q[i : i + 512] @ self.v.T >= threshold).sum()) for i in range(0, len(q), 512))))
+        kinds = [k for k in kinds if k[2]]
         while True:
-            got = len(self.within(q, threshold)[0])
-            if got >= recall * there or self.exact:
-                return got / max(1, there)
+            shares = [1.0]
+            for q, own, there in kinds:
+                a, b = self.within(q, threshold)
+                shares.append(int((b != own[a]).sum()) / there)
+            if min(shares) >= recall or self.exact:
+                return min(shares)
             self.width, self.exact = self.width * 2, self.width * 8 >= len(self.v)
 
     def save(self, sink, ids: np.ndarray, weight: np.ndarray) -> None:
@@ -240,7 +270,8 @@ def near_duplicates(
     null or non-finite components, and those of another length than most, link with nothing; so do
     rows without an id, whose component is null. Repeated rows count as vectors of their own. A
     class is known by a 64-bit hash of its vector. An empty table gives none. At least `shards`
-    shards, more where one would hold over shard_rows classes; `sample` vectors a shard audit it.
+    shards, more where one would hold over shard_rows classes; `sample` links a shard audit it, those
+    of the POOL * sample classes with the smallest hash as far as they go.
     Other columns are not read."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
@@ -252,12 +283,20 @@ def near_duplicates(
     total = classes.count()
     n = max(shards, -(-total // shard_rows))
     blocks = max(1, -(-total // block_rows))
-    folder = common.scratch_path(spark, "graphs")
+    folder, pool = common.scratch_path(spark, "graphs"), common.scratch_path(spark, "pool")
+    classes.select("class", "vec").orderBy(F.xxhash64("class", F.lit(2))).limit(POOL * sample).coalesce(1).write.parquet(pool)
 
     def matrix(t) -> np.ndarray:
         column = t.column("vec").combine_chunks()
         return unit(column.flatten().to_numpy().reshape(len(column), -1))
 
+    def asked() -> tuple[np.ndarray, np.ndarray]:
+        from pyarrow import dataset
+
+        fs, path = common.local_fs(pool)
+        t = dataset.dataset(path, filesystem=fs, format="parquet").to_table(columns=["class", "vec"])
+        return matrix(t), t.column("class").to_numpy()
+
     def build(key, t):
         import io
 
@@ -267,7 +306,9 @@ def near_duplicates(
         shard = key[0].as_py()
         t = t.sort_by("class")
         graph = Graph.build(matrix(t), shard)
-        found = graph.audit(threshold, recall, sample)
+        ids, (asks, own) = t.column("class").to_numpy(), asked()
+        spot = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        found = graph.audit(threshold, recall, sample, asks, np.where(ids[spot] == own, spot, -1))
         fs, path = common.local_fs(folder)
         fs.create_dir(path, recursive=True)
         name, held = f"graph-{shard:05d}-{TaskContext.get().taskAttemptId()}.npz", io.BytesIO()
