@@ -36,8 +36,10 @@ class Chunks:
         return self.new
 
 
-#: In Latin-1 text without these, a full stop or comma is a token of its own.
-_TOUCHING = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s].)|(?<=_.))")
+#: In Latin-1 text without these, a full stop or comma is a token of its own. White space is what the
+#: tokenizer takes for it: Python's class also has the separators U+001C to U+001F.
+_MARK = r"[^\w\t-\r\x20\x85\xa0]|_"
+_TOUCHING = re.compile(rf"[.,](?:{_MARK}|(?<=[^\w\t-\r\x20\x85\xa0].)|(?<=_.))", re.DOTALL)
 
 
 class WordEncoder:
