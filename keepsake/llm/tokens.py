@@ -10,6 +10,8 @@ from functools import lru_cache
 
 #: How the last token of a word ends in the vocabulary; words encoded as one text.
 WORD_END, TOGETHER = "</w>", 64
+#: How the vocabulary of bytes writes a space.
+SPACE_BYTE = "\u0120"
 #: A chunk table forgets the older half beyond this many entries (about 100 MB a worker).
 CHUNKS = 300_000
 
@@ -105,37 +107,89 @@ class WordEncoder:
         return [self._many([t])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
-class ByteEncoder:
-    """Byte-level BPE: the ranks file of the same vocabulary gives the same ids (tests compare
-    them). Texts that hold an added token, or that the ranks encoder refuses, take the tokenizer."""
+#: A space beside other white space (or what some tables call so) isn't a place to cut.
+_RUN = re.compile(r"[\s\u180e]\x20|\x20[\s\u180e]|\x20\Z")
+
 
-    def __init__(self, path: str, ranks_path: str, pattern: str, added: tuple[str, ...], width: str):
-        import base64
+#: A full stop or comma before a space that isn't a piece of its own; the name of one that is.
+_GLUED, _ALONE = re.compile(r"(?:\A|[\W_])[.,]\x20"), "\x02"
 
-        import tiktoken
 
-        self.path, self.added, self.width, self._tokenizer = path, added, width, None
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+class ByteEncoder:
+    """Byte-level BPE whose splitter lets a space begin the piece that follows it.
+
+    So a space between two characters that aren't white space always begins a piece, and what lies
+    between such spaces is encoded once each. Where a text has other white space beside a space,
+    the parts there stay together. In Latin-1 texts full stops and commas between a letter or digit
+    and a space, pieces of their own, are cut off. A text that holds an added token is encoded in
+    one piece."""
 
-    def _whole(self, text: str) -> list[int]:
+    def __init__(self, path: str, added: tuple[str, ...], width: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = self._tokenizer or Tokenizer.from_file(self.path)
-        return self._tokenizer.encode(text, add_special_tokens=False).ids
+        self.tokenizer, self.added, self.width = Tokenizer.from_file(path), added, width
+        import numpy as np
 
-    def _one(self, text: str) -> list[int]:
-        if any(a in text for a in self.added):
-            return self._whole(text)
-        try:
-            return self.ranks.encode_ordinary(text)
-        except Exception:  # noqa: BLE001  its pattern engine gives up on some runs
-            return self._whole(text)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.first = np.zeros(max(vocab.values()) + 1, bool)
+        self.first[[i for v, i in vocab.items() if v.startswith(SPACE_BYTE)]] = True
+        self.chunks = Chunks(self._chunks, 2 * CHUNKS)
+
+    def _many(self, texts: list[str]) -> list[bytes]:
+        return [array(self.width, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Chunks whose only space is the first character are encoded many at once and told apart by the
+        tokens that begin with a space; the others go one by one, without the name of a lone mark."""
+        words, others = [], []
+        for c in chunks:
+            (words if len(c) > 1 and c[0] == " " and c.rfind(" ") == 0 and c[1] != _ALONE and not c[1].isspace() and not c[-1].isspace() else others).append(c)
+        found = dict(zip(others, self._many([c[2:] if c.startswith(" " + _ALONE) else c for c in others]), strict=True))
+        lines = ["".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        for i, e in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = array(self.width, e.ids)
+            part, raw, size = words[i * TOGETHER : (i + 1) * TOGETHER], ids.tobytes(), ids.itemsize
+            starts = (self.first[ids].nonzero()[0] * size).tolist()
+            if len(starts) == len(part) and not starts[0]:
+                found.update(zip(part, (raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)), strict=True))
+            else:
+                found.update(zip(part, self._many(part), strict=True))
+        return [found[c] for c in chunks]
+
+    def _split(self, text: str) -> list[str] | None:
+        """Parts without the space before each but the first."""
+        if _ALONE in text or any(a in text for a in self.added):
+            return None
+        if not _RUN.search(text):
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text.split(" ")
+            if not _GLUED.search(text):
+                text = text.replace(". ", f" {_ALONE}. ").replace(", ", f" {_ALONE}, ")
+            return text.split(" ")
+        parts = text.split(" ")
+        out = [parts[0]]
+        for p in parts[1:]:
+            if not p or not out[-1] or _RUN.match(" " + p) or _RUN.match(out[-1][-1] + " "):
+                out[-1] += " " + p
+            else:
+                out.append(p)
+        return out
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        return [array(self.width, self._one(t)).tobytes() for t in texts]
+        split = [self._split(t) for t in texts]
+        need: set[str] = set()
+        for s in split:
+            if s:
+                need.add(s[0])
+                need.update(map(" ".__add__, s[1:]))
+        known = self.chunks.ensure(need)
+        return [
+            self._many([t])[0] if s is None else known[s[0]] + b"".join([known[" " + c] for c in s[1:]])
+            for t, s in zip(texts, split, strict=True)
+        ]
 
 
 def _added(path: str) -> tuple[tuple[str, ...], int]:
@@ -156,5 +210,5 @@ def encoder(name: str, folder: str | None = None):
     added, size = _added(path)
     width = "H" if size <= 1 << 16 else "I"
     if name.startswith("byte_bpe_50k"):
-        return ByteEncoder(path, path.removesuffix(".json") + ".tiktoken", public_tokenizers.PATTERN, added, width)
+        return ByteEncoder(path, added, width)
     return WordEncoder(path, added, width)
