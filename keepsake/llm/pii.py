@@ -28,7 +28,7 @@ BASE = {
 }
 #: Proposals beyond the base.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{2,24}){1,4}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{2,}+)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{2,4}(?![0-9])",
     "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
@@ -108,7 +108,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with _spans: base spans and proposals (s, kind, e, base, votes, features) of whole texts."""
     any_digit = F.col("_t").rlike("[0-9]")
     where = {"email": F.col("_t").contains("@"), "ip": any_digit, "card": any_digit, "phone": F.col("_t").contains("+")}
-    where2 = {"email": F.col("_t").rlike(r"(?:at\x20|at\x20?[\])]).{1,80}dot"), "ip": F.col("_t").rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"), "card": any_digit, "phone": any_digit}
+    where2 = {"email": F.col("_t").contains("dot") & F.col("_t").rlike(r"[\x20\[(]at\x20?[\])\x20]"), "ip": F.col("_t").rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"), "card": any_digit, "phone": any_digit}
     names = [f"_{x}_{k}" for x in ("base", "loose") for k in KINDS]
     read = docs.select("*", common.text_of(text_col).alias("_t"))
     found = read.select(
@@ -135,8 +135,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     nothing = F.array().cast("array<struct<s:int,kind:int,e:int,base:boolean,votes:array<tinyint>,features:array<string>>>")
     some = F.greatest(*(F.size(F.coalesce(F.col(n), F.array())) for n in names)) > 0
     both = found.select("*", F.when(some, F.concat(*(described(True, k) for k in KINDS))).otherwise(nothing).alias("_b"), F.when(some, F.concat(*(described(False, k) for k in KINDS))).otherwise(nothing).alias("_p")).drop(*names)
-    free = F.filter("_p", lambda p: ~F.exists("_b", lambda b: (b["s"] < p["e"]) & (p["s"] < b["e"])))
-    return both.withColumn("_spans", F.concat("_b", free)).drop("_b", "_p")
+    return both.withColumn("_spans", F.concat("_b", spans.free_of(F.col("_p"), F.col("_b")))).drop("_b", "_p")
 
 
 @dataclass
@@ -177,9 +176,7 @@ def decide(found: DataFrame, model: SpanModel, threshold: float = 0.0) -> DataFr
         return F.aggregate(F.concat(_named_votes(x["votes"]), x["features"]), F.lit(model.prior), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
 
     added = spans.apart(F.filter("_spans", lambda x: ~x["base"] & (odds(x) >= threshold)))
-    return here.withColumn("_base", F.transform("_base", lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))).withColumn(
-        "_all", F.array_sort(F.concat("_base", added))
-    )
+    return here.withColumn("_base", F.transform("_base", spans.plain)).withColumn("_all", F.sort_array(F.concat("_base", added)))
 
 
 def digest(decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -188,26 +185,36 @@ def digest(decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return decided.select(id_col, *count, F.sha2(spans.joined(F.col("_base"), KINDS), 256).alias("base_sha256"), spans.joined(F.col("_all"), KINDS).alias("spans"))
 
 
+def redacted(text: Column, found: Column) -> Column:
+    """text with each of the sorted spans found (s, kind, e) replaced by its kind's name; overlapping
+    spans become one replacement, named by the first."""
+    name = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+    state = "struct<end:int,from:int,first:boolean>"
+
+    def replaced(xs: Column, cut) -> Column:
+        # first: begins where all before have ended; from: the end of what was replaced before
+        seen = spans.running(
+            xs,
+            F.struct(F.lit(0).alias("end"), F.lit(0).alias("from"), F.lit(False).alias("first")),
+            lambda a, x: F.struct(F.greatest(a["end"], x["e"]).alias("end"), a["end"].alias("from"), (x["s"] >= a["end"]).alias("first")),
+            state,
+        )
+        parts = lambda r: F.transform(xs, lambda x, i: F.when(F.get(r, i)["first"], F.concat(cut(F.get(r, i)["from"], x["s"]), F.get(name, x["kind"]))).otherwise(F.lit("")))
+        return spans.once(seen, lambda r: F.concat(F.array_join(parts(r), ""), cut(F.element_at(r, -1)["end"], F.length(text))))
+
+    return F.when(F.size(found) > 0, spans.once(found, lambda xs: spans.Slices(text).bind(lambda cut: replaced(xs, cut)))).otherwise(text)
+
+
 def redact(docs: DataFrame, text_col: str = "text", iterations: int = 15) -> DataFrame:
     """docs with personal data replaced by <EMAIL>, <IP>, <CARD> and <PHONE> in the text, and n_chars,
     if there, set to the new length. Null texts stay null, other columns and repeated rows stay, an
-    empty table gives none. Overlapping spans become one replacement, named by the first."""
+    empty table gives none. Overlapping spans become one replacement, named by the first. Rows are
+    stored with their candidates, so each text is searched once."""
     rest = [c for c in docs.columns if c != text_col]
     whole = docs.select(F.struct(F.lit(0).alias("row"), *rest).alias("doc"), F.col(text_col).alias("text"))
-    model = fit_spans(candidates(whole.select("text")), iterations)
-    found = decide(candidates(whole), model)
-    name = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    step = F.aggregate(
-        "_all",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.when(
-            x["s"] >= a["at"],
-            F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"]), F.get(name, x["kind"])).alias("out")),
-        ).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.lit(2**31 - 1))),
-    )
-    clean = F.when(F.size("_all") > 0, step).otherwise(F.col("text"))
-    out = found.select("doc", clean.alias("text"))
+    stored = common.stash(candidates(whole), "candidates")
+    found = decide(stored, fit_spans(stored, iterations))
+    out = found.select("doc", redacted(F.col("text"), F.col("_all")).alias("text"))
     given = {c: F.col("text") if c == text_col else F.col("doc")[c] for c in docs.columns}
     if "n_chars" in rest:
         given["n_chars"] = F.length("text").cast(dict(docs.dtypes)["n_chars"])

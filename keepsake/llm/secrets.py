@@ -23,10 +23,10 @@ BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{14,}+", "hex": r"(?<![0-9a-f]
 #: identifiers and endpoints.
 WEAK = {
     "weak_assign": rf"""{KEY}["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]{{6,11}}+(?![A-Za-z0-9+/_.=-])""",
-    "weak_key": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,128}+(?![A-Za-z0-9+/_=-])",
-    "weak_id": r"""(?i:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9_.@+-]{3,64}+""",
+    "weak_key": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+",
+    "weak_id": r"""(?i:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9_.@+-]{3,}+""",
 }
-ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|redis|mongodb|amqp|s3)://[^\s"'<>]{4,200}|(?i:host|endpoint|server|url)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9_.:/-]{4,200}+"""
+ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|redis|mongodb|amqp|s3)://[^\s"'<>]{4,}+|(?i:host|endpoint|server|url)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9_.:/-]{4,}+"""
 KINDS = [*BASE, *WEAK]
 IDENTIFIER, SECRET, PLACE = 0, 1, 2
 ROLE = {"assign": SECRET, "access": IDENTIFIER, "hex": SECRET, "weak_assign": SECRET, "weak_key": SECRET, "weak_id": IDENTIFIER}
@@ -54,8 +54,7 @@ def parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.concat(*(listed(k) for k in WEAK)).cast(none).alias("_w"),
         F.transform(F.coalesce("_f_end", F.array().cast("array<struct<s:int,e:int,m:string,left:string,right:string>>")), lambda x: x["s"]).alias("_ends"),
     ).drop(*(f"_f_{k}" for k in patterns))
-    free = F.filter("_w", lambda w: ~F.exists("_base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
-    return both.withColumn("_weak", spans.apart(free)).drop("_w")
+    return both.withColumn("_weak", spans.apart(spans.free_of(F.col("_w"), F.col("_base")))).drop("_w")
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
