@@ -16,9 +16,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir of the session. Only where that is unset, as in
-    tests, a new temporary folder becomes the checkpoint folder of this session."""
+    """The shared folder: spark.checkpoint.dir of the session. Where that is unset a session of one
+    machine, as in tests, takes a new temporary folder; on a cluster it has to be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="keepsake-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -59,6 +61,53 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+#: A sieve has this many bits, whatever the keys: 4 MB in 4 KB rows.
+SIEVE_BITS, ROW_BITS = 25, 15
+
+
+def sieve(keys: DataFrame, *cols: str):
+    """Tells rows that can't have one of the keys (columns cols) from those that may, by bits of a hash.
+
+    Returns split(df, *cols) -> (rows that may, rows that can't). The bits are one broadcast of at
+    most 4 MB, so few rows may where there are few keys, and all rows may where there are very many:
+    what may has to be joined with the keys in any case."""
+
+    def place(names) -> Column:
+        return F.xxhash64(*names).bitwiseAND((1 << SIEVE_BITS) - 1)
+
+    at = keys.select(place(cols).alias("p")).select(F.shiftright("p", ROW_BITS).alias("_sieve"), F.col("p").bitwiseAND((1 << ROW_BITS) - 1).alias("bit"))
+    table = stash(at.groupBy("_sieve").agg(F.bitmap_construct_agg("bit").alias("_bits")), "sieve")
+
+    def split(df: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+        p = place(names or cols)
+        byte = F.conv(F.hex(F.substring("_bits", F.shiftright(p.bitwiseAND((1 << ROW_BITS) - 1), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        there = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), p.bitwiseAND(7).cast("int"))) > 0, F.lit(False))
+        met = df.withColumn("_sieve", F.shiftright(p, ROW_BITS)).join(F.broadcast(table), "_sieve", "left").withColumn("_may", there).drop("_sieve", "_bits")
+        return met.where("_may").drop("_may"), met.where("NOT _may").drop("_may")
+
+    return split
+
+
+def forest(a, b):
+    """(node, root) of a spanning forest of the pairs (numpy arrays of ids): the same components with a
+    link a node, whatever the pairs."""
+    import numpy as np
+
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, x, label[y])
+        np.minimum.at(low, y, label[x])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    moved = label != np.arange(len(names))
+    return names[moved], names[label[moved]]
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b): one row (node, root) per node that has a link,
     root being the component's smallest node. Each round takes the smallest label among the

@@ -237,23 +237,6 @@ def _loaded(folder: str, file: str) -> tuple[Graph, np.ndarray, np.ndarray]:
         return Graph.load(io.BytesIO(f.read()))
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) of a spanning forest of the pairs: the same components with a link a node."""
-    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = place[: len(a)], place[len(a) :]
-    label = np.arange(len(names))
-    while True:
-        low = label.copy()
-        np.minimum.at(low, x, label[y])
-        np.minimum.at(low, y, label[x])
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    moved = label != np.arange(len(names))
-    return names[moved], names[label[moved]]
-
-
 def usable(col: str) -> Column:
     """Neither null nor zero, and all components finite."""
     ok = F.forall(col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -331,7 +314,7 @@ def near_duplicates(
         other = own[a] != ids[b]
         a, b = a[other], b[other]
         count = np.bincount(a, weights=weight[b], minlength=len(own)).astype(np.int64)
-        node, root = forest(own[a], ids[b])
+        node, root = common.forest(own[a], ids[b])
         some = count > 0
         return pa.table(
             {

@@ -1,21 +1,28 @@
 """N-gram Jaccard join by T-occurrence search over divided inverted lists.
 
-A partner of a document with n shingles holds at least T = ceil(min_jaccard * n) of them. DivideSkip
-splits a document's n inverted lists into the L longest and the rest: a partner occurs T - L times
-or more in the short lists, so only those are merged, and the long lists are merely probed, by
-binary search, for what the merge found. With L = T - 1 one occurrence in the n - T + 1 shortest
-lists is enough, which keeps what is shuffled to a tenth of all shingles at 0.9.
-
-Any order of the lists that all documents share keeps this exact; list lengths come from a sketch
-of fixed size that counts all shingles of the corpus. Identical sets are one class throughout. In
-each short list every class is first joined to the list's two end classes only, so a family of
-near copies costs as many pairs as it has members; classes that are in one component by then need
-no further pairs. All other pairs of a list whose classes are still apart are made and probed.
+A partner of a document with n shingles holds at least T = ceil(min_jaccard * n) of them. A search
+range is a part of the indexed documents with their inverted lists in the memory of a task, and
+DivideSkip answers the documents that are sent to it: the L longest lists of a document are put
+aside, the short ones are merged by a heap, and whoever occurs in T - L or more of them is looked
+up in the long lists by binary search until the required overlap is reached or out of reach.
+
+A document is sent to a range only if they have one of its n - T + 1 shortest lists of the whole
+corpus in common, for any partner shares one of those. Any order of the lists that all documents
+share keeps this exact; list lengths come from a sketch of fixed size that counts all shingles.
+
+Identical sets are one class throughout. The first search indexes one class a list, its pivot, so
+a family of near copies is sent as often as it has members; the second indexes the other classes,
+and a document is only sent to ranges that have a class of another component in one of its lists.
+What is sent grows with lists times ranges, never with the pairs of a list.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import zlib
+from functools import lru_cache
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +31,9 @@ from . import common
 
 #: Fixed values of the shingle hash (odd 64-bit constants).
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)
-SKETCH_BITS, CHUNK_BITS, BUCKETS, PARITY = 23, 16, 1 << 18, 512
+SKETCH_BITS, CHUNK_BITS, PARITY = 23, 16, 512
+#: Shingles of a search range, documents sent to it in one block, and how a merge step compares with a probe.
+RANGE, BLOCK, MERGE_COST = 4_000_000, 4096, 0.01
 
 
 def shingle_set(text: str, size: int = 3):
@@ -101,23 +110,6 @@ def classes_and_sketch(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", common.text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n long, class long, parity array<long>, chunk int, counts binary")
 
 
-def shingle_counts(shingles: DataFrame) -> DataFrame:
-    """(chunk, counts): per task the counts of a shingle column by other bits of the hash, packed."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for b in batches:
-            np.add.at(counts, b.column(0).to_numpy() >> 32 & ((1 << SKETCH_BITS) - 1), 1)
-        parts = [(c, zlib.compress(p.tobytes(), 1)) for c, p in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)) if p.any()]
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["chunk", "counts"])
-
-    return shingles.mapInArrow(run, "chunk int, counts binary")
-
-
 def merged(parts: DataFrame) -> bytes:
     """Packed counts of all tasks added up, on a logarithmic scale: 2**SKETCH_BITS 16-bit numbers
     (16 MB, whatever the input), packed."""
@@ -179,29 +171,18 @@ def short_lists(docs: DataFrame, lengths: bytes, size: int, percent: int) -> Dat
 
 
 def shared_lists(short: DataFrame) -> DataFrame:
-    """(shingle, class, n) of the short lists with two classes or more. Most lists have one class; a
-    sketch of fixed size of those that have more spares the join the entries of nearly all others."""
-    shared = short.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("shingle")
-    shared = common.stash(shared, "shared")
-    sent = short.sparkSession.sparkContext.broadcast(merged(shingle_counts(shared)))
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        there = np.frombuffer(zlib.decompress(sent.value), np.uint16) > 0
-        for b in batches:
-            yield b.filter(pa.array(there[b.column(0).to_numpy() >> 32 & ((1 << SKETCH_BITS) - 1)]))
-
-    likely = short.mapInArrow(run, short.schema)
-    return likely.join(shared, "shingle").groupBy("shingle", "class").agg(F.first("n").alias("n"))
+    """(shingle, class, n) of the short lists with two classes or more. Only numbers of entries are
+    added up over all lists; what a class wrote twice is put together in those that pass."""
+    shared = common.stash(short.groupBy("shingle").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("shingle"), "shared")
+    likely, _ = common.sieve(shared, "shingle")(short)
+    entries = common.stash(likely.join(shared, "shingle", "left_semi").groupBy("shingle", "class").agg(F.first("n").alias("n")), "entries")
+    more = entries.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("shingle")
+    return entries.join(more, "shingle", "left_semi")
 
 
 def class_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """(class, items) of the classes in reps (class, doc_id of a member). Two semi-joins with at most
-    BUCKETS numbers spare most other documents the work; the join with the classes is exact."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("spot")
-    place = F.pmod(F.xxhash64("class"), F.lit(BUCKETS)).cast("int").alias("place")
+    """(class, items) of the classes in reps (class, doc_id of a member). Sieves spare most other
+    documents the work; the join with the classes is exact."""
 
     def run(batches):
         import pyarrow as pa
@@ -213,10 +194,9 @@ def class_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
                 if sets:
                     yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["class", "items"])
 
-    near = docs.select("*", spot).join(F.broadcast(reps.select(spot).distinct()), "spot", "left_semi")
-    sets = near.select(common.text_of().alias("text")).mapInArrow(run, "class long, items array<long>")
-    sets = sets.select("*", place).join(F.broadcast(reps.select(place).distinct()), "place", "left_semi").drop("place")
-    return sets.groupBy("class").agg(F.first("items").alias("items"))
+    near, _ = common.sieve(reps, "doc_id")(docs)
+    sets, _ = common.sieve(reps, "class")(near.select(common.text_of().alias("text")).mapInArrow(run, "class long, items array<long>"))
+    return sets.join(reps.select("class"), "class", "left_semi").groupBy("class").agg(F.first("items").alias("items"))
 
 
 def allowed(na: str, pa: str, nb: str, pb: str, percent: int) -> Column:
@@ -227,41 +207,139 @@ def allowed(na: str, pa: str, nb: str, pb: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((F.size(pa) != F.size(pb)) | few)
 
 
-def probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the required overlap: b's shingles are looked up in a's
-    sorted ones by binary search, block by block, until the overlap is out of reach."""
+class Range:
+    """Inverted lists of some documents: each list has the places of those that hold its shingle, in
+    order; places are in order of root, so those of one component are side by side."""
+
+    def __init__(self, classes, roots, sizes, shingles):
+        """shingles: of all documents one after the other, sizes telling them apart."""
+        import numpy as np
+
+        order = np.lexsort((classes, roots))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.classes, self.roots, self.sizes = classes[order], roots[order], sizes[order]
+        at = np.repeat(place, sizes)
+        by = np.lexsort((at, shingles))
+        self.lists = at[by]
+        self.keys, first = np.unique(shingles[by], return_index=True)
+        self.bounds = np.append(first, len(by))
+
+    def search(self, classes, roots, sizes, shingles, percent: int):
+        """(document, class) of all links between the documents asked for and those of the range that
+        are of another root."""
+        import numpy as np
+
+        where = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
+        there = self.keys[where] == shingles
+        low, high = np.searchsorted(self.roots, roots), np.searchsorted(self.roots, roots, "right")
+        ends = np.cumsum(sizes)
+        a, b = [], []
+        for i in range(len(classes)):
+            part = slice(ends[i] - sizes[i], ends[i])
+            for place in self._answer(where[part][there[part]], int(sizes[i]), int(low[i]), int(high[i]), percent):
+                a.append(classes[i])
+                b.append(self.classes[place])
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def _answer(self, found, n: int, low: int, high: int, percent: int):
+        import numpy as np
+
+        needed = _needed(n, percent)
+        if len(found) < needed:
+            return
+        lengths = self.bounds[found + 1] - self.bounds[found]
+        order = np.argsort(lengths, kind="stable")
+        found, longest = found[order], int(lengths[order[-1]])
+        long = min(needed - 1, int(needed / (MERGE_COST * np.log2(longest) + 1)))
+        lists = []
+        for k in found[: len(found) - long].tolist():
+            x = self.lists[self.bounds[k] : self.bounds[k + 1]]
+            if high > low and len(x) > 1:  # without those of the own root
+                i, j = np.searchsorted(x, (low, high)).tolist()
+                lists += [x[:i], x[j:]]
+            elif not (len(x) == 1 and low <= x[0] < high):
+                lists.append(x)
+        lists = [x for x in lists if len(x)]
+        if sum(map(len, lists)) > 4096:  # runs this long are merged by a sort that takes them for what they are
+            places, times = np.unique(np.sort(np.concatenate(lists), kind="stable"), return_counts=True)
+            often = times >= needed - long
+            merged_ = zip(places[often].tolist(), times[often].tolist(), strict=True)
+        else:
+            merged_ = ((p, sum(1 for _ in g)) for p, g in groupby(heapq.merge(*(x.tolist() for x in lists))))
+        for place, got in merged_:
+            if got < needed - long:
+                continue
+            overlap = -(-percent * (n + int(self.sizes[place])) // (100 + percent))  # then 100 * overlap >= percent * union
+            for left, k in enumerate(found[len(found) - long :].tolist()):
+                if got >= overlap or got + long - left < overlap:
+                    break
+                x = self.lists[self.bounds[k] : self.bounds[k + 1]]
+                at = int(np.searchsorted(x, place))
+                got += int(at < len(x) and x[at] == place)
+            if got >= overlap:
+                yield place
+
+
+@lru_cache(maxsize=1)
+def _range(folder: str, number: int) -> Range | None:
+    import numpy as np
+    from pyarrow import dataset, fs as pafs
+
+    fs, path = common.local_fs(f"{folder}/range={number}")
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return None
+    t = dataset.dataset(path, filesystem=fs, format="parquet").to_table(columns=["class", "root", "items"])
+    items = t.column("items").combine_chunks()
+    return Range(t.column("class").to_numpy(), t.column("root").to_numpy(), np.diff(items.offsets.to_numpy()), items.values.to_numpy()[items.offsets[0].as_py() : items.offsets[-1].as_py()])
+
+
+def search(docs: DataFrame, classes: DataFrame, index: DataFrame, routes: DataFrame, ranges: int, size: int, percent: int) -> DataFrame:
+    """Links (a, b), as a spanning forest of what each task finds, between documents sent to ranges and
+    those indexed there. index: class, root, range; routes: class, root, range; both stored tables."""
+    spark = docs.sparkSession
+    wanted = index.select("class").unionAll(routes.select("class")).distinct()
+    reps = common.stash(classes.select("class", "doc_id").join(wanted, "class", "left_semi"), "reps")
+    sets = common.stash(class_sets(docs, reps, size), "sets")
+    folder = common.scratch_path(spark, "ranges")
+    sets.join(index, "class").repartition("range").write.partitionBy("range").parquet(folder)
+    sent = routes.groupBy("range").agg(F.count(F.lit(1)).alias("asked"))
+    block = F.pmod(F.xxhash64("class", F.lit(5)), F.ceil(F.col("asked") / BLOCK))
+    asks = sets.join(routes.join(F.broadcast(sent), "range").withColumn("block", block).drop("asked"), "class")
+    asks = asks.repartition(F.col("range"), F.col("block")).sortWithinPartitions("range")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            keep = []
-            x, y = batch.column("x"), batch.column("y")
-            ox, vx = x.offsets.to_numpy(), x.values.to_numpy()
-            oy, vy = y.offsets.to_numpy(), y.values.to_numpy()
-            for i in range(batch.num_rows):
-                p, q = vx[ox[i] : ox[i + 1]], vy[oy[i] : oy[i + 1]]
-                got, at = 0, 0
-                need = -(-percent * (len(p) + len(q)) // (100 + percent))  # then 100 * overlap >= percent * union
-                while at < len(q) and got + len(q) - at >= need:
-                    block = q[at : at + 128]
-                    where = np.searchsorted(p, block)
-                    got += int((p[np.minimum(where, len(p) - 1)] == block).sum())
-                    at += 128
-                keep.append(at >= len(q) and got >= need)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    far = pairs.join(sets.select(F.col("class").alias("b"), F.col("items").alias("y")), "b")
-    both = far.join(sets.select(F.col("class").alias("a"), F.col("items").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def linked(docs: DataFrame, near: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the candidate pairs (a stored table) that are links, in a stored table."""
-    in_pairs = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    reps = common.stash(classes.select("class", "doc_id").join(in_pairs, "class", "left_semi"), "reps")
-    return common.stash(probe(near, class_sets(docs, reps, size), percent), "linked")
+        for b in batches:
+            which = b.column("range").to_numpy()
+            for number in np.unique(which).tolist():
+                t = b.filter(pa.array(which == number))
+                here = _range(folder, number)
+                if here is None:
+                    continue
+                items = t.column("items")
+                start, end = items.offsets[0].as_py(), items.offsets[-1].as_py()
+                x, y = here.search(t.column("class").to_numpy(), t.column("root").to_numpy(), np.diff(items.offsets.to_numpy()), items.values.to_numpy()[start:end], percent)
+                if len(x):
+                    node, root = common.forest(x, y)
+                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["a", "b"])
+
+    return common.stash(asks.select("class", "root", "range", "items").mapInArrow(run, "a long, b long"), "links")
+
+
+def band(n: str, percent: int) -> Column:
+    """Number of a size's band: sizes that allow a link are at most one band apart."""
+    step = max(1e-9, math.log(100 / percent) * (1 + 1e-9))
+    return F.floor(F.log(F.col(n).cast("double")) / F.lit(step)).cast("long")
+
+
+def ranges_of(index: DataFrame, classes: DataFrame) -> tuple[DataFrame, int]:
+    """index (class, root) dealt over as many ranges as its sets need."""
+    total = index.join(classes.select("class", "n"), "class").agg(F.sum("n")).first()[0] or 0
+    n = max(1, -(-total // RANGE))
+    return common.stash(index.select("class", "root", F.pmod(F.xxhash64("class", F.lit(3)), F.lit(n)).cast("int").alias("range")), "index"), n
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -287,19 +365,25 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     star = star.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
     a = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     b = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    near = star.join(a, "a").join(b, "b").where(allowed("na", "pa", "nb", "pb", percent)).select("a", "b")
-    links = linked(docs, common.stash(near, "near"), classes, size, percent)
+    near = common.stash(star.join(a, "a").join(b, "b").where(allowed("na", "pa", "nb", "pb", percent)).select("a", "b"), "near")
+    index, ranges = ranges_of(near.select(F.col("a").alias("class"), F.col("a").alias("root")).distinct(), classes)
+    routes = near.join(index.select(F.col("class").alias("a"), "range"), "a").select(F.col("b").alias("class"), F.col("b").alias("root"), "range").distinct()
+    links = search(docs, classes, index, common.stash(routes, "routes"), ranges, size, percent)
     root = common.components(links)
 
     # What is left: pairs of a list whose classes are in different components, neither being its pivot.
     placed = lists.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     open_ = placed.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("shingle")
     inner = placed.join(open_, "shingle", "left_semi").join(pivots, "shingle").where("class <> pivot").select("shingle", "class", "n", "root")
-    inner = common.stash(inner.join(classes.select("class", "parity"), "class"), "inner")
-    x, y = inner.alias("x"), inner.alias("y")
-    apart = F.expr("x.shingle = y.shingle AND x.class < y.class AND x.root <> y.root") & allowed("x.n", "x.parity", "y.n", "y.parity", percent)
-    pairs = x.join(y, apart).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    more = linked(docs, common.stash(pairs, "near"), classes, size, percent)
+    inner = common.stash(inner, "inner")
+    index, ranges = ranges_of(inner.select("class", "root").distinct(), classes)
+    # by list, size band and range: whom a document of that list may still meet there
+    there = inner.join(index.select("class", "range"), "class").groupBy("shingle", "range", band("n", percent).alias("band"))
+    there = there.agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("n").alias("least"), F.max("n").alias("most"))
+    asks = inner.select("*", F.explode(F.array(band("n", percent) - 1, band("n", percent), band("n", percent) + 1)).alias("band"))
+    met = asks.join(there, ["shingle", "band"]).where("r <> root OR s <> root").where(f"100 * n >= {percent} * least AND 100 * most >= {percent} * n")
+    routes = common.stash(met.select("class", "root", "range").distinct(), "routes")
+    more = search(docs, classes, index, routes, ranges, size, percent)
     if more.limit(1).count():
         root = common.components(links.unionAll(more))
 

@@ -125,6 +125,14 @@ def score_documents(docs: DataFrame, text_col: str = "text", threshold: float =
     return verdict(counts(docs.select(*(c for c in docs.columns if c not in added)), text_col), threshold, iterations)
 
 
+def kept_documents(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
+    """The rows of docs that score_documents keeps, all their columns as they are. Rows are stored with
+    their counts between the fit and the verdict, so each text is counted once."""
+    whole = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))
+    counted = common.stash(counts(whole, "text", keep=["doc"]), "counts")
+    return verdict(counted, **kw)[0].where("kept").select("doc.*")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document. The counts, small numbers, are kept between the fit
     and the verdict, so texts are read once."""
