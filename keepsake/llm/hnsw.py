@@ -1,7 +1,9 @@
 """Embedding near-duplicates: navigable small-world graphs per shard, queried by every vector.
 
-Identical vectors are one class. Classes are dealt over shards; each shard's graph is a file in the
-shared folder. Every class queries every shard, in blocks. A beam whose results are all at or above
+Identical vectors are one class. Classes are dealt over shards, by length and hash; each shard's
+graph is a file in the shared folder. Every class queries every shard of its length: a task takes a
+block of classes and loads the graphs one after the other, so vectors aren't sent about. Beams begin
+narrow and work in single precision. A beam whose results are all at or above
 the threshold is widened until it isn't, up to the whole shard. When a graph is built, an audit
 compares what queries from all shards find with all that is there, their own nodes left out, and
 widens the shard's beam until the recall is reached. Found pairs are checked by their cosine in double precision; a task returns
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DEGREE, BUILD_BEAM, BEAM, AT_ONCE, POOL = 16, 64, 48, 4, 32
+DEGREE, BUILD_BEAM, BEAM, AT_ONCE, POOL = 16, 48, 8, 4, 32
+#: How far single precision may be off a cosine: beams take in that much more, double precision decides.
+LOOSE = 1e-4
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -34,7 +38,7 @@ def beam_search(v: np.ndarray, near: np.ndarray, q: np.ndarray, start: np.ndarra
     step: each expands its AT_ONCE best open nodes, and the widths are cut after each step."""
     rows = np.arange(len(q))
     ids = np.full((len(q), width + 1), -1, np.int64)
-    sims = np.full((len(q), width + 1), -np.inf)
+    sims = np.full((len(q), width + 1), -np.inf, v.dtype)
     done = np.ones((len(q), width + 1), bool)
     seen = np.zeros((len(q), len(v)), bool)
     ids[:, 0], sims[:, 0], done[:, 0] = start, (v[start] * q).sum(axis=1), False
@@ -105,6 +109,7 @@ class Graph:
 
     def __init__(self, v: np.ndarray, layers: list[np.ndarray], top: int, width: int = BEAM, exact: bool = False):
         self.v, self.layers, self.top, self.width, self.exact = v, layers, top, width, exact
+        self.low = v.astype(np.float32)
 
     @classmethod
     def build(cls, v: np.ndarray, seed: int) -> Graph:
@@ -118,7 +123,7 @@ class Graph:
             near = np.full((n, degree), -1, np.int64)
             members = np.flatnonzero(level >= l)
             members = members[np.argsort(-level[members], kind="stable")]
-            entry = graph.descend(v[members])
+            entry = graph.descend(graph.low[members])
             size = 1
             while size < len(members):
                 step = min(max(1, size // 2), 256)
@@ -131,11 +136,11 @@ class Graph:
         at = np.full(len(q), self.top, np.int64)
         for near in reversed(self.layers):
             for i in range(0, len(q), 512):
-                at[i : i + 512] = beam_search(self.v, near, q[i : i + 512], at[i : i + 512], 4)[0][:, 0]
+                at[i : i + 512] = beam_search(self.low, near, q[i : i + 512], at[i : i + 512], 4)[0][:, 0]
         return at
 
     def _insert(self, near: np.ndarray, new: np.ndarray, entry: np.ndarray, degree: int) -> None:
-        v = self.v
+        v = self.low
         start = np.where(np.isin(entry, new), self.top, entry)
         ids, sims = beam_search(v, near, v[new], start, BUILD_BEAM)
         each = v[new] @ v[new].T
@@ -167,7 +172,8 @@ class Graph:
         """(query, node) of the pairs with a cosine of threshold or more that the beams find."""
         found: list[tuple[np.ndarray, np.ndarray]] = []
         rest, width = np.arange(len(q)), self.width
-        entry = None if self.exact else self.descend(q)
+        low = q.astype(np.float32)
+        entry = None if self.exact else self.descend(low)
         while len(rest):
             if self.exact or width * 4 >= len(self.v):
                 for i in range(0, len(rest), 512):
@@ -177,12 +183,14 @@ class Graph:
             full = []
             for i in range(0, len(rest), 256):
                 part = rest[i : i + 256]
-                ids, sims = beam_search(self.v, self.layers[0], q[part], entry[part], width)
-                hit = sims >= threshold
+                ids, sims = beam_search(self.low, self.layers[0], low[part], entry[part], width)
+                hit = sims >= threshold - LOOSE
                 whole = hit.all(axis=1)
                 full.append(part[whole])
                 a, b = np.nonzero(hit & ~whole[:, None])
-                found.append((part[a], ids[a, b]))
+                a, b = part[a], ids[a, b]
+                sure = (q[a] * self.v[b]).sum(axis=1) >= threshold
+                found.append((a[sure], b[sure]))
             rest, width = np.concatenate(full), width * 4
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
@@ -249,36 +257,33 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row: vec_id, n_links long, component_id (smallest vec_id in reach), kept boolean.
 
-    vec_id is an integer. Links: cosine of threshold or more, both in double precision. Vectors that are null, zero or hold
-    null or non-finite components, and those of another length than most, link with nothing; so do
-    rows without an id, whose component is null. Repeated rows count as vectors of their own. A
-    class is known by a 64-bit hash of its vector. An empty table gives none. At least `shards`
-    shards, more where one would hold over shard_rows classes; `sample` links a shard audit it, those
-    of the POOL * sample classes with the smallest hash as far as they go.
+    vec_id is an integer. Links: cosine of threshold or more, both in double precision, between
+    vectors of one length. Vectors that are null, zero or hold null or non-finite components link
+    with nothing; so do rows without an id, whose component is null. Repeated rows count as vectors
+    of their own. A class is known by a 64-bit hash of its vector. An empty table gives none. At
+    least `shards` shards a length, more where one would hold over shard_rows classes; `sample` links
+    a shard audit it, those of the POOL * sample classes with the smallest hash as far as they go.
     Other columns are not read."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    sizes = rows.where(usable("vec")).groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    width = sizes["d"] if sizes else 0
-    keyed = rows.withColumn("class", F.when(usable("vec") & (F.size("vec") == width) & F.col("vec_id").isNotNull(), F.xxhash64("vec")))
+    keyed = rows.withColumn("class", F.when(usable("vec") & F.col("vec_id").isNotNull(), F.xxhash64("vec")))
     classes = keyed.where("class IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"))
-    classes = common.stash(classes, "vectors")
+    classes = common.stash(classes.withColumn("size", F.size("vec")), "vectors")
     total = classes.count()
     n = max(shards, -(-total // shard_rows))
-    blocks = max(1, -(-total // block_rows))
     folder, pool = common.scratch_path(spark, "graphs"), common.scratch_path(spark, "pool")
-    classes.select("class", "vec").orderBy(F.xxhash64("class", F.lit(2))).limit(POOL * sample).coalesce(1).write.parquet(pool)
+    classes.select("class", "vec", "size").orderBy(F.xxhash64("class", F.lit(2))).limit(POOL * sample).coalesce(1).write.parquet(pool)
 
     def matrix(t) -> np.ndarray:
         column = t.column("vec").combine_chunks()
         return unit(column.flatten().to_numpy().reshape(len(column), -1))
 
-    def asked() -> tuple[np.ndarray, np.ndarray]:
+    def asked(size: int) -> tuple[np.ndarray, np.ndarray]:
         from pyarrow import dataset
 
         fs, path = common.local_fs(pool)
-        t = dataset.dataset(path, filesystem=fs, format="parquet").to_table(columns=["class", "vec"])
-        return matrix(t), t.column("class").to_numpy()
+        t = dataset.dataset(path, filesystem=fs, format="parquet").to_table(columns=["class", "vec"], filter=dataset.field("size") == size)
+        return matrix(t) if t.num_rows else np.zeros((0, size)), t.column("class").to_numpy()
 
     def build(key, t):
         import io
@@ -286,52 +291,67 @@ def near_duplicates(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        shard = key[0].as_py()
+        size, shard = key[0].as_py(), key[1].as_py()
         t = t.sort_by("class")
         graph = Graph.build(matrix(t), shard)
-        ids, (asks, own) = t.column("class").to_numpy(), asked()
+        ids, (asks, own) = t.column("class").to_numpy(), asked(size)
         spot = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
         found = graph.audit(threshold, recall, sample, asks, np.where(ids[spot] == own, spot, -1))
         fs, path = common.local_fs(folder)
         fs.create_dir(path, recursive=True)
-        name, held = f"graph-{shard:05d}-{TaskContext.get().taskAttemptId()}.npz", io.BytesIO()
+        name, held = f"graph-{size}-{shard:05d}-{TaskContext.get().taskAttemptId()}.npz", io.BytesIO()
         graph.save(held, t.column("class").to_numpy(), t.column("n").to_numpy())
         with fs.open_output_stream(f"{path}/{name}") as f:
             f.write(held.getbuffer())
-        return pa.table({"shard": pa.array([shard], pa.int32()), "file": [name], "recall": [found], "beam": pa.array([graph.width], pa.int32()), "exact": [graph.exact]})
+        return pa.table({"size": pa.array([size], pa.int32()), "shard": pa.array([shard], pa.int32()), "file": [name], "recall": [found], "beam": pa.array([graph.width], pa.int32()), "exact": [graph.exact]})
 
     placed = classes.withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(n)).cast("int"))
-    graphs = common.stash(placed.groupBy("shard").applyInArrow(build, "shard int, file string, recall double, beam int, exact boolean"), "graphs")
-    files = {r["shard"]: r["file"] for r in graphs.collect()}  # one name a shard
+    manifest = common.scratch_path(spark, "manifest")
+    built = placed.repartitionByRange(n, "size", "shard").groupBy("size", "shard").applyInArrow(build, "size int, shard int, file string, recall double, beam int, exact boolean")
+    built.write.parquet(manifest)
 
-    def query(key, t):
+    def query(batches):
+        """Blocks of classes against the shards of their length; the manifest names the files."""
         import pyarrow as pa
+        from pyarrow import dataset
 
-        graph, ids, weight = _loaded(folder, files[key[0].as_py()])
-        own = t.column("class").to_numpy()
-        q = matrix(t)
-        a, b = graph.within(q, threshold)
-        other = own[a] != ids[b]
-        a, b = a[other], b[other]
-        count = np.bincount(a, weights=weight[b], minlength=len(own)).astype(np.int64)
-        node, root = common.forest(own[a], ids[b])
-        some = count > 0
-        return pa.table(
-            {
-                "a": pa.array(np.concatenate([own[some], node])),
-                "links": pa.array(np.concatenate([count[some], np.zeros(len(node), np.int64)])),
-                "b": pa.array(np.concatenate([np.zeros(some.sum(), np.int64), root])),
-                "edge": pa.array(np.concatenate([np.zeros(some.sum(), bool), np.ones(len(node), bool)])),
-            }
-        )
-
-    # The stated query set: every class asks every shard, block by block.
-    asks = classes.select("class", "vec", F.explode(F.array(*map(F.lit, sorted(files)))).alias("shard"), F.pmod(F.xxhash64("class", F.lit(1)), F.lit(blocks)).alias("block")) if files else None
-    if asks is None:
-        return rows.select(F.col("vec_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    answers = common.stash(asks.groupBy("shard", "block").applyInArrow(query, "a long, links long, b long, edge boolean"), "answers")
-    counts = answers.where("NOT edge").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
-    root = common.components(answers.where("edge").select("a", "b"))
+        fs, path = common.local_fs(manifest)
+        held, waiting = [], 0
+        for b in batches:
+            held.append(b)
+            waiting += b.num_rows
+            if waiting >= block_rows:
+                yield from answers(pa.Table.from_batches(held), fs, path, pa, dataset)
+                held, waiting = [], 0
+        if waiting:
+            yield from answers(pa.Table.from_batches(held), fs, path, pa, dataset)
+
+    def answers(t, fs, path, pa, dataset):
+        import pyarrow.compute as pc
+
+        for size in pc.unique(t.column("size")).to_pylist():
+            part = t.filter(pc.equal(t.column("size"), size))
+            files = dataset.dataset(path, filesystem=fs, format="parquet").to_table(columns=["shard", "file"], filter=dataset.field("size") == size).sort_by("shard")
+            own, q = part.column("class").to_numpy(), matrix(part)
+            count, pairs = np.zeros(len(own), np.int64), [(np.zeros(0, np.int64),) * 2]
+            for file in files.column("file").to_pylist():
+                graph, ids, weight = _loaded(folder, file)
+                a, b = graph.within(q, threshold)
+                other = own[a] != ids[b]
+                a, b = a[other], b[other]
+                count += np.bincount(a, weights=weight[b], minlength=len(own)).astype(np.int64)
+                pairs.append(common.forest(own[a], ids[b]))
+            node, root = common.forest(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+            some = count > 0
+            columns = [np.concatenate(x) for x in ((own[some], node), (count[some], np.zeros(len(node), np.int64)), (np.zeros(some.sum(), np.int64), root), (np.zeros(some.sum(), bool), np.ones(len(node), bool)))]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["a", "links", "b", "edge"])
+
+    # The stated query set: every class asks every shard. Blocks are dealt evenly; vectors move once for that.
+    blocks = max(2 * n, -(-total // block_rows))
+    asks = classes.select("class", "vec", "size").repartition(blocks)
+    answered = common.stash(asks.mapInArrow(query, "a long, links long, b long, edge boolean"), "answers")
+    counts = answered.where("NOT edge").select(F.col("a").alias("class"), "links")
+    root = common.components(answered.where("edge").select("a", "b"))
     named = classes.select("class", "vec_id", "n").join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = named.join(counts, "class", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("n") - 1)
     low = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))

@@ -40,3 +40,28 @@ def test_a_good_graph_keeps_its_beam():
     v = vectors(2000, 200)
     graph = hnsw.Graph.build(v, 1)
     assert graph.audit(0.9, 0.9, 256, v, np.arange(2000)) >= 0.9 and not graph.exact
+
+
+def test_planted_pairs_just_above_the_threshold_are_found(spark):
+    """Pairs at cosines of 0.9 to 0.93 among many others, mostly across shards; and none below is linked."""
+    rng = np.random.default_rng(8)
+    v = hnsw.unit(rng.normal(size=(5000, 64)))
+    for k in range(600):
+        off = rng.normal(size=64)
+        off -= (off @ v[k]) * v[k]
+        off /= np.linalg.norm(off)
+        c = rng.uniform(0.88, 0.93)
+        v[1000 + k] = c * v[k] + np.sqrt(1 - c * c) * off
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(df, shards=4).collect()}
+    near = v @ v.T >= 0.9
+    want = near.sum(axis=1) - 1
+    assert sum(got.values()) >= 0.95 * want.sum() and want.sum() > 500 and all(got[i] <= want[i] for i in got)
+
+
+def test_every_length_has_its_links(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(300)] + [(1000 + i, rng.normal(size=9).tolist()) for i in range(40)] + [(2000, [3.0]), (2001, [5.0]), (2002, [-1.0])]
+    rows += [(3000, rows[5][1]), (3001, rows[310][1]), (3002, [x * 2 for x in rows[320][1]])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shards=3).collect()}
+    assert got[3000] == (1, 5) and got[3001] == (1, 1010) and got[3002] == (1, 1020) and got[2000] == got[2001] == (1, 2000) and got[2002] == (0, 2002)
