@@ -13,36 +13,63 @@ from keepsake.llm import common, jaccard, mixing, packing, pii, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the voting rules keep."""
-    whole = docs.select(F.struct("*").alias("doc"), "text")
-    scored, _ = quality.score_documents(whole)
-    return scored.where("kept").select("doc.*")
+    """Documents that the voting rules keep.
+
+    A null, empty or wordless text fails the base rule of 50 words and goes; very long texts count
+    whole; nulls in other columns and extra columns, whatever their names, go along; repeated rows
+    are judged alike and all stay or go; an empty table gives none."""
+    return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; of rows with the same id
-    one stays. Documents without words are nobody's copy. Near copies share 80 % of their five-word
-    shingles: a replaced passage of a tenth of the words, or one word in fifty, still is a copy."""
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"), size=5, percent=80)
-    stays = common.stash(found.where("component_id = doc_id").select("doc_id").distinct(), "stays")
-    kept = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi")
-    # joined and grouped by the same key: the second step needs no shuffle of its own
-    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), F.xxhash64(F.coalesce("text", F.lit("")))).alias("r"))
-    return one.select("doc_id", "r.*").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near copies, that with the smallest id. Near copies share 80 % of
+    their five-word shingles: a replaced passage of a tenth of the words, or one word in fifty, still is
+    a copy.
+
+    Documents are told apart by id and text, so rows with one id and different texts are different
+    documents, and rows with one id and one text are copies, of which one stays (equal in all else: any;
+    otherwise that with the smallest hash). A null id counts as larger than any other. Documents
+    without words (null or empty texts) are nobody's copy: all their rows stay. Very long texts
+    count whole; extra columns go along; an empty table gives none. Only documents that may have
+    to go are joined with what is decided, so most texts aren't shuffled."""
+    known = common.free_name(docs.columns, "_own")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("text"))
+    found = common.stash(jaccard.jaccard_components(docs.select(own.alias("doc_id"), "text"), size=5, percent=80).where("n_shingles > 0"), "found")
+    per = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.first("component_id").alias("component_id"))
+    # what has to go, and of what only one row stays
+    doubt = common.stash(per.where("component_id <> doc_id OR rows > 1").select(F.col("doc_id").alias(known), (F.col("component_id") == F.col("doc_id")).alias("_stays")), "doubt")
+    may, free = common.sieve(doubt, known)(docs.withColumn(known, own))
+    free = free.unionByName(may.join(doubt, known, "left_anti"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    twice = may.join(doubt.where("_stays").select(known), known, "left_semi")
+    one = twice.groupBy(known).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*rest) if rest else F.lit(0)).alias("r"))
+    return free.select(*docs.columns).unionByName(one.select("r.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by the kind of it."""
+    """Documents with personal data replaced by the kind of it.
+
+    Null texts stay null and empty ones empty; very long texts are read whole; repeated rows come
+    out alike, each once; nulls in other columns and extra columns go along (n_chars is the new
+    length); an empty table gives none."""
     return pii.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to the sources' target weights takes them."""
+    """Documents as often as the mix to the sources' target weights takes them.
+
+    Null, empty and wordless texts have no size and aren't taken; very long ones count whole; a
+    null source is a source of its own; repeated rows are documents of their own, and those that
+    tie in the shuffled order follow each other; extra columns go along; an empty table gives none."""
     return mixing.mix_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
+    """Pieces of the documents in sequences of at most 2048 tokens.
+
+    A null or empty text is one end token; very long ones are cut into pieces; each repeated row is
+    packed; ties between bins are settled by content; other columns aren't read; an empty table
+    gives none."""
     return packing.pack_documents(docs)
 
 

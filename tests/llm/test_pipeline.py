@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as cp
-from keepsake.llm import jaccard, pii, quality
+from keepsake.llm import pii, quality
 
 
 @pytest.fixture(scope="module")
@@ -35,11 +35,22 @@ def test_quality_stage(stages):
 
 
 def test_one_document_of_each_group_stays(stages):
+    """Groups are those of five-word shingles at 0.8, as near duplicates without a contract of their own take."""
+    from test_near import brute
+
     before, after = stages[1], stages[2]
-    first = {r.component_id for r in jaccard.jaccard_components(before).collect()}
+    first = {c for _, c in brute({r.doc_id: r.text for r in before.collect()}, 80, 5).values()}
     assert sorted(r.doc_id for r in after.collect()) == sorted(first)
 
 
+def test_rows_with_one_id_and_different_texts_are_different_documents(spark, data):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, words("a")), (1, words("b")), (1, words("a")), (2, words("b") + " more"), (None, words("c")), (None, words("c")), (None, words("d")), (3, words("d")), (4, None), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, (r.text or "-")[0]) for r in cp.near_duplicates(spark, df, data).collect())
+    assert got == {(1, "a"): 1, (1, "b"): 1, (None, "c"): 1, (3, "d"): 1, (4, "-"): 2}
+
+
 def test_no_personal_data_is_left(stages):
     rows = pii.find_pii(stages[3]).collect()
     assert stages[3].count() == stages[2].count()
