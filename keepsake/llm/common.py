@@ -32,9 +32,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/keepsake-{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+    path = path or scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -48,6 +48,16 @@ def local_fs(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), os.path.abspath(uri))
 
 
+def discard(*paths: str) -> None:
+    """Delete scratch tables that no DataFrame still to be computed reads."""
+    from pyarrow import fs as pafs
+
+    for p in paths:
+        fs, folder = local_fs(p)
+        if fs.get_file_info(folder).type == pafs.FileType.Directory:
+            fs.delete_dir(folder)
+
+
 def free_name(taken: Iterable[str], name: str) -> str:
     """name, or name with underscores before it when a column is called that already."""
     have = {c.lower() for c in taken}

@@ -31,7 +31,7 @@ from . import common
 
 #: Fixed values of the shingle hash (odd 64-bit constants).
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)
-SKETCH_BITS, CHUNK_BITS, PARITY = 23, 16, 512
+SKETCH_BITS, CHUNK_BITS, PARITY = 22, 16, 512
 #: Shingles of a search range, documents sent to it in one block, and how a merge step compares with a probe.
 RANGE, BLOCK, MERGE_COST = 4_000_000, 4096, 0.01
 
@@ -101,7 +101,7 @@ def classes_and_sketch(docs: DataFrame, size: int) -> DataFrame:
         parts = [(c, p) for c, p in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)) if p.any()]
         if parts:
             m, none = len(parts), pa.nulls
-            yield pa.RecordBatch.from_arrays([none(m, key), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.list_(pa.int64())), pa.array([c for c, _ in parts], pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for _, p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none(m, key), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.list_(pa.int64())), pa.array([c for c, _ in parts], pa.int32()), pa.array([zlib.compress(p.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for _, p in parts], pa.binary())], names=names)
 
     names = ["doc_id", "n", "class", "parity", "chunk", "counts"]
     from pyspark.sql.pandas.types import to_arrow_type
@@ -111,8 +111,8 @@ def classes_and_sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def merged(parts: DataFrame) -> bytes:
-    """Packed counts of all tasks added up, on a logarithmic scale: 2**SKETCH_BITS 16-bit numbers
-    (16 MB, whatever the input), packed."""
+    """Counts of all tasks (packed byte by byte: the low bytes, then the next) added up, on a
+    logarithmic scale: 2**SKETCH_BITS 16-bit numbers (8 MB, whatever the input), packed."""
 
     def add(batches):
         import numpy as np
@@ -121,7 +121,7 @@ def merged(parts: DataFrame) -> bytes:
         sums: dict[int, object] = {}
         for b in batches:
             for c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                new = np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.uint64)
+                new = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.uint64)
                 sums[c] = sums[c] + new if c in sums else new
         for c, s in sums.items():
             scaled = np.minimum(np.round(np.log2(1.0 + s) * 1536), 65535).astype(np.uint16)
@@ -171,18 +171,22 @@ def short_lists(docs: DataFrame, lengths: bytes, size: int, percent: int) -> Dat
 
 
 def shared_lists(short: DataFrame) -> DataFrame:
-    """(shingle, class, n) of the short lists with two classes or more. Only numbers of entries are
-    added up over all lists; what a class wrote twice is put together in those that pass."""
-    shared = common.stash(short.groupBy("shingle").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("shingle"), "shared")
+    """(shingle, class, n) of the short lists with two classes or more, in a stored table. Only numbers
+    of entries are added up over all lists; what a class wrote twice is put together in those that pass."""
+    spark = short.sparkSession
+    paths = [common.scratch_path(spark, "shared"), common.scratch_path(spark, "entries")]
+    shared = common.stash(short.groupBy("shingle").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("shingle"), "shared", paths[0])
     likely, _ = common.sieve(shared, "shingle")(short)
-    entries = common.stash(likely.join(shared, "shingle", "left_semi").groupBy("shingle", "class").agg(F.first("n").alias("n")), "entries")
+    entries = common.stash(likely.join(shared, "shingle", "left_semi").groupBy("shingle", "class").agg(F.first("n").alias("n")), "entries", paths[1])
     more = entries.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("shingle")
-    return entries.join(more, "shingle", "left_semi")
+    lists = common.stash(entries.join(more, "shingle", "left_semi"), "lists")
+    common.discard(*paths)
+    return lists
 
 
 def class_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """(class, items) of the classes in reps (class, doc_id of a member). Sieves spare most other
-    documents the work; the join with the classes is exact."""
+    """(class, items) of the classes in reps (class, doc_id of a member), and of a few others. Sieves
+    spare most other documents the work; a class may come more than once."""
 
     def run(batches):
         import pyarrow as pa
@@ -196,7 +200,7 @@ def class_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
 
     near, _ = common.sieve(reps, "doc_id")(docs)
     sets, _ = common.sieve(reps, "class")(near.select(common.text_of().alias("text")).mapInArrow(run, "class long, items array<long>"))
-    return sets.join(reps.select("class"), "class", "left_semi").groupBy("class").agg(F.first("items").alias("items"))
+    return sets
 
 
 def allowed(na: str, pa: str, nb: str, pb: str, percent: int) -> Column:
@@ -212,9 +216,14 @@ class Range:
     order; places are in order of root, so those of one component are side by side."""
 
     def __init__(self, classes, roots, sizes, shingles):
-        """shingles: of all documents one after the other, sizes telling them apart."""
+        """shingles: of all documents one after the other, sizes telling them apart. A class that comes
+        again is left out."""
         import numpy as np
 
+        once = np.zeros(len(classes), bool)
+        once[np.unique(classes, return_index=True)[1]] = True
+        if not once.all():
+            shingles, classes, roots, sizes = shingles[np.repeat(once, sizes)], classes[once], roots[once], sizes[once]
         order = np.lexsort((classes, roots))
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
@@ -294,19 +303,18 @@ def _range(folder: str, number: int) -> Range | None:
     return Range(t.column("class").to_numpy(), t.column("root").to_numpy(), np.diff(items.offsets.to_numpy()), items.values.to_numpy()[items.offsets[0].as_py() : items.offsets[-1].as_py()])
 
 
-def search(docs: DataFrame, classes: DataFrame, index: DataFrame, routes: DataFrame, ranges: int, size: int, percent: int) -> DataFrame:
+def search(docs: DataFrame, classes: DataFrame, index: DataFrame, routes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b), as a spanning forest of what each task finds, between documents sent to ranges and
     those indexed there. index: class, root, range; routes: class, root, range; both stored tables."""
     spark = docs.sparkSession
-    wanted = index.select("class").unionAll(routes.select("class")).distinct()
-    reps = common.stash(classes.select("class", "doc_id").join(wanted, "class", "left_semi"), "reps")
-    sets = common.stash(class_sets(docs, reps, size), "sets")
-    folder = common.scratch_path(spark, "ranges")
-    sets.join(index, "class").repartition("range").write.partitionBy("range").parquet(folder)
+    folder, stored = common.scratch_path(spark, "ranges"), common.scratch_path(spark, "sets")
     sent = routes.groupBy("range").agg(F.count(F.lit(1)).alias("asked"))
-    block = F.pmod(F.xxhash64("class", F.lit(5)), F.ceil(F.col("asked") / BLOCK))
-    asks = sets.join(routes.join(F.broadcast(sent), "range").withColumn("block", block).drop("asked"), "class")
-    asks = asks.repartition(F.col("range"), F.col("block")).sortWithinPartitions("range")
+    block = F.pmod(F.xxhash64("class", F.lit(5)), F.ceil(F.col("asked") / BLOCK)).cast("int").alias("block")
+    roles = index.select("class", "root", "range", F.lit(-1).alias("block")).unionAll(routes.join(sent, "range").select("class", "root", "range", block))
+    reps = common.stash(classes.select("class", "doc_id").join(roles, "class", "left_semi"), "reps")
+    sets = common.stash(class_sets(docs, reps, size).join(roles, "class"), "sets", stored)
+    sets.where("block < 0").drop("block").repartition("range").write.partitionBy("range").parquet(folder)
+    asks = sets.where("block >= 0").repartition(F.col("range"), F.col("block")).sortWithinPartitions("range")
 
     def run(batches):
         import numpy as np
@@ -326,7 +334,9 @@ def search(docs: DataFrame, classes: DataFrame, index: DataFrame, routes: DataFr
                     node, root = common.forest(x, y)
                     yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["a", "b"])
 
-    return common.stash(asks.select("class", "root", "range", "items").mapInArrow(run, "a long, b long"), "links")
+    links = common.stash(asks.select("class", "root", "range", "items").mapInArrow(run, "a long, b long"), "links")
+    common.discard(folder, stored)
+    return links
 
 
 def band(n: str, percent: int) -> Column:
@@ -335,11 +345,11 @@ def band(n: str, percent: int) -> Column:
     return F.floor(F.log(F.col(n).cast("double")) / F.lit(step)).cast("long")
 
 
-def ranges_of(index: DataFrame, classes: DataFrame) -> tuple[DataFrame, int]:
+def ranges_of(index: DataFrame, classes: DataFrame) -> DataFrame:
     """index (class, root) dealt over as many ranges as its sets need."""
     total = index.join(classes.select("class", "n"), "class").agg(F.sum("n")).first()[0] or 0
     n = max(1, -(-total // RANGE))
-    return common.stash(index.select("class", "root", F.pmod(F.xxhash64("class", F.lit(3)), F.lit(n)).cast("int").alias("range")), "index"), n
+    return common.stash(index.select("class", "root", F.pmod(F.xxhash64("class", F.lit(3)), F.lit(n)).cast("int").alias("range")), "index")
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -355,8 +365,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     members = rows.where("chunk IS NULL").select("doc_id", "n", "class")
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
     classes = common.stash(classes, "class")
-    short = common.stash(short_lists(docs, merged(rows.where("chunk IS NOT NULL")), size, percent), "short")
-    lists = common.stash(shared_lists(short), "lists")
+    entries = common.scratch_path(docs.sparkSession, "short")
+    lists = shared_lists(common.stash(short_lists(docs, merged(rows.where("chunk IS NOT NULL")), size, percent), "short", entries))
+    common.discard(entries)
 
     most = lists.groupBy("class").agg(F.count(F.lit(1)).alias("in_lists"))
     pivots = lists.join(most, "class").groupBy("shingle").agg(F.max(F.struct("in_lists", "class", "n")).alias("p"))
@@ -366,9 +377,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     a = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     b = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
     near = common.stash(star.join(a, "a").join(b, "b").where(allowed("na", "pa", "nb", "pb", percent)).select("a", "b"), "near")
-    index, ranges = ranges_of(near.select(F.col("a").alias("class"), F.col("a").alias("root")).distinct(), classes)
+    index = ranges_of(near.select(F.col("a").alias("class"), F.col("a").alias("root")).distinct(), classes)
     routes = near.join(index.select(F.col("class").alias("a"), "range"), "a").select(F.col("b").alias("class"), F.col("b").alias("root"), "range").distinct()
-    links = search(docs, classes, index, common.stash(routes, "routes"), ranges, size, percent)
+    links = search(docs, classes, index, common.stash(routes, "routes"), size, percent)
     root = common.components(links)
 
     # What is left: pairs of a list whose classes are in different components, neither being its pivot.
@@ -376,14 +387,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     open_ = placed.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("shingle")
     inner = placed.join(open_, "shingle", "left_semi").join(pivots, "shingle").where("class <> pivot").select("shingle", "class", "n", "root")
     inner = common.stash(inner, "inner")
-    index, ranges = ranges_of(inner.select("class", "root").distinct(), classes)
+    index = ranges_of(inner.select("class", "root").distinct(), classes)
     # by list, size band and range: whom a document of that list may still meet there
     there = inner.join(index.select("class", "range"), "class").groupBy("shingle", "range", band("n", percent).alias("band"))
     there = there.agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("n").alias("least"), F.max("n").alias("most"))
     asks = inner.select("*", F.explode(F.array(band("n", percent) - 1, band("n", percent), band("n", percent) + 1)).alias("band"))
     met = asks.join(there, ["shingle", "band"]).where("r <> root OR s <> root").where(f"100 * n >= {percent} * least AND 100 * most >= {percent} * n")
     routes = common.stash(met.select("class", "root", "range").distinct(), "routes")
-    more = search(docs, classes, index, routes, ranges, size, percent)
+    more = search(docs, classes, index, routes, size, percent)
     if more.limit(1).count():
         root = common.components(links.unionAll(more))
 
