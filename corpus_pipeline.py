@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     count whole; extra columns go along; an empty table gives none. Only documents that may have
     to go are joined with what is decided, so most texts aren't shuffled."""
     known = common.free_name(docs.columns, "_own")
-    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("text"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text"))
     found = common.stash(jaccard.jaccard_components(docs.select(own.alias("doc_id"), "text"), size=5, percent=80).where("n_shingles > 0"), "found")
     per = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.first("component_id").alias("component_id"))
     # what has to go, and of what only one row stays
