@@ -33,7 +33,7 @@ from . import common
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)
 SKETCH_BITS, CHUNK_BITS, PARITY = 22, 16, 512
 #: Shingles of a search range, documents sent to it in one block, and how a merge step compares with a probe.
-RANGE, BLOCK, MERGE_COST = 4_000_000, 4096, 0.01
+RANGE, BLOCK, MERGE_COST = 1_000_000, 4096, 0.01
 
 
 def shingle_set(text: str, size: int = 3):
@@ -323,13 +323,16 @@ def search(docs: DataFrame, classes: DataFrame, index: DataFrame, routes: DataFr
         for b in batches:
             which = b.column("range").to_numpy()
             for number in np.unique(which).tolist():
-                t = b.filter(pa.array(which == number))
                 here = _range(folder, number)
                 if here is None:
                     continue
-                items = t.column("items")
-                start, end = items.offsets[0].as_py(), items.offsets[-1].as_py()
-                x, y = here.search(t.column("class").to_numpy(), t.column("root").to_numpy(), np.diff(items.offsets.to_numpy()), items.values.to_numpy()[start:end], percent)
+                t, pairs = b.filter(pa.array(which == number)), [(np.zeros(0, np.int64),) * 2]
+                for i in range(0, t.num_rows, 256):
+                    part = t.slice(i, 256)
+                    items = part.column("items")
+                    start, end = items.offsets[0].as_py(), items.offsets[-1].as_py()
+                    pairs.append(here.search(part.column("class").to_numpy(), part.column("root").to_numpy(), np.diff(items.offsets.to_numpy()), items.values.to_numpy()[start:end], percent))
+                x, y = (np.concatenate(z) for z in zip(*pairs, strict=True))
                 if len(x):
                     node, root = common.forest(x, y)
                     yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["a", "b"])
