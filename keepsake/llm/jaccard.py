@@ -12,8 +12,9 @@ share keeps this exact; list lengths come from a sketch of fixed size that count
 
 Identical sets are one class throughout. The first search indexes one class a list, its pivot, so
 a family of near copies is sent as often as it has members; the second indexes the other classes,
-and a document is only sent to ranges that have a class of another component in one of its lists.
-What is sent grows with lists times ranges, never with the pairs of a list.
+and a document is only sent to ranges that have a class of another component in one of its lists:
+in lists of up to LIST classes one whose size and parities fit, in longer ones any of fitting size.
+What is sent grows with lists times ranges, never with the pairs of a long list.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from . import common
 #: Fixed values of the shingle hash (odd 64-bit constants).
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)
 SKETCH_BITS, CHUNK_BITS, PARITY = 22, 16, 512
-#: Shingles of a search range, documents sent to it in one block, and how a merge step compares with a probe.
-RANGE, BLOCK, MERGE_COST = 1_000_000, 4096, 0.01
+#: Shingles of a search range, documents sent to it in one block, classes of a list that are compared one
+#: by one, and how a merge step compares with a probe.
+RANGE, BLOCK, LIST, MERGE_COST = 1_000_000, 4096, 64, 0.01
 
 
 def shingle_set(text: str, size: int = 3):
@@ -135,7 +137,8 @@ def merged(parts: DataFrame) -> bytes:
 
 
 def short_lists(docs: DataFrame, lengths: bytes, size: int, percent: int) -> DataFrame:
-    """(shingle, class, n) of each class's n - T + 1 shortest lists. A task leaves out classes it has
+    """(shingle, class, n, front) of each class's n - T + 1 shortest lists. A partner of its size or more
+    shares one of the front ones, as the two then have 2 n p / (1 + p) in common. A task leaves out classes it has
     just written; repeats that other tasks write are put together later. Sets too small to have a
     partner of another size or with other shingles are left out: their only partner is themselves."""
     spark = docs.sparkSession
@@ -148,7 +151,7 @@ def short_lists(docs: DataFrame, lengths: bytes, size: int, percent: int) -> Dat
         length = np.frombuffer(zlib.decompress(sent.value), np.uint16)
         seen: set[int] = set()
         for b in batches:
-            lists, cls, ns = [], [], []
+            lists, cls, ns, fronts = [], [], [], []
             for text in b.column(0).to_pylist():
                 s = shingle_set(text, size)
                 n = len(s)
@@ -164,20 +167,21 @@ def short_lists(docs: DataFrame, lengths: bytes, size: int, percent: int) -> Dat
                 lists.append(s[first])
                 cls.append(np.full(len(first), c))
                 ns.append(np.full(len(first), n))
+                fronts.append(np.arange(len(first)) <= n - -(-2 * percent * n // (100 + percent)))
             if lists:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (lists, cls, ns)], names=["shingle", "class", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (lists, cls, ns, fronts)], names=["shingle", "class", "n", "front"])
 
-    return docs.select(common.text_of().alias("text")).mapInArrow(run, "shingle long, class long, n long")
+    return docs.select(common.text_of().alias("text")).mapInArrow(run, "shingle long, class long, n long, front boolean")
 
 
 def shared_lists(short: DataFrame) -> DataFrame:
-    """(shingle, class, n) of the short lists with two classes or more, in a stored table. Only numbers
+    """(shingle, class, n, front) of the short lists with two classes or more, in a stored table. Only numbers
     of entries are added up over all lists; what a class wrote twice is put together in those that pass."""
     spark = short.sparkSession
     paths = [common.scratch_path(spark, "shared"), common.scratch_path(spark, "entries")]
     shared = common.stash(short.groupBy("shingle").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("shingle"), "shared", paths[0])
     likely, _ = common.sieve(shared, "shingle")(short)
-    entries = common.stash(likely.join(shared, "shingle", "left_semi").groupBy("shingle", "class").agg(F.first("n").alias("n")), "entries", paths[1])
+    entries = common.stash(likely.join(shared, "shingle", "left_semi").groupBy("shingle", "class").agg(F.first("n").alias("n"), F.first("front").alias("front")), "entries", paths[1])
     more = entries.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("shingle")
     lists = common.stash(entries.join(more, "shingle", "left_semi"), "lists")
     common.discard(*paths)
@@ -203,6 +207,13 @@ def class_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     return sets
 
 
+def meet(na: str, fa: str, nb: str, fb: str, percent: int) -> Column:
+    """Whether two classes of a list may have it as the first that they share: sizes allow a link, and
+    the list is in front for the smaller one."""
+    a, b = F.col(na), F.col(nb)
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((a < b) | F.col(fb)) & ((b < a) | F.col(fa))
+
+
 def allowed(na: str, pa: str, nb: str, pb: str, percent: int) -> Column:
     """Whether sizes and parities allow a link: with u shingles in both sets together, at most
     u * (100 - percent) / (100 + percent) are in one of them only."""
@@ -373,9 +384,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     common.discard(entries)
 
     most = lists.groupBy("class").agg(F.count(F.lit(1)).alias("in_lists"))
-    pivots = lists.join(most, "class").groupBy("shingle").agg(F.max(F.struct("in_lists", "class", "n")).alias("p"))
-    pivots = common.stash(pivots.select("shingle", F.col("p.class").alias("pivot"), F.col("p.n").alias("m")), "pivots")
-    star = lists.join(pivots, "shingle").where("class <> pivot").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    pivots = lists.join(most, "class").groupBy("shingle").agg(F.max(F.struct("in_lists", "class", "n", "front")).alias("p"))
+    pivots = common.stash(pivots.select("shingle", F.col("p.class").alias("pivot"), F.col("p.n").alias("m"), F.col("p.front").alias("pivot_front")), "pivots")
+    star = lists.join(pivots, "shingle").where("class <> pivot").where(meet("n", "front", "m", "pivot_front", percent))
     star = star.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
     a = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     b = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
@@ -388,16 +399,24 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     # What is left: pairs of a list whose classes are in different components, neither being its pivot.
     placed = lists.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     open_ = placed.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("shingle")
-    inner = placed.join(open_, "shingle", "left_semi").join(pivots, "shingle").where("class <> pivot").select("shingle", "class", "n", "root")
-    inner = common.stash(inner, "inner")
-    index = ranges_of(inner.select("class", "root").distinct(), classes)
-    # by list, size band and range: whom a document of that list may still meet there
-    there = inner.join(index.select("class", "range"), "class").groupBy("shingle", "range", band("n", percent).alias("band"))
+    inner = placed.join(open_, "shingle", "left_semi").join(pivots, "shingle").where("class <> pivot").select("shingle", "class", "n", "front", "root")
+    counted = inner.groupBy("shingle").agg(F.count(F.lit(1)).alias("entries"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
+    inner = common.stash(inner.join(counted.select("shingle", "entries"), "shingle").join(classes.select("class", "parity"), "class"), "inner")
+    # lists of at most LIST classes: a class meets so few that sizes and parities are compared one by one
+    few = inner.where(F.col("entries") <= LIST)
+    x, y = few.alias("x"), few.alias("y")
+    fits = meet("x.n", "x.front", "y.n", "y.front", percent) & allowed("x.n", "x.parity", "y.n", "y.parity", percent)
+    pairs = x.join(y, F.expr("x.shingle = y.shingle AND x.class < y.class AND x.root <> y.root") & fits)
+    pairs = common.stash(pairs.select(F.col("x.class").alias("a"), F.col("x.root").alias("ra"), F.col("y.class").alias("b"), F.col("y.root").alias("rb")).distinct(), "pairs")
+    # longer lists: by list, size band and range, whom a class of at least their size may meet there
+    many = inner.where(F.col("entries") > LIST).select("shingle", "class", "n", "front", "root")
+    index = ranges_of(pairs.selectExpr("a AS class", "ra AS root").unionAll(many.where("front").select("class", "root")).distinct(), classes)
+    there = many.where("front").join(index.select("class", "range"), "class").groupBy("shingle", "range", band("n", percent).alias("band"))
     there = there.agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("n").alias("least"), F.max("n").alias("most"))
-    asks = inner.select("*", F.explode(F.array(band("n", percent) - 1, band("n", percent), band("n", percent) + 1)).alias("band"))
-    met = asks.join(there, ["shingle", "band"]).where("r <> root OR s <> root").where(f"100 * n >= {percent} * least AND 100 * most >= {percent} * n")
-    routes = common.stash(met.select("class", "root", "range").distinct(), "routes")
-    more = search(docs, classes, index, routes, size, percent)
+    asks = many.select("*", F.explode(F.array(band("n", percent) - 1, band("n", percent))).alias("band"))
+    met = asks.join(there, ["shingle", "band"]).where("r <> root OR s <> root").where(f"n >= least AND 100 * most >= {percent} * n").select("class", "root", "range")
+    routes = pairs.join(index.select(F.col("class").alias("a"), "range"), "a").selectExpr("b AS class", "rb AS root", "range").unionAll(met).distinct()
+    more = search(docs, classes, index, common.stash(routes, "routes"), size, percent)
     if more.limit(1).count():
         root = common.components(links.unionAll(more))
 

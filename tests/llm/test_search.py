@@ -48,6 +48,26 @@ def test_sieve_loses_no_key(spark):
     assert common.sieve(keys.limit(0), "k")(keys)[0].count() == 0
 
 
+def test_long_lists_are_asked_by_range(spark, monkeypatch):
+    """Chains and passages with every list over the limit, so all of the second search goes by ranges."""
+    from test_near import brute, found
+
+    monkeypatch.setattr(jaccard, "LIST", 1)
+    monkeypatch.setattr(jaccard, "RANGE", 2000)
+    rnd = random.Random(6)
+    made = {}
+    for family in range(12):
+        base = [f"w{rnd.randint(0, 80)}" for _ in range(rnd.randint(20, 90))]
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rnd.randint(1, 3)):
+                own[rnd.randrange(len(own))] = f"w{rnd.randint(0, 80)}"
+            base = own if rnd.random() < 0.5 else base
+            made[len(made)] = " ".join(own)
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(5)
+    assert found(df) == brute(made) and found(df, size=2, percent=70) == brute(made, 70, 2)
+
+
 def test_a_passage_in_many_documents_makes_no_pairs(spark):
     """Documents that share a long passage but stay under the threshold, beside two real copies."""
     from test_near import brute, found
