@@ -49,15 +49,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def seed_groups(links: DataFrame, rounds: int = 200) -> DataFrame:
+def seed_groups(links: DataFrame) -> DataFrame:
     """links(a, b), a < b: groups around seeds, as taking the nodes in order gives them: a node that no
     group has starts one and takes all later nodes linked with it that no group has. Not a
     closure: members needn't be linked with each other. Per linked node: node, seed.
 
-    A round settles all nodes whose earlier neighbours are settled, or that a seed already holds."""
+    A round settles all nodes whose earlier neighbours are settled, or that a seed already holds; the
+    first open node has no open one before it, so each round settles some and the loop ends."""
     edges = stash(links.select("a", "b").where("a < b").distinct(), "links")
     state = stash(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.lit(None).cast(edges.schema["a"].dataType).alias("seed")), "seeds")
-    for _ in range(rounds):
+    while True:
         # earlier neighbours: how many are unsettled; the first that is a seed; the first unsettled
         earlier = edges.join(state.select(F.col("node").alias("a"), F.col("seed").alias("s")), "a").groupBy(F.col("b").alias("node")).agg(
             F.min(F.when(F.col("s").isNull(), F.col("a"))).alias("open"), F.min(F.when(F.col("s") == F.col("a"), F.col("a"))).alias("holder")
@@ -67,4 +68,3 @@ def seed_groups(links: DataFrame, rounds: int = 200) -> DataFrame:
         state = stash(here.select("node", F.coalesce("seed", settled).alias("seed")), "seeds")
         if not state.where("seed IS NULL").limit(1).count():
             return state
-    raise RuntimeError(f"seed groups did not settle in {rounds} rounds")

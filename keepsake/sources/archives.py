@@ -165,14 +165,16 @@ class ContentReader(DataSourceReader):
                     continue
                 content, error = None, e.skipped
                 try:
-                    if e.method == 99:
+                    if e.method == 99 and e.nested_in:
+                        error = "aes in a nested archive"
+                    elif e.method == 99:
                         content, error = raw_member(f, e.path), "aes"
                     else:
                         with opened() as member:
                             content = member.read(self.head) if self.head else member.read()
                 except RuntimeError:
                     error = "locked"
-                except (zipfile.BadZipFile, NotImplementedError, EOFError, OSError) as problem:
+                except (zipfile.BadZipFile, NotImplementedError, EOFError, KeyError, OSError) as problem:
                     error = type(problem).__name__
                 yield (part.source_id, e.path, e.nested_in, e.size, e.crc32, e.method, content, error)
 

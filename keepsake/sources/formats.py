@@ -189,7 +189,8 @@ VERBS = "Watched|Searched for|Visited|Viewed|Used|Liked|Listened to|Subscribed t
 
 def activity(pages: DataFrame) -> DataFrame:
     """pages(path, content): blocks of an activity page as (product, verb, what, href, at)."""
-    blocks = F.slice(F.split("content", r'<div class="outer-cell'), 2, 1_000_000)
+    cut = F.split("content", r'<div class="outer-cell')
+    blocks = F.slice(cut, F.lit(2), F.size(cut))
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), "&nbsp;| | ", " "), r"\s+", " "))
     b = F.col("b")
     cell = F.regexp_extract(b, r'(?s)class="content-cell[^"]*">(.*?)</div>', 1)

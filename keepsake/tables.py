@@ -13,8 +13,11 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, as in tests, a new folder is set."""
+    """spark.checkpoint.dir of the session. Where it is unset a session of one machine, as in tests, gets
+    a new folder; on a cluster it has to be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="keepsake-"))
         folder = spark.sparkContext.getCheckpointDir()
