@@ -35,7 +35,7 @@ MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165
 SKETCH_BITS, CHUNK_BITS, PARITY = 22, 16, 512
 #: Shingles of a search range, documents sent to it in one block, classes of a list that are compared one
 #: by one, and how a merge step compares with a probe.
-RANGE, BLOCK, LIST, MERGE_COST = 1_000_000, 4096, 64, 0.01
+RANGE, BLOCK, LIST, MERGE_COST = 1_000_000, 1024, 64, 0.01
 
 
 def shingle_set(text: str, size: int = 3):
@@ -281,7 +281,7 @@ class Range:
             elif not (len(x) == 1 and low <= x[0] < high):
                 lists.append(x)
         lists = [x for x in lists if len(x)]
-        if sum(map(len, lists)) > 4096:  # runs this long are merged by a sort that takes them for what they are
+        if sum(map(len, lists)) > 512:  # runs this long are merged by a sort that takes them for what they are
             places, times = np.unique(np.sort(np.concatenate(lists), kind="stable"), return_counts=True)
             often = times >= needed - long
             merged_ = zip(places[often].tolist(), times[often].tolist(), strict=True)
