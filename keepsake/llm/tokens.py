@@ -107,30 +107,21 @@ class WordEncoder:
         return [self._many([t])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
-#: A space beside other white space (or what some tables call so) isn't a place to cut.
-_RUN = re.compile(r"[\s\u180e]\x20|\x20[\s\u180e]|\x20\Z")
-
-
-#: A full stop or comma before a space that isn't a piece of its own; the name of one that is.
-_GLUED, _ALONE = re.compile(r"(?:\A|[\W_])[.,]\x20"), "\x02"
-
-
 class ByteEncoder:
     """Byte-level BPE whose splitter lets a space begin the piece that follows it.
 
     So a space between two characters that aren't white space always begins a piece, and what lies
-    between such spaces is encoded once each. Where a text has other white space beside a space,
-    the parts there stay together. In Latin-1 texts full stops and commas between a letter or digit
-    and a space, pieces of their own, are cut off. A text that holds an added token is encoded in
-    one piece."""
+    between such spaces is encoded once each. Whether a part is empty or has white space at an end
+    is looked at when it is first met; texts with such parts keep them together with their
+    neighbours. A text that holds an added token is encoded in one piece."""
 
     def __init__(self, path: str, added: tuple[str, ...], width: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.added, self.width = Tokenizer.from_file(path), added, width
         import numpy as np
 
+        self.tokenizer, self.added, self.width = Tokenizer.from_file(path), added, width
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.first = np.zeros(max(vocab.values()) + 1, bool)
         self.first[[i for v, i in vocab.items() if v.startswith(SPACE_BYTE)]] = True
@@ -139,14 +130,17 @@ class ByteEncoder:
     def _many(self, texts: list[str]) -> list[bytes]:
         return [array(self.width, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Chunks whose only space is the first character are encoded many at once and told apart by the
-        tokens that begin with a space; the others go one by one, without the name of a lone mark."""
-        words, others = [], []
+    def _chunks(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of each part with a space before it; None for parts that mustn't stand alone. Many are
+        encoded as one text and told apart by the tokens that begin with a space."""
+        found: dict[str, bytes | None] = {}
+        words = []
         for c in chunks:
-            (words if len(c) > 1 and c[0] == " " and c.rfind(" ") == 0 and c[1] != _ALONE and not c[1].isspace() and not c[-1].isspace() else others).append(c)
-        found = dict(zip(others, self._many([c[2:] if c.startswith(" " + _ALONE) else c for c in others]), strict=True))
-        lines = ["".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+            if self._ragged(c):
+                found[c] = None
+            else:
+                words.append(c)
+        lines = [" " + " ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
         for i, e in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
             ids = array(self.width, e.ids)
             part, raw, size = words[i * TOGETHER : (i + 1) * TOGETHER], ids.tobytes(), ids.itemsize
@@ -154,42 +148,43 @@ class ByteEncoder:
             if len(starts) == len(part) and not starts[0]:
                 found.update(zip(part, (raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)), strict=True))
             else:
-                found.update(zip(part, self._many(part), strict=True))
+                found.update(zip(part, self._many([" " + c for c in part]), strict=True))
         return [found[c] for c in chunks]
 
-    def _split(self, text: str) -> list[str] | None:
-        """Parts without the space before each but the first."""
-        if _ALONE in text or any(a in text for a in self.added):
-            return None
-        if not _RUN.search(text):
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return text.split(" ")
-            if not _GLUED.search(text):
-                text = text.replace(". ", f" {_ALONE}. ").replace(", ", f" {_ALONE}, ")
-            return text.split(" ")
-        parts = text.split(" ")
+    @staticmethod
+    def _ragged(part: str) -> bool:
+        """Empty, or with white space (or what some tables call so) at an end."""
+        return not part or part[0].isspace() or part[-1].isspace() or "\u180e" in (part[0], part[-1])
+
+    def _together(self, parts: list[str]) -> bytes:
+        """Parts with ragged ones kept beside their neighbours."""
         out = [parts[0]]
-        for p in parts[1:]:
-            if not p or not out[-1] or _RUN.match(" " + p) or _RUN.match(out[-1][-1] + " "):
+        for before, p in zip(parts, parts[1:], strict=False):
+            if self._ragged(p) or self._ragged(before):
                 out[-1] += " " + p
             else:
-                out.append(p)
-        return out
+                out.append(" " + p)
+        return b"".join(self._many(out))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
+        split = [None if any(a in t for a in self.added) else t.split(" ") for t in texts]
         need: set[str] = set()
         for s in split:
             if s:
-                need.add(s[0])
-                need.update(map(" ".__add__, s[1:]))
+                need.update(s)
         known = self.chunks.ensure(need)
-        return [
-            self._many([t])[0] if s is None else known[s[0]] + b"".join([known[" " + c] for c in s[1:]])
-            for t, s in zip(texts, split, strict=True)
-        ]
+        out = []
+        for t, s in zip(texts, split, strict=True):
+            if s is None:
+                out += self._many([t])
+                continue
+            ids = list(map(known.__getitem__, s))
+            if None in ids:
+                out.append(self._together(s))
+            else:
+                ids[0] = self._many([s[0]])[0]
+                out.append(b"".join(ids))
+        return out
 
 
 def _added(path: str) -> tuple[tuple[str, ...], int]:
