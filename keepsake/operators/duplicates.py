@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,21 +84,48 @@ def fingerprints(vectors: DataFrame, vec: str, keep: list[str]) -> DataFrame:
     return read.select(*keep, "bits", "mean", F.sqrt(square / n).alias("sd"))
 
 
-def near_pairs(prints: DataFrame, node: str, distance: int = 6, least_sd: float = 12.0, mean_gap: float = 26.0, width: int = 64) -> DataFrame:
+def _masks(bits: int, most: int) -> list[int]:
+    """All numbers of `bits` bits with at most `most` of them set."""
+    return [sum(1 << i for i in at) for n in range(most + 1) for at in itertools.combinations(range(bits), n)]
+
+
+def near_pairs(prints: DataFrame, node: str, distance: int = 6, least_sd: float = 12.0, mean_gap: float = 26.0, width: int = 64, most_probes: int = 512) -> DataFrame:
     """(a, b, distance): pairs within `distance` bits, both with an sd of least_sd or more, means at most
-    mean_gap apart. Cut into distance + 1 bands, two such prints agree in one band at least: bands
-    are join keys, and a pair counts in its first common band only, so no distinct is needed."""
-    bands = distance + 1
-    cuts = [round(i * width / bands) for i in range(bands + 1)]
-    band = lambda c, i: F.shiftrightunsigned(F.shiftleft(c, width - cuts[i + 1]) if width - cuts[i + 1] else c, width - cuts[i + 1] + cuts[i])
+    mean_gap apart.
+
+    Cut into m bands, two such prints differ by at most distance / m bits (rounded down) in one band at
+    least. Bands are join keys; one side asks for all values so near to its own. The fewest, and so
+    widest, bands are taken that cost at most most_probes such values a print (four of 16 bits for
+    six bits). A pair counts in the first band where it is so near, so no distinct is needed."""
+
+    def cut(m: int) -> tuple[list[int], list[list[int]]]:
+        at = [round(i * width / m) for i in range(m + 1)]
+        return at, [_masks(at[i + 1] - at[i], distance // m) for i in range(m)]
+
+    sized = lambda m: sum(math.comb(-(-width // m), n) for n in range(distance // m + 1)) * m
+    bands = next(m for m in range(1, distance + 2) if m == distance + 1 or sized(m) <= most_probes)
+    at, masks = cut(bands)
+    near = distance // bands
+
+    def band(c: Column, i: int) -> Column:
+        left = 64 - at[i + 1]
+        return F.shiftrightunsigned(F.shiftleft(c, left) if left else c, left + at[i])
+
     rich = prints.where(F.col("sd") >= least_sd).select(F.col(node).alias("id"), "bits", "mean")
-    keyed = rich.select("*", F.posexplode(F.array(*(band(F.col("bits"), i) for i in range(bands)))).alias("band", "part"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    apart = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
-    first = F.coalesce(*(F.when(band(F.col("x.bits"), i) == band(F.col("y.bits"), i), F.lit(i)) for i in range(bands)))
+    held = rich.select("*", F.posexplode(F.array(*(band(F.col("bits"), i) for i in range(bands)))).alias("band", "part"))
+
+    def around(i: int) -> Column:
+        own = band(F.col("bits"), i)
+        return F.transform(F.array(*(F.lit(v).cast("long") for v in masks[i])), lambda v: v.bitwiseXOR(own))
+
+    asked = F.array(*(around(i) for i in range(bands)))
+    asking = rich.select("*", F.posexplode(asked).alias("band", "parts")).select("id", "bits", "mean", "band", F.explode("parts").alias("part"))
+    x, y = asking.alias("x"), held.alias("y")
+    differ = F.col("x.bits").bitwiseXOR(F.col("y.bits"))
+    first = F.coalesce(*(F.when(F.bit_count(band(differ, i)) <= near, F.lit(i)) for i in range(bands)))
     met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id")))
-    close = met.where((apart <= distance) & (F.abs(F.col("x.mean") - F.col("y.mean")) <= mean_gap) & (first == F.col("x.band")))
-    return close.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), apart.cast("long").alias("distance"))
+    close = met.where((F.bit_count(differ) <= distance) & (F.abs(F.col("x.mean") - F.col("y.mean")) <= mean_gap) & (first == F.col("x.band")))
+    return close.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.bit_count(differ).cast("long").alias("distance"))
 
 
 def near_groups(pairs: DataFrame) -> DataFrame:

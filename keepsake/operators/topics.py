@@ -16,10 +16,14 @@ HEALTH = {
     "oxygen": "(?i)oxygen|spo2", "stress": "(?i)stress", "exercise": "(?i)exercise|workout",
 }
 COMMENT_TEXT = r"(?i)comment text|^comment$|^text$|^body$"
+#: What a column that is no identifier speaks for, and which sets of evidence make sign-ins of a table;
+#: `named` is a table named for them.
+SPEAKS_FOR = {"agent": AGENT, "device": DEVICE, "address": ADDRESS, "time": TIME}
+ENOUGH = [("agent", "time"), ("agent", "address"), ("named", "address"), ("named", "device", "time")]
 
 
-def _any(columns: Column, pattern: str, but: str | None = None) -> Column:
-    return F.exists(columns, lambda c: c.rlike(pattern) & (~c.rlike(but) if but else F.lit(True)))
+def _any(columns: Column, pattern: str) -> Column:
+    return F.exists(columns, lambda c: c.rlike(pattern))
 
 
 def topics(tables: DataFrame) -> DataFrame:
@@ -27,15 +31,16 @@ def topics(tables: DataFrame) -> DataFrame:
     kind or null). A kind goes by the table's name, then by its columns; columns alone only count
     in sources that have a table named for health, so the first pass is over sources."""
     name, cols = F.col("name"), F.col("columns")
-    agent = _any(cols, AGENT, IDENTIFIER)
-    about = name.rlike(LOGIN_TABLE) & (_any(cols, ADDRESS, IDENTIFIER) | _any(cols, DEVICE, IDENTIFIER))
-    logins = ~name.rlike(NOT_LOGIN) & (agent | about) & (_any(cols, TIME, IDENTIFIER) | _any(cols, ADDRESS, IDENTIFIER))
+    plain = F.filter(cols, lambda c: ~c.rlike(IDENTIFIER))
+    evidence = F.array(F.when(name.rlike(LOGIN_TABLE), "named"), *(F.when(_any(plain, p), k) for k, p in SPEAKS_FOR.items()))
+    met = F.exists(F.array(*(F.array(*map(F.lit, need)) for need in ENOUGH)), lambda need: F.size(F.array_except(need, F.col("_evidence"))) == 0)
+    logins = met & ~name.rlike(NOT_LOGIN)
     by_name = F.coalesce(*(F.when(name.rlike(p), F.lit(k)) for k, p in HEALTH.items()))
     by_column = F.coalesce(*(F.when(_any(cols, p), F.lit(k)) for k, p in HEALTH.items()))
-    told = tables.withColumns({"_by_name": by_name, "_by_column": by_column})
+    told = tables.withColumns({"_by_name": by_name, "_by_column": by_column, "_evidence": evidence})
     healthy = told.groupBy("source").agg(F.bool_or(F.col("_by_name").isNotNull()).alias("_healthy"))
     health = F.coalesce("_by_name", F.when(F.col("_healthy"), F.col("_by_column")))
-    return told.join(healthy, "source", "left").withColumns({"logins": logins, "health": health, "comments": _any(cols, COMMENT_TEXT)}).drop("_by_name", "_by_column", "_healthy")
+    return told.join(healthy, "source", "left").withColumns({"logins": logins, "health": health, "comments": _any(cols, COMMENT_TEXT)}).drop("_by_name", "_by_column", "_healthy", "_evidence")
 
 
 def claims(read: list[DataFrame]) -> DataFrame:

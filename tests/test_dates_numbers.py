@@ -72,6 +72,15 @@ def test_paths(spark):
     assert col(spark, [35, 0, None], lambda c: paths.hint(c, F.lit(36)), "long") == ["z-10", None, None]
 
 
+def test_export_keys(spark):
+    want = {
+        "Name copy (1).zip": "name", "name copy 2.ZIP": "name", "name-2 copy-3.zip": "name", "a-1-2.zip": "a-1", "name-part-3.zip": "name", "name-12345.zip": "name-12345", "my_export (2)": "my_export",
+        "Takeout_20260731t101500z-3-002": "20260731T101500Z", "instagram-me-2026-07-31-Ab.zip": "instagram-me-2026-07-31", "x_GK12_20260101_access (1).zip": "samsung-access",
+        "iCloud Photos Part 10 of 12 (3).zip": "icloud photos", "gk.zip": "gk", "": "",
+    }
+    assert col(spark, list(want), lambda c: paths.export_key(c, F.lit("p"))) == ["p:" + w for w in want.values()]
+
+
 def test_texts(spark):
     wrong = "SmÃ¸rbrÃ¸d"
     assert col(spark, [wrong, "Smørbrød", "plain", "日本", None, "Ã\n©"], text.repair) == ["Smørbrød", "Smørbrød", "plain", "日本", None, "Ã\n©"]

@@ -48,7 +48,11 @@ def test_near_pairs_by_bands_are_all_pairs(spark):
     prints = [(i, base[i % 12] ^ sum(1 << b for b in rnd.sample(range(63), rnd.randint(0, 8))), rnd.uniform(0, 60), rnd.choice([5.0, 30.0])) for i in range(150)]
     want = sorted((a[0], b[0], (a[1] ^ b[1]).bit_count()) for a in prints for b in prints if a[0] < b[0] and (a[1] ^ b[1]).bit_count() <= 6 and min(a[3], b[3]) >= 12 and abs(a[2] - b[2]) <= 26)
     assert want
-    assert rows(dp.near_pairs(spark.createDataFrame(prints, "id long, bits long, mean double, sd double"), "id"), "a", "b", "distance") == want
+    table = spark.createDataFrame(prints, "id long, bits long, mean double, sd double")
+    assert rows(dp.near_pairs(table, "id"), "a", "b", "distance") == want
+    assert rows(dp.near_pairs(table, "id", most_probes=0), "a", "b", "distance") == want
+    far = sorted((a[0], b[0]) for a in prints for b in prints if a[0] < b[0] and (a[1] ^ b[1]).bit_count() <= 16 and abs(a[2] - b[2]) <= 26)
+    assert rows(dp.near_pairs(table, "id", 16, 0.0, width=63), "a", "b") == far
 
 
 def test_parts_first_occurrence_is_idempotent(spark):
@@ -146,6 +150,8 @@ def test_rules_from_sentences():
     assert ok("never touch photos newer than 2 weeks") == rules.Rule("never touch photos newer than 2 weeks", "keep", {"categories": ["camera_photo"], "newer_than_days": 14})
     assert ok("move videos larger than 2 gb to D:/Films.").destination == "D:/Films" and ok("move videos larger than 2 gb to X").match["larger_than_mb"] == 2048
     assert ok("delete files named IMG_*.PNG smaller than 1 mb").match == {"name_glob": "IMG_*.PNG", "smaller_than_mb": 1.0}
+    assert ok("Transfer dupes older than 1.5 years to 'NAS'").match == {"duplicates_only": True, "older_than_days": 548} and ok("transfer dupes to 'NAS'").destination == "NAS"
+    assert ok("remove chat videos bigger than 3 mb").match == {"categories": ["chat_media"], "larger_than_mb": 3.0} and ok("move the videos").__class__ is type(None)
     assert ok("delete live photo pairs").match == {"categories": ["live_photo_pair"]}
     assert ok("delete everything") is None and ok("photos") is None and ok("delete photos like a*b") is None and ok("move photos") is None
     assert rules.problems([ok("delete junk"), rules.Rule("x", "burn", {}), rules.Rule("y", "move", {"size": 1})])[0].startswith("rule 2")
