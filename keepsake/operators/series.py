@@ -123,14 +123,16 @@ def per_period(rows: DataFrame, period: Column, name: str, amount: Column | None
     return rows.groupBy(period.alias(name)).agg(*aims)
 
 
-def health_days(readings: DataFrame, summed: list[str]) -> DataFrame:
-    """readings(type, at, value): per type and day the sum for counted types, else the mean. Time in bed
-    is left out where time asleep is known for the day."""
+def health_days(readings: DataFrame, summed: list[str] | str, *keep: str) -> DataFrame:
+    """readings(type, at, value): per type and day the sum for counted types (a list, or an expression on
+    their names), else the mean. Time in bed is left out where time asleep is known for the day. Columns
+    named in keep tell series apart."""
     days = readings.where("at IS NOT NULL").withColumn("day", times.day("at"))
-    asleep = days.where("type = 'Asleep'").select("day").distinct().withColumn("_asleep", F.lit(True))
-    kept = days.join(asleep, "day", "left").where("type <> 'InBed' OR _asleep IS NULL").drop("_asleep")
-    value = F.when(F.col("type").isin(summed), F.col("_sum")).otherwise(F.col("_sum") / F.col("n"))
-    return kept.groupBy("type", "day").agg(F.sum("value").alias("_sum"), F.count("value").alias("n")).select("type", "day", value.cast("double").alias("value"), "n")
+    asleep = days.where("type = 'Asleep'").select(*keep, "day").distinct().withColumn("_asleep", F.lit(True))
+    kept = days.join(asleep, [*keep, "day"], "left").where("type <> 'InBed' OR _asleep IS NULL").drop("_asleep")
+    counted = F.col("type").rlike(summed) if isinstance(summed, str) else F.col("type").isin(summed)
+    value = F.when(counted, F.col("_sum")).otherwise(F.col("_sum") / F.col("n"))
+    return kept.groupBy(*keep, "type", "day").agg(F.sum("value").alias("_sum"), F.count("value").alias("n")).select(*keep, "type", "day", value.cast("double").alias("value"), "n")
 
 
 def unpivot_best(wide: DataFrame, ids: list[str], columns: list[str], prefer: str = "average") -> DataFrame:

@@ -72,8 +72,8 @@ def xlsx_rows(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
-def sections(tables: DataFrame, rows: str = "rows") -> DataFrame:
-    """tables(path, rows) as cells: (table_id, title, row_no, col_no, col_name, value).
+def section_rows(tables: DataFrame, rows: str = "rows") -> DataFrame:
+    """tables(path, rows) as (path, table_id, title, row_no, header, r): a row of a section and its names.
 
     A lone field above a wider row is a heading; a heading or a row after a blank one starts a
     section. A section's first wide row has its column names; `com.samsung...` on the first line
@@ -90,13 +90,21 @@ def sections(tables: DataFrame, rows: str = "rows") -> DataFrame:
     inside = Window.partitionBy("path", "section").orderBy("line")
     body = told.withColumn("title", F.max(F.when(F.col("heading"), F.trim(F.get("r", F.lit(0))))).over(Window.partitionBy("path", "section"))).where("NOT heading")
     body = body.withColumn("n", F.row_number().over(inside)).withColumn("header", F.first("r").over(inside))
-    cells = body.where("n > 1").select(
-        F.concat_ws("#", "path", F.col("section").cast("string")).alias("table_id"), "title", (F.col("n") - 2).cast("long").alias("row_no"), "header", F.posexplode("r").alias("col_no", "value")
-    )
+    return body.where("n > 1").select("path", F.concat_ws("#", "path", F.col("section").cast("string")).alias("table_id"), "title", (F.col("n") - 2).cast("long").alias("row_no"), "header", "r")
+
+
+def sections(tables: DataFrame, rows: str = "rows") -> DataFrame:
+    """tables(path, rows) as cells: (table_id, title, row_no, col_no, col_name, value), by section_rows."""
+    cells = section_rows(tables, rows).select("table_id", "title", "row_no", "header", F.posexplode("r").alias("col_no", "value"))
     name = F.get("header", F.col("col_no"))
     return cells.select("table_id", "title", "row_no", "col_no", F.coalesce(F.nullif(F.trim(name), F.lit("")), F.concat(F.lit("column "), (F.col("col_no") + 1).cast("string"))).alias("col_name"), "value")
 
 
+def under(header: Column, row: Column, pattern: str) -> Column:
+    """A row's value under the first column whose name is like this; null without one."""
+    return F.get(row, F.array_position(F.transform(header, lambda h: F.trim(h).rlike(pattern)), True).cast("int") - 1)
+
+
 def json_tables(files: DataFrame) -> DataFrame:
     """files(path, content): arrays of objects, at the top or under any key, as cells; columns go by the
     first object's keys."""
@@ -157,14 +165,15 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.regexp_replace("value", "^From ", "").alias("raw"))
 
 
-def mails(raw: DataFrame) -> DataFrame:
-    """raw(raw): a message after `From `, as its headers: subject, sender's name and address, date."""
+def mails(raw: DataFrame, *keep: str) -> DataFrame:
+    """raw(raw): a message after `From `, as its headers: subject, sender's name and address, date. Columns
+    named in keep stay."""
     whole = F.regexp_replace(F.regexp_replace("raw", "\r\n", "\n"), r"^[^\n]*\n", "")
     head = F.regexp_replace(F.split(whole, "\n\n", 2)[0], "\n[ \t]+", " ")
     field = lambda n: F.nullif(F.trim(F.regexp_extract(head, rf"(?im)^{n}:\s*(.*)$", 1)), F.lit(""))
     sender = text.address_name(text.decode_words(field("From")))
-    read = raw.select(text.decode_words(field("Subject")).alias("subject"), sender.alias("s"), field("Date").alias("date"))
-    return read.select("subject", F.col("s.name").alias("name"), F.col("s.address").alias("address"), dates.english_date(F.col("date")).alias("at"))
+    read = raw.select(*keep, text.decode_words(field("Subject")).alias("subject"), sender.alias("s"), field("Date").alias("date"))
+    return read.select(*keep, "subject", F.col("s.name").alias("name"), F.col("s.address").alias("address"), dates.english_date(F.col("date")).alias("at"))
 
 
 @F.pandas_udf(StringType())
@@ -210,16 +219,29 @@ def notes(files: DataFrame) -> DataFrame:
     return here.select("path", text.first_line(F.col("content")).alias("title"), text.word_count(F.col("content")).alias("words"), F.col("content").alias("body"))
 
 
-def health_records(spark: SparkSession, path: str) -> DataFrame:
-    """Readings of a health export (XML): type, at, value. The XML reader splits by record."""
-    raw = spark.read.format("xml").option("rowTag", "Record").option("attributePrefix", "").schema("type string, startDate string, endDate string, value string, sourceName string").load(path)
+_HEALTH = ["type", "startDate", "endDate", "value", "sourceName"]
+
+
+def _readings(raw: DataFrame, *keep: str) -> DataFrame:
     kind = F.regexp_replace("type", "^HK(Quantity|Category)TypeIdentifier", "")
     at = lambda c: F.substring(c, 1, 19).try_cast("timestamp_ntz")
     seconds = lambda c: F.unix_date(at(c).cast("date")) * 86_400 + F.hour(at(c)) * 3600 + F.minute(at(c)) * 60 + F.second(at(c))
     hours = (seconds("endDate") - seconds("startDate")) / 3600
     sleep = kind == "SleepAnalysis"
     state = F.regexp_extract("value", "SleepAnalysis(InBed|Asleep)", 1)
-    return raw.select(F.when(sleep, state).otherwise(kind).alias("type"), at("startDate").alias("at"), F.when(sleep, hours).otherwise(F.col("value").try_cast("double")).alias("value"), F.col("sourceName").alias("source"))
+    return raw.select(*keep, F.when(sleep, state).otherwise(kind).alias("type"), at("startDate").alias("at"), F.when(sleep, hours).otherwise(F.col("value").try_cast("double")).alias("value"), F.col("sourceName").alias("source"))
+
+
+def health_records(spark: SparkSession, path: str) -> DataFrame:
+    """Readings of a health export (XML): type, at, value. The XML reader splits by record."""
+    return _readings(spark.read.format("xml").option("rowTag", "Record").option("attributePrefix", "").schema(", ".join(f"{a} string" for a in _HEALTH)).load(path))
+
+
+def health_readings(files: DataFrame, *keep: str) -> DataFrame:
+    """The same of files(content) that were unzipped already."""
+    record = files.select(*keep, F.explode(F.regexp_extract_all("content", F.lit(r"<Record\s([^>]*)>"), 1)).alias("r"))
+    found = lambda a: F.nullif(F.regexp_extract("r", rf'(?:^|\s){a}="([^"]*)"', 1), F.lit(""))
+    return _readings(record.select(*keep, *(found(a).alias(a) for a in _HEALTH)), *keep)
 
 
 # ---- binary headers

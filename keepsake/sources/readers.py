@@ -6,10 +6,12 @@ files, nothing is read before it is asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import dates, names, paths, text
+from keepsake.operators.joins import with_sidecars
+from keepsake.operators.series import health_days
 
 from . import formats
 
@@ -37,6 +39,19 @@ def csv_cells(files: DataFrame, pattern: str = r"(?i)\.csv$") -> DataFrame:
     return formats.sections(_like(files, pattern).select("path", formats.csv_rows("content").alias("rows")))
 
 
+def _csv_sections(files: DataFrame, pattern: str = r"(?i)\.csv$") -> DataFrame:
+    """(source_id, path, title, row_no, header, r) of CSV files; files of several sources may share a path."""
+    own = F.concat_ws("\t", F.col("source_id").cast("string"), "path")
+    rows = formats.section_rows(_like(files, pattern).select(own.alias("path"), formats.csv_rows("content").alias("rows")))
+    both = F.split("path", "\t", 2)
+    return rows.select(both[0].cast("int").alias("source_id"), both[1].alias("path"), "title", "row_no", "header", "r")
+
+
+def _as_cells(rows: DataFrame, table_id: Column, title: Column, row_no: Column, values: dict[str, Column]) -> DataFrame:
+    cell = F.array(*(F.struct(F.lit(i).alias("col_no"), F.lit(n).alias("col_name"), c.cast("string").alias("value")) for i, (n, c) in enumerate(values.items())))
+    return rows.select(table_id.alias("table_id"), title.alias("title"), row_no.cast("long").alias("row_no"), F.inline(cell))
+
+
 def rows_of(files: DataFrame, pattern: str) -> DataFrame:
     """(source_id, path, row_no, r): a CSV file's rows as maps from column name to value."""
     read = _like(files, pattern).select("source_id", "path", formats.csv_rows("content").alias("rows"))
@@ -104,18 +119,79 @@ def google(files: DataFrame) -> Library:
     watched = seen.select("source_id", dates.parse_date(F.col("w.time")).alias("at"), F.lit("record").alias("kind"), F.col("w.title").alias("label"))
     pages = formats.activity(_like(files, r"(?i)my ?activity.*\.html$").select("path", "content")).join(files.select("path", "source_id").distinct(), "path")
     acted = pages.select("source_id", "at", F.lit("record").alias("kind"), F.concat_ws(" ", "verb", "what").alias("label"))
-    return {"sidecars": sidecars, "places": places, "events": watched.unionByName(acted), "cells": csv_cells(files)}
+    cells = csv_cells(files).unionByName(fit_series(files)).unionByName(mail_senders(files))
+    return {"sidecars": sidecars, "places": places, "events": watched.unionByName(acted), "cells": cells}
+
+
+def fit_series(files: DataFrame) -> DataFrame:
+    """Cells of fitness files, a table (Date, Value) a measure and source. A source's daily summary counts
+    alone where there is one. Of columns that tell the same measure (average, max, min) the first
+    average stays, without one the last column. Order within a source's measure is by file and row."""
+    fit = _like(files, r"(?i)(^|/)fit/.*\.csv$").where(~F.col("path").rlike("(?i)/activities/")).withColumn("_daily", F.col("path").rlike(r"(?i)daily\s*summar"))
+    daily = fit.groupBy("source_id").agg(F.bool_or("_daily").alias("_any"))
+    rows = _csv_sections(fit.join(daily, "source_id").where("_daily OR NOT _any"))
+    dated = rows.select("source_id", "path", "row_no", formats.under(F.col("header"), F.col("r"), "(?i)^(date|start ?time)$").alias("date"), "header", F.posexplode("r").alias("col_no", "value")).where("date IS NOT NULL")
+    label = F.trim(F.get("header", F.col("col_no")))
+    stem = F.trim(F.lower(F.regexp_replace(F.regexp_replace("label", r"(?i)^(average|avg|max|min|maximum|minimum)\s+", ""), r"\s*\([^)]*\)\s*$", "")))
+    number = F.col("value").try_cast("double")
+    points = dated.withColumn("label", label).where(~F.col("label").rlike(r"(?i)^(|date|start ?time|end ?time)$") & (F.abs(number) < float("inf"))).withColumn("stem", stem)
+    named = points.groupBy("source_id", "stem", "label").agg(F.min(F.struct("path", "col_no")).alias("_at"))
+    average = F.when(F.col("label").rlike("(?i)^average"), F.col("_at"))
+    best = named.groupBy("source_id", "stem").agg(F.coalesce(F.min_by("label", average), F.max_by("label", "_at")).alias("label"), F.min("_at.path").alias("_file"))
+    kept = points.join(best, ["source_id", "stem", "label"])
+    place = F.row_number().over(Window.partitionBy("source_id", "label").orderBy("path", "row_no")) - 1
+    return _as_cells(kept.withColumn("_place", place), F.concat_ws("#", "_file", "label"), F.col("label"), F.col("_place"), {"Date": F.col("date"), "Value": F.col("value")})
+
+
+def mail_senders(files: DataFrame) -> DataFrame:
+    """Cells of mailboxes: who writes how often, the most frequent first. Only headers are read."""
+    raw = _like(files, r"(?i)\.mbox$").select("source_id", "path", F.explode(F.split(F.regexp_replace("content", "\r\n", "\n"), "\nFrom ")).alias("m"))
+    sent = formats.mails(raw.select("source_id", "path", F.regexp_replace("m", "^From ", "").alias("raw")), "source_id", "path")
+    count = sent.where("address IS NOT NULL").groupBy("source_id", "path", "address").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("source_id", "path").orderBy(F.desc("n"), "address")) - 1
+    return _as_cells(count.withColumn("_place", place), F.concat_ws("#", "path", F.lit("senders")), F.lit("Mail: who writes to you"), F.col("_place"), {"Sender": F.col("name"), "Address": F.col("address"), "Messages": F.col("n")})
+
+
+#: Fixed value: types of readings that add up over a day.
+SUMMED = "^(StepCount|FlightsClimbed|DistanceWalking|DistanceCycling|DistanceSwimming|ActiveEnergyBurned|BasalEnergyBurned|AppleExerciseTime|AppleStandTime|DietaryWater|SwimmingStrokeCount|PushCount|Asleep|InBed)"
+
+
+def health_series(files: DataFrame) -> DataFrame:
+    """Cells of health exports, a table (Date, Value) a type of reading; energy at rest has a name of its own."""
+    per_day = health_days(formats.health_readings(_like(files, r"(?i)(^|/)apple_health_export/(.*/)?export\.xml$"), "path"), SUMMED, "path").where("value IS NOT NULL")
+    spaced = F.regexp_replace(F.regexp_replace("type", "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    readable = F.concat(F.upper(F.substring(spaced, 1, 1)), F.lower(F.substring(spaced, 2, 2**31 - 1)))
+    label = F.when(F.col("type") == "Asleep", "Sleep").when(F.col("type") == "InBed", "Time in bed").when(readable.startswith("Basal energy"), "Resting energy").otherwise(readable)
+    return _as_cells(per_day, F.concat_ws("#", "path", label), label, F.unix_date(F.col("day").cast("date")), {"Date": F.date_format("day", "yyyy-MM-dd"), "Value": F.col("value")})
 
 
 def apple(files: DataFrame) -> Library:
-    """Every CSV file and JSON list as a table."""
-    cells = csv_cells(files).unionByName(formats.json_tables(_like(files, r"(?i)\.json$").select("path", "content")))
-    return {"cells": cells}
+    """Every CSV file and JSON list as a table, health by type and day; rows of a table with a date and a
+    label are events."""
+    rows = _csv_sections(files)
+    under = lambda p: formats.under(F.col("header"), F.col("r"), p)
+    dated = rows.select("source_id", dates.parse_date(under("(?i)date|time|purchase")).alias("at"), F.lit("record").alias("kind"), F.nullif(under("(?i)item|title|name|description|product"), F.lit("")).alias("label"))
+    cells = csv_cells(files).unionByName(formats.json_tables(_like(files, r"(?i)\.json$").select("path", "content"))).unionByName(health_series(files))
+    return {"events": dated.where("at IS NOT NULL AND label IS NOT NULL"), "cells": cells}
+
+
+#: Fixed value: tables of things that happened, not of measurements.
+OCCASION = "(?i)exercise|workout|activity_?type|reward|badge|milestone|trophy|challenge|social"
 
 
 def samsung(files: DataFrame) -> Library:
-    """Sectioned CSV files under a service's mark, with readable column names."""
-    return {"cells": formats.tidy_columns(csv_cells(files))}
+    """Sectioned CSV files under a service's mark, with readable column names. Rows of tables of occasions
+    are events, under the name of their table."""
+    rows = _csv_sections(files)
+    #: What an export adds to the names of its files, in this order.
+    added = [r"(?i)^com\.samsung\.(shealth\.|health\.)?", r"(?i)[_-][a-z]{0,3}\d{6,}[_-]\d{6,}[_-]access$", r"[._-]\d{6,}$", r"[._-]+$"]
+    bare = paths.stem(F.col("path"))
+    for mark in added:
+        bare = F.regexp_replace(bare, mark, "")
+    name = F.concat_ws(": ", F.nullif(F.trim(bare), F.lit("")), "title")
+    at = dates.parse_date(formats.under(F.col("header"), F.col("r"), "(?i)start_time|create_time|day_time|date|time"))
+    told = rows.select("source_id", at.alias("at"), F.lit("record").alias("kind"), name.alias("label"), F.concat_ws(" ", "path", name).rlike(OCCASION).alias("_occasion"))
+    return {"events": told.where("_occasion AND at IS NOT NULL").drop("_occasion"), "cells": formats.tidy_columns(csv_cells(files))}
 
 
 def reddit(files: DataFrame) -> Library:
@@ -140,19 +216,27 @@ def generic(files: DataFrame) -> Library:
 READERS = {"snapchat": snapchat, "instagram": meta, "facebook": meta, "google": google, "apple": apple, "samsung": samsung, "reddit": reddit}
 
 
-def media_of(entries: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
-    """Photos, videos and audio of entries(source_id, path, size, crc32, mod_date, mod_time), dated by their
-    sidecar, their name or the archive, in this order."""
-    kind = paths.media_kind(F.col("path"))
-    found = entries.withColumn("kind", kind).where("kind IS NOT NULL")
+def media_of(entries: DataFrame, sidecars: DataFrame | None = None, contents: DataFrame | None = None) -> DataFrame:
+    """Photos, videos and audio of entries(source_id, path, size, crc32, mod_date, mod_time), dated by a
+    movie's header, their sidecar, EXIF, their name or the archive, in this order.
+
+    contents(source_id, path, content binary) are read where they are given; only dates and positions
+    of them go into the join. A sidecar's position counts before that of EXIF."""
     nothing = F.lit(None).cast("timestamp_ntz")
+    found = entries.withColumn("kind", paths.media_kind(F.col("path"))).where("kind IS NOT NULL")
     if sidecars is not None:
-        from keepsake.operators.joins import with_sidecars
-
         found = with_sidecars(found, sidecars.select("path", "taken", "lat", "lon", "caption"), ["taken", "lat", "lon", "caption"])
     else:
         found = found.withColumns({"taken": nothing, "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"), "caption": F.lit(None).cast("string")})
+    if contents is not None:
+        kind = paths.media_kind(F.col("path"))
+        read = contents.withColumn("_k", kind).where("_k IN ('photo', 'video')").select("source_id", "path", F.when(F.col("_k") == "video", formats.movie_date(F.col("content"))).alias("_movie"), formats.exif("content").alias("_e"))
+        told = read.select("source_id", "path", "_movie", dates.exif_date(F.col("_e.taken")).alias("_shot"), F.col("_e.lat").alias("_lat"), F.col("_e.lon").alias("_lon")).dropDuplicates(["source_id", "path"])
+        found = found.join(told, ["source_id", "path"], "left")
+    else:
+        found = found.withColumns({"_movie": nothing, "_shot": nothing, "_lat": F.lit(None).cast("double"), "_lon": F.lit(None).cast("double")})
     name = dates.date_from_name(paths.base(F.col("path")))
     archive = dates.dos_date(F.col("mod_date"), F.col("mod_time"))
-    best = dates.best_date(F.col("kind"), F.col("taken"), nothing, nothing, name, archive)
-    return found.withColumn("_d", best).select("source_id", "path", paths.base(F.col("path")).alias("name"), "size", "crc32", "kind", "_d.at", "_d.at_source", "lat", "lon", "caption")
+    best = dates.best_date(F.col("kind"), F.col("taken"), F.col("_shot"), F.col("_movie"), name, archive)
+    where = [F.coalesce(F.when(F.col("lat").isNotNull(), F.col(c)), F.col(f"_{c}")).alias(c) for c in ("lat", "lon")]
+    return found.withColumn("_d", best).select("source_id", "path", paths.base(F.col("path")).alias("name"), "size", "crc32", "kind", "_d.at", "_d.at_source", *where, "caption")

@@ -29,6 +29,26 @@ def thread(name, n, first=0):
     return json.dumps({"participants": [{"name": "BjÃ¸rn"}], "title": "", "messages": said})
 
 
+def exif_jpeg():
+    def ifd(entries, at):
+        body, tail, where = b"", b"", at + 2 + 12 * len(entries) + 4
+        for tag, kind, n, data in entries:
+            if len(data) > 4:
+                body += struct.pack("<HHII", tag, kind, n, where + len(tail))
+                tail += data
+            else:
+                body += struct.pack("<HHI", tag, kind, n) + data.ljust(4, b"\0")
+        return struct.pack("<H", len(entries)) + body + b"\0" * 4 + tail
+
+    deg = lambda d: struct.pack("<6I", d, 1, 30, 1, 0, 1)
+    exif = ifd([(0x9003, 2, 20, b"2024:02:03 04:05:06\0")], 100)
+    gps = ifd([(1, 2, 2, b"S\0"), (2, 5, 3, deg(10)), (3, 2, 2, b"E\0"), (4, 5, 3, deg(20))], 200)
+    top = ifd([(0x8769, 4, 1, struct.pack("<I", 100)), (0x8825, 4, 1, struct.pack("<I", 200))], 8)
+    tiff = (b"II*\0" + struct.pack("<I", 8) + top).ljust(100, b"\0") + exif
+    tiff = tiff.ljust(200, b"\0") + gps
+    return b"\xff\xd8\xff\xe1\x00\x00Exif\0\0" + tiff
+
+
 @pytest.fixture(scope="module")
 def files(spark):
     archives.register(spark)
@@ -152,6 +172,31 @@ def test_reddit_apple_samsung(spark, tmp_path, files):
     assert {(r.title, r.row_no, r.col_name, r.value) for r in cells.collect()} == {("Steps", 0, "Create time", "2024-01-01"), ("Steps", 0, "Step count", "5"), ("Steps", 1, "Create time", "2024-01-02"), ("Steps", 1, "Step count", "6"), ("Heart", 0, "Time", "1"), ("Heart", 0, "Bpm", "60")}
 
 
+def test_events_health_fitness_and_mail_of_readers(spark):
+    csv = "Date,Average heart rate (bpm),Max heart rate (bpm),End time,Note\n2024-01-01,60,90,1,x\n2024-01-02,,91,1,y\n"
+    xml = '<Record type="HKQuantityTypeIdentifierStepCount" startDate="2024-01-01 10:00:00 +0100" endDate="2024-01-01 10:05:00 +0100" value="7"/>'
+    rows = [
+        (1, "T/Fit/2024-01-01.csv", "Start time,Weight\n10:00,70\n"), (1, "T/Fit/Activities/a.csv", "Date,Speed\n2024-01-01,9\n"), (2, "T/Fit/Daily Summaries.csv", csv), (2, "T/Fit/2024-01-01.csv", "Start time,Weight\n10:00,70\n"),
+        (3, "a/apple_health_export/export.xml", xml * 2), (3, "Buys.csv", "Purchase time,Title\n2024-01-02,Song\n,Lost\n2024-01-03,\n"), (3, "short.csv", "Title,Date\nonly\n"), (4, "m.mbox", "From a\nFrom: B <b@x.org>\n\nx\nFrom b\nFrom: b@x.org\n"), (4, "none.mbox", None),
+    ]
+    files = spark.createDataFrame(rows, "source_id int, path string, content string")
+    fit = {(r.table_id, r.row_no, r.col_name, r.value) for r in readers.fit_series(files).collect()}
+    assert fit == {("T/Fit/2024-01-01.csv#Weight", 0, "Date", "10:00"), ("T/Fit/2024-01-01.csv#Weight", 0, "Value", "70"), ("T/Fit/Daily Summaries.csv#Average heart rate (bpm)", 0, "Date", "2024-01-01"), ("T/Fit/Daily Summaries.csv#Average heart rate (bpm)", 0, "Value", "60")}
+    assert [(r.source_id, r.at, r.kind, r.label) for r in readers.apple(files)["events"].collect()] == [(3, dt.datetime(2024, 1, 2), "record", "Song")]
+    assert {(r.title, r.col_name, r.value) for r in readers.health_series(files).collect()} == {("Step count", "Date", "2024-01-01"), ("Step count", "Value", "14.0")}
+    assert {(r.col_name, r.value) for r in readers.mail_senders(files).collect()} == {("Sender", "B"), ("Address", "b@x.org"), ("Messages", "2")}
+    occasions = spark.createDataFrame([(1, "com.samsung.shealth.exercise.20240101.csv", "com.samsung.shealth.exercise,1\nstart_time,x\n2024-01-02 03:04:05,1\nbad,2\n"), (1, "sleep.csv", "start_time,x\n2024-01-02,1\n")], "source_id int, path string, content string")
+    assert [(r.at, r.label) for r in readers.samsung(occasions)["events"].collect()] == [(dt.datetime(2024, 1, 2, 3, 4, 5), "exercise")]
+
+
+def test_media_read_their_headers(spark):
+    entries = spark.createDataFrame([(0, "p/a.jpg", 5, 1, 0, 0), (0, "p/2020-01-02_x.jpg", 5, 1, 0, 0), (0, "p/m.mp4", 5, 1, 0, 0)], "source_id int, path string, size long, crc32 long, mod_date int, mod_time int")
+    movie = b"\0\0\0\x20moov\0\0\0lmvhd\0\0\0\0" + struct.pack(">I", 1_700_000_000 + 2_082_844_800)
+    contents = spark.createDataFrame([(0, "p/a.jpg", bytearray(exif_jpeg())), (0, "p/m.mp4", bytearray(movie))], "source_id int, path string, content binary")
+    got = {r.path: (r.at, r.at_source, r.lat, r.lon) for r in media_of(entries, None, contents).collect()}
+    assert got == {"p/a.jpg": (dt.datetime(2024, 2, 3, 4, 5, 6), "exif", -10.5, 20.5), "p/2020-01-02_x.jpg": (dt.datetime(2020, 1, 2, 12), "name", None, None), "p/m.mp4": (dt.datetime(2023, 11, 14, 22, 13, 20), "mvhd", None, None)}
+
+
 def test_xlsx(spark):
     sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>x &amp; y</t></is></c></row><row r="2"><c r="B2"><v>3</v></c></row></sheetData></worksheet>'
     book = zipped({"xl/sharedStrings.xml": "<sst><si><t>na</t><t>me</t></si></sst>", "xl/worksheets/sheet1.xml": sheet})
@@ -184,27 +229,8 @@ def test_health_xml(spark, tmp_path):
 
 
 def test_binary_headers(spark):
-    def jpeg():
-        def ifd(entries, at):
-            body, tail, where = b"", b"", at + 2 + 12 * len(entries) + 4
-            for tag, kind, n, data in entries:
-                if len(data) > 4:
-                    body += struct.pack("<HHII", tag, kind, n, where + len(tail))
-                    tail += data
-                else:
-                    body += struct.pack("<HHI", tag, kind, n) + data.ljust(4, b"\0")
-            return struct.pack("<H", len(entries)) + body + b"\0" * 4 + tail
-
-        deg = lambda d: struct.pack("<6I", d, 1, 30, 1, 0, 1)
-        exif = ifd([(0x9003, 2, 20, b"2024:02:03 04:05:06\0")], 100)
-        gps = ifd([(1, 2, 2, b"S\0"), (2, 5, 3, deg(10)), (3, 2, 2, b"E\0"), (4, 5, 3, deg(20))], 200)
-        top = ifd([(0x8769, 4, 1, struct.pack("<I", 100)), (0x8825, 4, 1, struct.pack("<I", 200))], 8)
-        tiff = (b"II*\0" + struct.pack("<I", 8) + top).ljust(100, b"\0") + exif
-        tiff = tiff.ljust(200, b"\0") + gps
-        return b"\xff\xd8\xff\xe1\x00\x00Exif\0\0" + tiff
-
     movie = b"\0\0\0\x20ftypisom" + b"moov\0\0\0lmvhd\0\0\0\0" + struct.pack(">I", 1_700_000_000 + 2_082_844_800)
-    df = spark.createDataFrame([(bytearray(jpeg()),), (bytearray(b"\xff\xd8broken Exif\0\0II"),), (None,), (bytearray(movie),), (bytearray(b"RIFF1234WEBP"),), (bytearray(b"From x"),)], "h binary")
+    df = spark.createDataFrame([(bytearray(exif_jpeg()),), (bytearray(b"\xff\xd8broken Exif\0\0II"),), (None,), (bytearray(movie),), (bytearray(b"RIFF1234WEBP"),), (bytearray(b"From x"),)], "h binary")
     assert [tuple(r[0]) for r in df.select(formats.exif("h")).collect()][:3] == [("2024:02:03 04:05:06", -10.5, 20.5), (None, None, None), (None, None, None)]
     assert [r[0] for r in df.select(formats.sniff(F.col("h"))).collect()] == ["jpg", None, None, None, "webp", "mbox"]
     assert [r[0] for r in df.select(formats.movie_date(F.col("h"))).collect()][3] == dt.datetime(2023, 11, 14, 22, 13, 20)
