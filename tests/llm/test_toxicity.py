@@ -1,5 +1,7 @@
 """Severity: held-out accuracy, order of thresholds, odd tables."""
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -34,6 +36,40 @@ def test_ordinal_fit_recovers_the_order():
     assert e[0] < 0.01 < e[1] < 2.99 < e[2] and 0 <= p[0] <= p[1] <= p[2] <= 1
 
 
+def test_fit_and_scores_are_those_of_plain_loops(spark):
+    """The fit reaches the least penalised loss a plain loop can find nearby, and scores are sums over sets."""
+    rng = np.random.default_rng(1)
+    rows = [[int(f) for f in np.flatnonzero(rng.random(5) < 0.4)] for _ in range(300)]
+    grades = [int(g) for g in np.digitize([sum((1.5, -1, 0.5, 2, 0)[f] for f in r) + rng.logistic() for r in rows], [0.0, 1.5, 3.0])]
+    l2 = 2e-4
+
+    def loss(weights, cuts):
+        total = 0.0
+        for r, g in zip(rows, grades, strict=True):
+            below = [0.0, *(1 / (1 + math.exp(-(c - sum(weights[f] for f in r)))) for c in cuts), 1.0]
+            total -= math.log(max(below[g + 1] - below[g], 1e-12))
+        return total / len(rows) + l2 / 2 * sum(w * w for w in weights)
+
+    weights, cuts = toxicity.fit_ordinal(rows, grades, 5, steps=3000, rate=0.02)
+    best = loss(weights, cuts)
+    for i in range(8):
+        for step in (-0.02, 0.02):
+            w, c = list(weights), list(cuts)
+            if i < 5:
+                w[i] += step
+            else:
+                c[i - 5] += step
+            assert loss(w, c) > best - 1e-6
+
+    known = {f: 0.25 * (i + 1) for i, f in enumerate(toxicity.word_features("awfully") + toxicity.word_features("bad"))}
+    model = toxicity.Ordinal(known, [0.5, 1.5, 3.0])
+    texts = ["awfully bad, BAD!", "awful", "", None, "nothing here", "bad " * 5000 + "awfulness"]
+    for r in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect():
+        score = sum(known.get(f, 0.0) for f in {f for w in (texts[r.doc_id] or "").lower().split() for f in toxicity.word_features(w)})
+        over = [1 / (1 + math.exp(c - score)) for c in model.thresholds]
+        assert abs(r.severity - sum(over)) < 1e-9 and abs(r.p_toxic - over[0]) < 1e-9 and r.toxic == (over[0] >= 0.5)
+
+
 def test_odd_tables(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (9, 0, 1), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(odd, labels)
