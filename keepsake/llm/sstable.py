@@ -21,9 +21,10 @@ import bisect
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
@@ -135,48 +136,62 @@ class ShardReader:
         return found
 
 
+MANIFEST = "shard long, file string, n_docs long, n_tokens long, first_key binary, last_key binary"
+
+
 def write_shards(
     docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, shards: int | None = None,
-    block_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", tokenizer_dir: str | None = None,
+    block_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", tokenizer_dir: str | None = None, shard_bytes: int = 1 << 28,
 ) -> DataFrame:
     """Encode whole texts (null: empty) and write them as shards under path, in key order.
 
-    Returns the manifest: shard int, file string, n_docs, n_tokens long, in a table of the shared
-    folder. Documents are range-partitioned by key, so shard follows shard in key order; repeated
-    keys stay, in no fixed order among themselves; an empty table gives no shard. A file name
-    holds the task attempt, and the manifest only names files of attempts that ended well, so a
-    lost executor costs its own shards again and nothing else. Other columns are not read."""
+    Returns the manifest: shard long (ascending in key order), file string, n_docs, n_tokens long,
+    first_key, last_key binary, in a table of the shared folder. Documents are range-partitioned by key
+    and a hash of the text into `shards` tasks (as many as shuffle partitions if not said), so a key that
+    holds many rows is spread too, its rows in the order of that hash; an empty table gives no
+    shard. A task ends a shard once it has shard_bytes of entries and begins the next, so files and
+    the keys in memory don't grow with the table. A file name holds the task attempt, and the
+    manifest only names files of attempts that ended well, so a lost executor costs its own
+    shards again and nothing else. Other columns are not read."""
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches):
         import pyarrow as pa
 
-        own, fs, sink, out = tokens.encoder(tokenizer, tokenizer_dir), None, None, None
+        own, out, sink, done = tokens.encoder(tokenizer, tokenizer_dir), None, None, []
         width = 2 if own.width == "H" else 4
         end = end_id.to_bytes(width, "little")
         task = TaskContext.get()
-        name = f"shard-{task.partitionId():05d}-{task.taskAttemptId()}.sst"
+        fs, folder = common.local_fs(path)
+
+        def close() -> None:
+            out.close()
+            sink.close()
+            done.append(((task.partitionId() << 32) + len(done), file, len(out.keys), out.tokens, out.keys[0], out.keys[-1]))
+
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i in range(0, len(keys), 256):
-                if out is None:
-                    fs, folder = common.local_fs(path)
-                    fs.create_dir(folder, recursive=True)
-                    sink = fs.open_output_stream(f"{folder}/{name}")
-                    out = ShardWriter(sink, width, block_bytes)
                 for k, v in zip(keys[i : i + 256], own.batch(texts[i : i + 256]), strict=True):
+                    if out is None:
+                        file = f"shard-{task.partitionId():05d}-{len(done):05d}-{task.taskAttemptId()}.sst"
+                        fs.create_dir(folder, recursive=True)
+                        sink = fs.open_output_stream(f"{folder}/{file}")
+                        out = ShardWriter(sink, width, block_bytes)
                     out.add(key_bytes(k), v + end)
+                    if out.at + out.size >= shard_bytes:
+                        close()
+                        out = None
         if out is not None:
-            out.close()
-            sink.close()
-            yield pa.RecordBatch.from_pydict(
-                {"shard": pa.array([task.partitionId()], pa.int32()), "file": [name], "n_docs": pa.array([len(out.keys)], pa.int64()), "n_tokens": pa.array([out.tokens], pa.int64())}
-            )
+            close()
+        if done:
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=["shard", "file", "n_docs", "n_tokens", "first_key", "last_key"])
 
-    rows = docs.select(F.col(id_col).alias("key"), common.text_of(text_col).alias("text"))
-    ordered = rows.repartitionByRange(n, "key").sortWithinPartitions("key")
-    return common.stash(ordered.mapInArrow(write, "shard int, file string, n_docs long, n_tokens long"), "manifest")
+    rows = docs.select(F.col(id_col).alias("key"), common.text_of(text_col).alias("text")).withColumn("salt", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(n, "key", "salt").sortWithinPartitions("key", "salt").select("key", "text")
+    return common.stash(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame, path: str, kind: str = "bigint", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -205,29 +220,35 @@ def read_shards(manifest: DataFrame, path: str, kind: str = "bigint", id_col: st
                         yield batch(rows, pa)
 
     def batch(rows, pa):
-        kinds = [pa.int32(), pa.string() if kind == "string" else pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.string() if kind == "string" else pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds)], names=["shard", id_col, "begin", "n_tokens", "ids_crc32", "ids"][: len(rows[0])])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = manifest.select("shard", "file").repartition(n).mapInArrow(read, f"shard int, {id_col} {kind}, begin long, n_tokens long, ids_crc32 long{ids}")
-    # One row a shard: the running sum over shards is the only step that isn't spread out.
+    docs = manifest.select("shard", "file").repartition(n).mapInArrow(read, f"shard long, {id_col} {kind}, begin long, n_tokens long, ids_crc32 long{ids}")
+    # One row a shard, a shard being shard_bytes of ids or a task: the running sum over them is the only
+    # step that isn't spread out. Spark broadcasts it only while its size is below its own threshold.
     before = manifest.selectExpr("shard", "CAST(coalesce(sum(n_tokens) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before")
-    out = docs.join(F.broadcast(before), "shard")
+    out = docs.join(before, "shard")
     return out.select(id_col, (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def lookup(manifest: DataFrame, path: str, keys: list) -> dict:
-    """ids of a few keys, by Bloom filter and binary search in each shard; absent keys are left out."""
+    """ids of a few keys, absent ones left out: shards whose first and last key are around a key are opened,
+    there Bloom filter and binary search answer. A repeated key may be in several shards."""
     import numpy as np
 
     fs, folder = common.local_fs(path)
     found: dict = {}
-    for (file,) in manifest.select("file").collect():
+    if not keys:
+        return found
+    around = reduce(Column.__or__, (F.lit(bytearray(key_bytes(k))).between(F.col("first_key"), F.col("last_key")) for k in keys))
+    for file, first, last in manifest.where(around).orderBy("shard").select("file", "first_key", "last_key").collect():
         with fs.open_input_file(f"{folder}/{file}") as source:
             reader = ShardReader(source)
             for k in keys:
-                for v in reader.get(key_bytes(k)):
-                    found.setdefault(k, []).append(np.frombuffer(v, "<u2" if reader.id_bytes == 2 else "<u4").tolist())
+                if bytes(first) <= key_bytes(k) <= bytes(last):
+                    for v in reader.get(key_bytes(k)):
+                        found.setdefault(k, []).append(np.frombuffer(v, "<u2" if reader.id_bytes == 2 else "<u4").tolist())
     return found
 
 

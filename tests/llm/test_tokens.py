@@ -72,6 +72,20 @@ def test_string_keys_share_prefixes(spark):
     assert len(rows) == 501 and [r.doc_id for r in sorted(rows, key=lambda r: r.start)][:2] == [None, "https://example.org/page/00000"]
 
 
+def test_shards_are_cut_by_size_and_repeated_keys_are_spread(spark, words):
+    texts = [(7, f"text number {i} of one key") for i in range(400)] + [(i, f"other {i}") for i in (1, 2, 9)]
+    path = common.scratch_path(spark, "test")
+    manifest = sstable.write_shards(spark.createDataFrame(texts, "doc_id long, text string"), path, shards=4, block_bytes=256, shard_bytes=1024)
+    parts = manifest.orderBy("shard").collect()
+    assert len(parts) > 8 and len({r.shard >> 32 for r in parts}) == 4 and sum(r.n_docs for r in parts) == len(texts)
+    assert all(a.last_key <= b.first_key for a, b in zip(parts, parts[1:]))
+    ids = lambda t: [*words.encode(t, add_special_tokens=False).ids, 1]
+    assert sorted(sstable.lookup(manifest, path, [7, 3])[7]) == sorted(ids(t) for i, t in texts if i == 7)
+    rows = sorted(sstable.read_shards(manifest, path, with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted(i for i, _ in texts) and all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
+    assert sorted(list(r.ids) for r in rows) == sorted(ids(t) for _, t in texts)
+
+
 def test_shards_of_odd_tables(spark, odd, none):
     for df, n in ((odd, odd.count()), (none, 0)):
         path = common.scratch_path(spark, "test")
