@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hnsw, jaccard, mixing, packing, pii, quality, secrets, sstable, tokencount, toxicity
+from . import clusters, divergence, hnsw, jaccard, mixing, packing, pii, quality, secrets, sstable, tokencount, toxicity, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_token_counts": tokencount.op10_token_counts,
+    "op11_centroid_clusters": clusters.op11_centroid_clusters,
+    "op12_url_filter": urls.op12_url_filter,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op5_mix_sources": mixing.OP5_SQL}
+ORACLES: dict[str, str] = {"op5_mix_sources": mixing.OP5_SQL, "op11_centroid_clusters": clusters.OP11_SQL, "op13_source_divergence": divergence.OP13_SQL}
