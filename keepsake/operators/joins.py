@@ -10,13 +10,15 @@ from keepsake.functions import paths, times
 from . import graph
 
 
-def with_sidecars(media: DataFrame, sidecars: DataFrame, carry: list[str]) -> DataFrame:
+def with_sidecars(media: DataFrame, sidecars: DataFrame, carry: list[str], by: list[str] | None = None) -> DataFrame:
     """media(path) with the columns `carry` of its sidecar(path), null without one. A sidecar's own key
     counts before its alternative with the counter moved; of several, the first by path. Parts of a
-    download are joined after their union, so a photo and its sidecar may come from different parts."""
-    keys = sidecars.select(F.col("path").alias("_side"), *carry, F.posexplode(paths.sidecar_keys(F.col("path"))).alias("_rank", "_key")).where("_key IS NOT NULL")
-    best = keys.groupBy("_key").agg(F.min_by(F.struct(*carry), F.struct("_rank", "_side")).alias("_c"), F.count(F.lit(1)).alias("_n"))
-    return media.withColumn("_key", F.lower("path")).join(best, "_key", "left").select(*media.columns, *(F.col(f"_c.{c}").alias(c) for c in carry), F.col("_n").isNotNull().alias("paired"))
+    download are joined after their union, so a photo and its sidecar may come from different parts;
+    by: columns of both that tell downloads apart, whose paths may be equal."""
+    own = by or []
+    keys = sidecars.select(*own, F.col("path").alias("_side"), *carry, F.posexplode(paths.sidecar_keys(F.col("path"))).alias("_rank", "_key")).where("_key IS NOT NULL")
+    best = keys.groupBy(*own, "_key").agg(F.min_by(F.struct(*carry), F.struct("_rank", "_side")).alias("_c"), F.count(F.lit(1)).alias("_n"))
+    return media.withColumn("_key", F.lower("path")).join(best, [*own, "_key"], "left").select(*media.columns, *(F.col(f"_c.{c}").alias(c) for c in carry), F.col("_n").isNotNull().alias("paired"))
 
 
 def orphan_sidecars(media: DataFrame, sidecars: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
-"""Readers of services: each query writes the tables as the files of an export, of bounded size, and reads
-them as if they had come out of an archive."""
+"""Readers of services: each query writes the tables as the files of an export and reads them as if they had
+come out of an archive. The files of the zip_ queries are of any size and streamed in and out of zip
+files; the others are put together in memory, a row a file."""
 
 from __future__ import annotations
 
@@ -79,7 +80,7 @@ def fitness_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
     summary = _files(orders, F.col("o_custkey"), F.concat(folder, F.lit("Daily Summaries.csv")), line, "o_orderkey", "Date,Max price (x),Average price (x),Step count,Kind,End time\n")
     single = _files(orders, F.col("o_custkey"), F.concat(folder, day, F.lit(".csv")), F.concat_ws(",", F.lit("10:00"), n.cast("string")), "o_orderkey", "Start time,Step count\n")
-    return readers.fit_series(summary.unionByName(single))
+    return readers.fit_series(summary.unionByName(single)).drop("source_id")
 
 
 @query("SELECT CAST(o_custkey AS INTEGER) AS source_id, o_orderdate AS at, 'record' AS kind, o_orderpriority || ', \"' || o_orderkey || '\"' AS label FROM orders WHERE o_orderstatus <> 'P'")
@@ -160,3 +161,98 @@ def zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives.register(spark)
     members = spark.read.format("archive_content").load(folder)
     return members.select("path", "size", F.sha2("content", 256).alias("sha"))
+
+
+MAIL_BOXES = 3
+
+
+def _zipped(spark: SparkSession, lines: DataFrame, records: str, match: str, **options: str) -> DataFrame:
+    """Lines written as members of zip files and read again as records."""
+    folder = scratch_path(spark, "streams")
+    sinks.write_streams(lines, folder)
+    archives.register(spark)
+    return spark.read.format("archive_records").options(records=records, match=match, **options).load(folder)
+
+
+def _mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as mails in three mailboxes, every fourth without a subject, every fifth without a sender."""
+    id_, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    sender = F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("From: \"User "), user, F.lit("\" <U"), (F.col("event_id") % 2).cast("string"), F.lit("."), user, F.lit("@x.org>\r\n")))
+    subject = F.when(F.col("event_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("Subject: "), "event_type", F.lit("\r\n no. "), id_, F.lit("\r\n")))
+    date = F.concat(F.lit("Date: Mon, "), F.date_format("ts", "d MMM yyyy HH:mm:ss"), F.lit(" +0000\r\n"))
+    body = F.concat(F.lit("\r\n>From here\r\nFrom: nobody\r\nSubject: none\r\n"), F.repeat(F.lit("z" * 60 + "\r\n"), 20))
+    box = F.concat(F.lit("Takeout/Mail/Box "), (F.col("event_id") % MAIL_BOXES).cast("string"), F.lit(".mbox"))
+    return read(spark, sf_dir, "events").select(box.alias("target"), F.col("event_id").alias("place"), F.concat(F.lit("From "), id_, F.lit("@xxx Mon\r\n"), sender, subject, date, body).alias("line"))
+
+
+@query("""
+SELECT 'email' AS kind, CASE WHEN event_id % 4 = 0 THEN '(no subject)' ELSE event_type || ' no. ' || event_id END AS label, date_trunc('second', ts) AS at FROM events
+""")
+def zip_mail_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails of mailboxes in zip files, larger than a task would hold, as events."""
+    records = _zipped(spark, _mails(spark, sf_dir), "mbox", r"\.mbox$", headers="true")
+    nothing = spark.createDataFrame([], "source_id int, path string, content string")
+    return readers.google(nothing, records)["events"].select("kind", "label", "at")
+
+
+@query(f"""
+WITH m AS (SELECT event_id % {MAIL_BOXES} AS box, CASE WHEN event_id % 5 = 0 THEN 'Unknown' ELSE 'User ' || user_id END AS sender, event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'u' || event_id % 2 || '.' || user_id || '@x.org' END AS address FROM events),
+c AS (SELECT box, sender, arg_min(address, event_id) AS address, count(*) AS n FROM m GROUP BY box, sender)
+SELECT 'Takeout/Mail/Box ' || box || '.mbox#senders' AS table_id, sender, address, n AS messages, row_number() OVER (PARTITION BY box ORDER BY n DESC, address, sender) - 1 AS row_no FROM c
+""")
+def zip_mail_senders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Senders of those mails by the name shown, with the address of their first mail."""
+    records = _zipped(spark, _mails(spark, sf_dir), "mbox", r"\.mbox$", headers="true")
+    cells = readers.sender_cells(formats.mails(records.where("raw IS NOT NULL"), "source_id", "path", "record"))
+    value = lambda name: F.max(F.when(F.col("col_name") == name, F.col("value")))
+    return cells.groupBy("source_id", "table_id", "row_no").agg(value("Sender").alias("sender"), value("Address").alias("address"), value("Messages").cast("long").alias("messages")).drop("source_id")
+
+
+@query("""
+WITH e AS (SELECT user_id % 4 AS person, CAST(ts AS DATE) AS day, event_type, event_id % 100 AS v FROM events WHERE event_type IN ('click', 'view', 'purchase'))
+SELECT CAST(person AS VARCHAR) AS person, CASE event_type WHEN 'click' THEN 'Step count' WHEN 'view' THEN 'Heart rate' ELSE 'Resting energy' END AS series, strftime(day, '%Y-%m-%d') AS day, CAST(CASE WHEN event_type = 'view' THEN avg(v) ELSE sum(v) END AS DOUBLE) AS value
+FROM e GROUP BY person, event_type, day
+""")
+def zip_health_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as readings in the health exports of four persons, streamed out of zip files by element."""
+    kind = F.when(F.col("event_type") == "click", "StepCount").when(F.col("event_type") == "view", "HeartRate").otherwise("BasalEnergyBurned")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    line = F.format_string('<Record type="HKQuantityTypeIdentifier%s" sourceName="a > b" unit="x"\n startDate="%s +0100" endDate="%s +0100" value="%d"/><RecordCount n="1"/>', kind, stamp, stamp, F.col("event_id") % 100)
+    rows = read(spark, sf_dir, "events").where("event_type IN ('click', 'view', 'purchase')")
+    target = F.format_string("%d/apple_health_export/export.xml", F.col("user_id") % 4)
+    records = _zipped(spark, rows.select(target.alias("target"), F.col("event_id").alias("place"), line.alias("line")), "xml:Record", r"export\.xml$")
+    nothing = spark.createDataFrame([], "source_id int, path string, content string")
+    cells = readers.apple(nothing, records)["cells"]
+    per = cells.groupBy("source_id", "table_id", "title", "row_no").agg(F.max(F.when(F.col("col_no") == 0, F.col("value"))).alias("day"), F.max(F.when(F.col("col_no") == 1, F.col("value"))).cast("double").alias("value"))
+    return per.select(F.split("table_id", "/")[0].alias("person"), F.col("title").alias("series"), "day", "value")
+
+
+@query("""
+WITH c AS (SELECT CAST(o_custkey % 2 AS INTEGER) AS source_id, o_custkey % 5 AS file, o_orderkey, o_totalprice FROM orders)
+SELECT source_id, 'csv' AS kind, 't/' || file || '.csv#1' AS table_id, count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS total FROM c GROUP BY ALL
+UNION ALL SELECT source_id, 'json', 't/' || file || '.json#list', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM c GROUP BY ALL
+UNION ALL SELECT source_id, 'mail', 'Mail/' || file || '.mbox#senders', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM c GROUP BY ALL
+UNION ALL SELECT source_id, 'page', 'My Activity/' || file || '.html', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM c GROUP BY ALL
+UNION ALL SELECT source_id, 'health', file || '/apple_health_export/export.xml#Step count', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT source_id, file, o_orderkey % 50 AS day, count(*) AS n FROM c GROUP BY ALL) GROUP BY ALL
+""")
+def equal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files of two sources whose paths are the same: tables, lists, mailboxes, pages and readings
+    stay apart."""
+    o = read(spark, sf_dir, "orders").withColumns({"file": F.col("o_custkey") % 5, "key": F.col("o_orderkey").cast("string")})
+    source = F.col("o_custkey") % 2
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 50).cast("int")), "yyyy-MM-dd")
+    files = {
+        "csv": _files(o, source, F.format_string("t/%d.csv", "file"), F.concat(F.lit('"a\nb",'), "key"), "o_orderkey", "text,order\n"),
+        "json": _files(o, source, F.format_string("t/%d.json", "file"), F.concat(F.lit('{"order": '), "key", F.lit("}")), "o_orderkey", '{"list": [', "]}", ","),
+        "mail": _files(o, source, F.format_string("Mail/%d.mbox", "file"), F.concat(F.lit("From x Mon\nFrom: "), "key", F.lit(" <a@x.org>\n\nhi")), "o_orderkey"),
+        "page": _files(o, source, F.format_string("My Activity/%d.html", "file"), F.concat(F.lit('<div class="outer-cell"><div class="content-cell a">Viewed&nbsp;'), "key", F.lit("<br>Jan 2, 2024, 3:04:05 AM UTC<br></div></div>")), "o_orderkey", between=""),
+        "health": _files(o, source, F.format_string("%d/apple_health_export/export.xml", "file"), F.format_string('<Record type="HKQuantityTypeIdentifierStepCount" startDate="%s 10:00:00 +0100" endDate="%s 10:00:00 +0100" value="1"/>', day, day), "o_orderkey"),
+    }
+    named = lambda cells, kind, col: cells.where(F.col("col_name") == col).groupBy("source_id", F.lit(kind).alias("kind"), "table_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("value").cast("double")).cast("long").alias("total"))
+    acts = formats.activity(files["page"]).groupBy("source_id", F.lit("page").alias("kind"), F.col("path").alias("table_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("what").cast("long")).alias("total"))
+    tables = readers.apple(files["csv"].unionByName(files["json"]).unionByName(files["health"]))["cells"]
+    ids = {"csv": r"\.csv#", "json": r"\.json#", "health": r"export\.xml#"}
+    out = named(readers.mail_senders(files["mail"]), "mail", "Sender").unionByName(acts)
+    for kind, col in (("csv", "order"), ("json", "order"), ("health", "Value")):
+        out = out.unionByName(named(tables.where(F.col("table_id").rlike(ids[kind])), kind, col))
+    return out

@@ -8,7 +8,7 @@ MEDIA = "source_id INT, path STRING, name STRING, size BIGINT, crc32 BIGINT, kin
 MESSAGES = "source_id INT, thread STRING, sender STRING, direction STRING, text STRING, type STRING, at TIMESTAMP_NTZ"
 EVENTS = "source_id INT, at TIMESTAMP_NTZ, kind STRING, label STRING"
 PLACES = "source_id INT, at TIMESTAMP_NTZ, lat DOUBLE, lon DOUBLE"
-CELLS = "table_id STRING, row_no BIGINT, col_no INT, col_name STRING, value STRING"
+CELLS = "source_id INT, table_id STRING, title STRING, row_no BIGINT, col_no INT, col_name STRING, value STRING"
 FILES = "source_id INT, path STRING, name STRING, size BIGINT, sniffed_as STRING"
 NOTES = "source_id INT, code STRING, n BIGINT, text STRING"
 

@@ -22,6 +22,7 @@ def csv_rows(content: pd.Series) -> pd.Series:
     def one(s):
         if s is None:
             return None
+        csv.field_size_limit(2**31 - 1)
         rows = list(csv.reader(io.StringIO(s.replace("\r\n", "\n").replace("\r", ""))))
         while rows and not any(c.strip() for c in rows[-1]):
             rows.pop()
@@ -72,32 +73,50 @@ def xlsx_rows(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
+def keys_of(files: DataFrame) -> list[str]:
+    """What tells files apart: their source, where it is given, and their path."""
+    return [c for c in ("source_id", "path") if c in files.columns]
+
+
 def section_rows(tables: DataFrame, rows: str = "rows") -> DataFrame:
-    """tables(path, rows) as (path, table_id, title, row_no, header, r): a row of a section and its names.
+    """tables(source_id if any, path, rows) as (source_id if any, path, table_id, title, row_no, header, r): a
+    row of a section and its names."""
+    return section_lines(tables.select(*keys_of(tables), F.posexplode(rows).alias("line", "r")))
+
+
+def section_lines(flat: DataFrame) -> DataFrame:
+    """The same of flat(source_id if any, path, line, r), a row a line.
 
     A lone field above a wider row is a heading; a heading or a row after a blank one starts a
     section. A section's first wide row has its column names; `com.samsung...` on the first line
     is a service's mark, not a heading. Windows run over the rows of one file."""
+    keys = keys_of(flat)
     filled = lambda r: F.size(F.filter(r, lambda c: F.trim(c) != ""))
-    flat = tables.select("path", F.posexplode(rows).alias("line", "r")).withColumn("w", filled("r"))
+    flat = flat.select(*keys, "line", "r").withColumn("w", filled("r"))
     flat = flat.where(~((F.col("line") == 0) & F.get("r", F.lit(0)).rlike(r"(?i)^com\.samsung")))
-    by = Window.partitionBy("path").orderBy("line")
+    by = Window.partitionBy(*keys).orderBy("line")
     told = flat.withColumns({"next": F.lead("w", 1, 0).over(by), "last": F.lag("w", 1, 0).over(by)})
     heading = (F.col("w") == 1) & (F.col("next") > 1)
     told = told.withColumn("heading", heading).where("w > 0")
     starts = F.col("heading") | (F.col("last") == 0)
     told = told.withColumn("section", F.sum(starts.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("path", "section").orderBy("line")
-    body = told.withColumn("title", F.max(F.when(F.col("heading"), F.trim(F.get("r", F.lit(0))))).over(Window.partitionBy("path", "section"))).where("NOT heading")
+    inside = Window.partitionBy(*keys, "section").orderBy("line")
+    body = told.withColumn("title", F.max(F.when(F.col("heading"), F.trim(F.get("r", F.lit(0))))).over(Window.partitionBy(*keys, "section"))).where("NOT heading")
     body = body.withColumn("n", F.row_number().over(inside)).withColumn("header", F.first("r").over(inside))
-    return body.where("n > 1").select("path", F.concat_ws("#", "path", F.col("section").cast("string")).alias("table_id"), "title", (F.col("n") - 2).cast("long").alias("row_no"), "header", "r")
+    return body.where("n > 1").select(*keys, F.concat_ws("#", "path", F.col("section").cast("string")).alias("table_id"), "title", (F.col("n") - 2).cast("long").alias("row_no"), "header", "r")
 
 
-def sections(tables: DataFrame, rows: str = "rows") -> DataFrame:
-    """tables(path, rows) as cells: (table_id, title, row_no, col_no, col_name, value), by section_rows."""
-    cells = section_rows(tables, rows).select("table_id", "title", "row_no", "header", F.posexplode("r").alias("col_no", "value"))
+def section_cells(found: DataFrame) -> DataFrame:
+    """Rows of sections as cells: (source_id if any, table_id, title, row_no, col_no, col_name, value)."""
+    own = keys_of(found)[:-1]
+    cells = found.select(*own, "table_id", "title", "row_no", "header", F.posexplode("r").alias("col_no", "value"))
     name = F.get("header", F.col("col_no"))
-    return cells.select("table_id", "title", "row_no", "col_no", F.coalesce(F.nullif(F.trim(name), F.lit("")), F.concat(F.lit("column "), (F.col("col_no") + 1).cast("string"))).alias("col_name"), "value")
+    return cells.select(*own, "table_id", "title", "row_no", "col_no", F.coalesce(F.nullif(F.trim(name), F.lit("")), F.concat(F.lit("column "), (F.col("col_no") + 1).cast("string"))).alias("col_name"), "value")
+
+
+def sections(tables: DataFrame, rows: str = "rows") -> DataFrame:
+    """tables(source_id if any, path, rows) as cells, by section_rows."""
+    return section_cells(section_rows(tables, rows))
 
 
 def under(header: Column, row: Column, pattern: str) -> Column:
@@ -106,17 +125,19 @@ def under(header: Column, row: Column, pattern: str) -> Column:
 
 
 def json_tables(files: DataFrame) -> DataFrame:
-    """files(path, content): arrays of objects, at the top or under any key, as cells; columns go by the
-    first object's keys."""
+    """files(source_id if any, path, content): arrays of objects, at the top or under any key, as cells;
+    columns go by the first object's keys."""
+    keys = keys_of(files)
+    own = keys[:-1]
     doc = F.try_parse_json("content")
-    top = files.select("path", F.lit("").alias("key"), F.try_variant_get(doc, "$", "array<map<string,variant>>").alias("list"))
-    under = files.select("path", F.explode(F.try_variant_get(doc, "$", "map<string,variant>")).alias("key", "v")).select("path", "key", F.try_variant_get("v", F.lit("$"), "array<map<string,variant>>").alias("list"))
+    top = files.select(*keys, F.lit("").alias("key"), F.try_variant_get(doc, "$", "array<map<string,variant>>").alias("list"))
+    under = files.select(*keys, F.explode(F.try_variant_get(doc, "$", "map<string,variant>")).alias("key", "v")).select(*keys, "key", F.try_variant_get("v", F.lit("$"), "array<map<string,variant>>").alias("list"))
     lists = top.unionByName(under).where("size(list) > 0")
     first = F.map_keys(F.get("list", F.lit(0)))
-    rows = lists.select(F.concat_ws("#", "path", F.nullif("key", F.lit(""))).alias("table_id"), first.alias("names"), F.posexplode("list").alias("row_no", "o"))
-    cells = rows.select("table_id", F.col("row_no").cast("long").alias("row_no"), "o", F.posexplode("names").alias("col_no", "col_name"))
+    rows = lists.select(*own, F.concat_ws("#", "path", F.nullif("key", F.lit(""))).alias("table_id"), first.alias("names"), F.posexplode("list").alias("row_no", "o"))
+    cells = rows.select(*own, "table_id", F.col("row_no").cast("long").alias("row_no"), "o", F.posexplode("names").alias("col_no", "col_name"))
     value = F.try_element_at("o", F.col("col_name"))
-    return cells.select("table_id", F.lit(None).cast("string").alias("title"), "row_no", "col_no", "col_name", F.coalesce(F.try_variant_get(value, F.lit("$"), "string"), F.to_json(value)).alias("value"))
+    return cells.select(*own, "table_id", F.lit(None).cast("string").alias("title"), "row_no", "col_no", "col_name", F.coalesce(F.try_variant_get(value, F.lit("$"), "string"), F.to_json(value)).alias("value"))
 
 
 # ---- contacts, calendars, mail
@@ -197,7 +218,9 @@ VERBS = "Watched|Searched for|Visited|Viewed|Used|Liked|Listened to|Subscribed t
 
 
 def activity(pages: DataFrame) -> DataFrame:
-    """pages(path, content): blocks of an activity page as (product, verb, what, href, at)."""
+    """pages(source_id if any, path, content): blocks of an activity page as (product, verb, what, href, at),
+    with their file and place in it."""
+    keys = keys_of(pages)
     cut = F.split("content", r'<div class="outer-cell')
     blocks = F.slice(cut, F.lit(2), F.size(cut))
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), "&nbsp;| | ", " "), r"\s+", " "))
@@ -209,8 +232,8 @@ def activity(pages: DataFrame) -> DataFrame:
     stamp = F.regexp_extract(said, when, 1)
     verb = F.regexp_extract(said, rf"^({VERBS})", 1)
     what = F.trim(F.regexp_replace(F.replace(F.replace(said, stamp, F.lit("")), verb, F.lit("")), r"\s+[A-Z]{2,5}$", ""))
-    rows = pages.select("path", F.posexplode(blocks).alias("place", "b"))
-    return rows.select("path", "place", product.alias("product"), F.nullif(verb, F.lit("")).alias("verb"), what.alias("what"), F.nullif(F.regexp_extract(cell, r'href="([^"]*)"', 1), F.lit("")).alias("href"), dates.english_date(stamp).alias("at"))
+    rows = pages.select(*keys, F.posexplode(blocks).alias("place", "b"))
+    return rows.select(*keys, "place", product.alias("product"), F.nullif(verb, F.lit("")).alias("verb"), what.alias("what"), F.nullif(F.regexp_extract(cell, r'href="([^"]*)"', 1), F.lit("")).alias("href"), dates.english_date(stamp).alias("at"))
 
 
 def notes(files: DataFrame) -> DataFrame:
@@ -237,11 +260,15 @@ def health_records(spark: SparkSession, path: str) -> DataFrame:
     return _readings(spark.read.format("xml").option("rowTag", "Record").option("attributePrefix", "").schema(", ".join(f"{a} string" for a in _HEALTH)).load(path))
 
 
+def health_elements(elements: DataFrame, *keep: str) -> DataFrame:
+    """The same of elements(raw), the attributes of a record each."""
+    found = lambda a: F.nullif(F.regexp_extract("raw", rf'(?:^|\s){a}="([^"]*)"', 1), F.lit(""))
+    return _readings(elements.select(*keep, *(found(a).alias(a) for a in _HEALTH)), *keep)
+
+
 def health_readings(files: DataFrame, *keep: str) -> DataFrame:
     """The same of files(content) that were unzipped already."""
-    record = files.select(*keep, F.explode(F.regexp_extract_all("content", F.lit(r"<Record\s([^>]*)>"), 1)).alias("r"))
-    found = lambda a: F.nullif(F.regexp_extract("r", rf'(?:^|\s){a}="([^"]*)"', 1), F.lit(""))
-    return _readings(record.select(*keep, *(found(a).alias(a) for a in _HEALTH)), *keep)
+    return health_elements(files.select(*keep, F.explode(F.regexp_extract_all("content", F.lit(r"<Record\s([^>]*)>"), 1)).alias("raw")), *keep)
 
 
 # ---- binary headers

@@ -36,20 +36,22 @@ def _records(files: DataFrame, pattern: str) -> DataFrame:
 
 
 def csv_cells(files: DataFrame, pattern: str = r"(?i)\.csv$") -> DataFrame:
-    return formats.sections(_like(files, pattern).select("path", formats.csv_rows("content").alias("rows")))
+    return formats.section_cells(_csv_sections(files, pattern))
 
 
 def _csv_sections(files: DataFrame, pattern: str = r"(?i)\.csv$") -> DataFrame:
-    """(source_id, path, title, row_no, header, r) of CSV files; files of several sources may share a path."""
-    own = F.concat_ws("\t", F.col("source_id").cast("string"), "path")
-    rows = formats.section_rows(_like(files, pattern).select(own.alias("path"), formats.csv_rows("content").alias("rows")))
-    both = F.split("path", "\t", 2)
-    return rows.select(both[0].cast("int").alias("source_id"), both[1].alias("path"), "title", "row_no", "header", "r")
+    """(source_id, path, table_id, title, row_no, header, r) of CSV files; files of several sources may share a path."""
+    return formats.section_rows(_like(files, pattern).select("source_id", "path", formats.csv_rows("content").alias("rows")))
+
+
+def _json_tables(files: DataFrame) -> DataFrame:
+    return formats.json_tables(files.select("source_id", "path", "content"))
 
 
 def _as_cells(rows: DataFrame, table_id: Column, title: Column, row_no: Column, values: dict[str, Column]) -> DataFrame:
+    """rows(source_id, ...) as cells."""
     cell = F.array(*(F.struct(F.lit(i).alias("col_no"), F.lit(n).alias("col_name"), c.cast("string").alias("value")) for i, (n, c) in enumerate(values.items())))
-    return rows.select(table_id.alias("table_id"), title.alias("title"), row_no.cast("long").alias("row_no"), F.inline(cell))
+    return rows.select("source_id", table_id.alias("table_id"), title.alias("title"), row_no.cast("long").alias("row_no"), F.inline(cell))
 
 
 def rows_of(files: DataFrame, pattern: str) -> DataFrame:
@@ -79,7 +81,7 @@ def snapchat(files: DataFrame) -> Library:
     pair = F.coalesce(field(F.col("r"), "Latitude Longitude", "Location"), F.concat_ws(",", field(F.col("r"), "Latitude"), field(F.col("r"), "Longitude")))
     two = r"(-?\d+(?:\.\d+)?)[^\d-]+(-?\d+(?:\.\d+)?)"
     places = spot.select("source_id", dates.parse_date(field(F.col("r"), "Time", "Date")).alias("at"), F.regexp_extract(pair, two, 1).try_cast("double").alias("lat"), F.regexp_extract(pair, two, 2).try_cast("double").alias("lon")).where("lat IS NOT NULL")
-    tables = formats.json_tables(_like(files, r"(?i)(friends|account)[^/]*\.json$").select("path", "content"))
+    tables = _json_tables(_like(files, r"(?i)(friends|account)[^/]*\.json$"))
     return {"messages": messages, "events": memories.unionByName(snaps), "places": places, "cells": tables}
 
 
@@ -100,13 +102,22 @@ def meta(files: DataFrame) -> Library:
     label = F.coalesce(F.col("p.title"), F.get("p.data", F.lit(0))["post"])
     events = post.select("source_id", dates.from_epoch_ms(F.col("p.timestamp") * 1000).alias("at"), F.lit("post").alias("kind"), text.repair(label).alias("label"))
     rest = files.where(F.col("path").rlike(r"(?i)\.json$") & ~F.col("path").rlike(r"(?i)message_\d+\.json$|posts?_\d+\.json$"))
-    cells = formats.json_tables(rest.select("path", "content")).withColumn("value", text.repair(F.col("value")))
+    cells = _json_tables(rest).withColumn("value", text.repair(F.col("value")))
     return {"messages": messages, "events": events, "cells": cells}
 
 
-def google(files: DataFrame) -> Library:
-    """Photo sidecars, location records, watch history and activity pages, tables. A position of 0, 0 is
-    none. Sidecars are joined with photos after the union of all parts."""
+#: Folders and file of a history of places; what stands for a title or a subject that isn't there.
+TIMELINE = r"(?i)(^|/)(location history|timeline)( \(timeline\))?/"
+UNTITLED, NO_SUBJECT, NOBODY = "Watched a video", "(no subject)", "Unknown"
+
+
+def google(files: DataFrame, records: DataFrame | None = None) -> Library:
+    """Photo sidecars, location records, watch and search history, activity pages, mailboxes, tables. A position
+    of 0, 0 is none. Sidecars are joined with photos after the union of all parts. A folder for a
+    history of places without any is a note.
+
+    records(source_id, path, record, raw), as archive_records gives them with `headers`, are the
+    mails; without them those of the files' contents."""
     side = _like(files, r"(?i)\.(jpe?g|png|heic|gif|webp|mp4|mov)[^/]*\.json$").select("source_id", "path", F.from_json("content", "photoTakenTime struct<timestamp:string>, geoData struct<latitude:double,longitude:double>, description string").alias("d"))
     known = (F.col("d.geoData.latitude") != 0) | (F.col("d.geoData.longitude") != 0)
     sidecars = side.select(
@@ -115,63 +126,97 @@ def google(files: DataFrame) -> Library:
     )
     spot = _like(files, r"(?i)records\.json$").select("source_id", F.explode(F.from_json("content", "locations array<struct<latitudeE7:bigint,longitudeE7:bigint,timestamp:string,timestampMs:string>>")["locations"]).alias("l"))
     places = spot.select("source_id", dates.parse_date(F.coalesce("l.timestamp", "l.timestampMs")).alias("at"), (F.col("l.latitudeE7") / 1e7).alias("lat"), (F.col("l.longitudeE7") / 1e7).alias("lon")).where("lat IS NOT NULL")
-    seen = _like(files, r"(?i)(watch|search)-history\.json$").select("source_id", F.explode(F.from_json("content", "array<struct<title:string,titleUrl:string,time:string>>")).alias("w"))
-    watched = seen.select("source_id", dates.parse_date(F.col("w.time")).alias("at"), F.lit("record").alias("kind"), F.col("w.title").alias("label"))
-    pages = formats.activity(_like(files, r"(?i)my ?activity.*\.html$").select("path", "content")).join(files.select("path", "source_id").distinct(), "path")
-    acted = pages.select("source_id", "at", F.lit("record").alias("kind"), F.concat_ws(" ", "verb", "what").alias("label"))
-    cells = csv_cells(files).unionByName(fit_series(files)).unionByName(mail_senders(files))
-    return {"sidecars": sidecars, "places": places, "events": watched.unionByName(acted), "cells": cells}
+    timeline = _like(files, TIMELINE).select("source_id").distinct().join(places.select("source_id").distinct(), "source_id", "left_anti")
+    notes = timeline.select("source_id", F.lit("timeline_empty").alias("code"), F.lit(1).cast("long").alias("n"), F.lit("There is a folder for the history of places, but none in it: that history is kept on the phone now.").alias("text"))
+    seen = _like(files, r"(?i)(watch|search)-history\.json$").select("source_id", F.col("path").rlike("(?i)watch-history").alias("video"), F.explode(F.from_json("content", "array<struct<title:string,titleUrl:string,time:string>>")).alias("w"))
+    title = F.coalesce(F.nullif("w.title", F.lit("")), F.when(F.col("video"), UNTITLED))
+    watched = seen.select("source_id", dates.parse_date(F.col("w.time")).alias("at"), F.when(F.col("video"), "video").otherwise("record").alias("kind"), title.alias("label")).where("at IS NOT NULL")
+    acted = formats.activity(_like(files, r"(?i)my ?activity.*\.html$").select("source_id", "path", "content")).select("source_id", "at", F.lit("record").alias("kind"), F.concat_ws(" ", "verb", "what").alias("label"))
+    mails = formats.mails(mails_in(files) if records is None else records.where("raw IS NOT NULL"), "source_id", "path", "record")
+    cells = csv_cells(files).unionByName(fit_series(files)).unionByName(sender_cells(mails))
+    return {"sidecars": sidecars, "places": places, "events": watched.unionByName(acted).unionByName(mail_events(mails)), "cells": cells, "notes": notes}
+
+
+#: What is said before a measure's name, what after it, and the columns that aren't measures.
+FIT_WORDS, FIT_UNIT, FIT_TIMES = r"(?i)^(average|avg|max|min|maximum|minimum)\s+", r"\s*\([^)]*\)\s*$", r"(?i)^(|date|start ?time|end ?time)$"
 
 
 def fit_series(files: DataFrame) -> DataFrame:
     """Cells of fitness files, a table (Date, Value) a measure and source. A source's daily summary counts
     alone where there is one. Of columns that tell the same measure (average, max, min) the first
-    average stays, without one the last column. Order within a source's measure is by file and row."""
+    average stays, without one the first column. Order within a source's measure is by file and row."""
     fit = _like(files, r"(?i)(^|/)fit/.*\.csv$").where(~F.col("path").rlike("(?i)/activities/")).withColumn("_daily", F.col("path").rlike(r"(?i)daily\s*summar"))
     daily = fit.groupBy("source_id").agg(F.bool_or("_daily").alias("_any"))
     rows = _csv_sections(fit.join(daily, "source_id").where("_daily OR NOT _any"))
     dated = rows.select("source_id", "path", "row_no", formats.under(F.col("header"), F.col("r"), "(?i)^(date|start ?time)$").alias("date"), "header", F.posexplode("r").alias("col_no", "value")).where("date IS NOT NULL")
     label = F.trim(F.get("header", F.col("col_no")))
-    stem = F.trim(F.lower(F.regexp_replace(F.regexp_replace("label", r"(?i)^(average|avg|max|min|maximum|minimum)\s+", ""), r"\s*\([^)]*\)\s*$", "")))
+    stem = F.trim(F.lower(F.regexp_replace(F.regexp_replace("label", FIT_WORDS, ""), FIT_UNIT, "")))
     number = F.col("value").try_cast("double")
-    points = dated.withColumn("label", label).where(~F.col("label").rlike(r"(?i)^(|date|start ?time|end ?time)$") & (F.abs(number) < float("inf"))).withColumn("stem", stem)
+    points = dated.withColumn("label", label).where(~F.col("label").rlike(FIT_TIMES) & (F.abs(number) < float("inf"))).withColumn("stem", stem)
     named = points.groupBy("source_id", "stem", "label").agg(F.min(F.struct("path", "col_no")).alias("_at"))
     average = F.when(F.col("label").rlike("(?i)^average"), F.col("_at"))
-    best = named.groupBy("source_id", "stem").agg(F.coalesce(F.min_by("label", average), F.max_by("label", "_at")).alias("label"), F.min("_at.path").alias("_file"))
+    best = named.groupBy("source_id", "stem").agg(F.coalesce(F.min_by("label", average), F.min_by("label", "_at")).alias("label"), F.min("_at.path").alias("_file"))
     kept = points.join(best, ["source_id", "stem", "label"])
     place = F.row_number().over(Window.partitionBy("source_id", "label").orderBy("path", "row_no")) - 1
     return _as_cells(kept.withColumn("_place", place), F.concat_ws("#", "_file", "label"), F.col("label"), F.col("_place"), {"Date": F.col("date"), "Value": F.col("value")})
 
 
-def mail_senders(files: DataFrame) -> DataFrame:
-    """Cells of mailboxes: who writes how often, the most frequent first. Only headers are read."""
-    raw = _like(files, r"(?i)\.mbox$").select("source_id", "path", F.explode(F.split(F.regexp_replace("content", "\r\n", "\n"), "\nFrom ")).alias("m"))
-    sent = formats.mails(raw.select("source_id", "path", F.regexp_replace("m", "^From ", "").alias("raw")), "source_id", "path")
-    count = sent.where("address IS NOT NULL").groupBy("source_id", "path", "address").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("source_id", "path").orderBy(F.desc("n"), "address")) - 1
+def mails_in(files: DataFrame) -> DataFrame:
+    """(source_id, path, record, raw): mails of mailboxes whose contents are there, from their separators on."""
+    whole = F.concat(F.lit("\n"), F.regexp_replace("content", "\r\n", "\n"))
+    cut = _like(files, r"(?i)\.mbox$").select("source_id", "path", F.posexplode(F.split(whole, r"\nFrom (?=\S)")).alias("record", "raw"))
+    return cut.where("record > 0").select("source_id", "path", (F.col("record") - 1).cast("long").alias("record"), F.concat(F.lit("From "), "raw").alias("raw"))
+
+
+def mail_events(mails: DataFrame) -> DataFrame:
+    """Dated mails as events, under their subject."""
+    return mails.where("at IS NOT NULL").select("source_id", "at", F.lit("email").alias("kind"), F.coalesce("subject", F.lit(NO_SUBJECT)).alias("label"))
+
+
+def sender_cells(mails: DataFrame) -> DataFrame:
+    """Cells of mails(source_id, path, record, name, address): who writes how often, the most frequent first. Senders
+    go by the name that they show; the address is that of their first mail."""
+    who = F.coalesce("name", F.lit(NOBODY)).alias("name")
+    count = mails.select("source_id", "path", "record", who, F.coalesce("address", F.lit("")).alias("address")).groupBy("source_id", "path", "name").agg(F.min_by("address", "record").alias("address"), F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("source_id", "path").orderBy(F.desc("n"), "address", "name")) - 1
     return _as_cells(count.withColumn("_place", place), F.concat_ws("#", "path", F.lit("senders")), F.lit("Mail: who writes to you"), F.col("_place"), {"Sender": F.col("name"), "Address": F.col("address"), "Messages": F.col("n")})
 
 
+def mail_senders(files: DataFrame) -> DataFrame:
+    """Cells of mailboxes, by sender_cells. Only headers are read."""
+    return sender_cells(formats.mails(mails_in(files), "source_id", "path", "record"))
+
+
 #: Fixed value: types of readings that add up over a day.
 SUMMED = "^(StepCount|FlightsClimbed|DistanceWalking|DistanceCycling|DistanceSwimming|ActiveEnergyBurned|BasalEnergyBurned|AppleExerciseTime|AppleStandTime|DietaryWater|SwimmingStrokeCount|PushCount|Asleep|InBed)"
 
 
+HEALTH = r"(?i)(^|/)apple_health_export/(.*/)?export\.xml$"
+
+
 def health_series(files: DataFrame) -> DataFrame:
     """Cells of health exports, a table (Date, Value) a type of reading; energy at rest has a name of its own."""
-    per_day = health_days(formats.health_readings(_like(files, r"(?i)(^|/)apple_health_export/(.*/)?export\.xml$"), "path"), SUMMED, "path").where("value IS NOT NULL")
+    return health_cells(formats.health_readings(_like(files, HEALTH), "source_id", "path"))
+
+
+def health_cells(readings: DataFrame) -> DataFrame:
+    """The same of readings(source_id, path, type, at, value)."""
+    per_day = health_days(readings, SUMMED, "source_id", "path").where("value IS NOT NULL")
     spaced = F.regexp_replace(F.regexp_replace("type", "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
     readable = F.concat(F.upper(F.substring(spaced, 1, 1)), F.lower(F.substring(spaced, 2, 2**31 - 1)))
     label = F.when(F.col("type") == "Asleep", "Sleep").when(F.col("type") == "InBed", "Time in bed").when(readable.startswith("Basal energy"), "Resting energy").otherwise(readable)
     return _as_cells(per_day, F.concat_ws("#", "path", label), label, F.unix_date(F.col("day").cast("date")), {"Date": F.date_format("day", "yyyy-MM-dd"), "Value": F.col("value")})
 
 
-def apple(files: DataFrame) -> Library:
+def apple(files: DataFrame, records: DataFrame | None = None) -> Library:
     """Every CSV file and JSON list as a table, health by type and day; rows of a table with a date and a
-    label are events."""
+    label are events. records(source_id, path, raw), as archive_records gives them for Record elements,
+    are the health readings; without them those of the files' contents."""
     rows = _csv_sections(files)
     under = lambda p: formats.under(F.col("header"), F.col("r"), p)
     dated = rows.select("source_id", dates.parse_date(under("(?i)date|time|purchase")).alias("at"), F.lit("record").alias("kind"), F.nullif(under("(?i)item|title|name|description|product"), F.lit("")).alias("label"))
-    cells = csv_cells(files).unionByName(formats.json_tables(_like(files, r"(?i)\.json$").select("path", "content"))).unionByName(health_series(files))
+    health = health_series(files) if records is None else health_cells(formats.health_elements(records.where("raw IS NOT NULL"), "source_id", "path"))
+    cells = csv_cells(files).unionByName(_json_tables(_like(files, r"(?i)\.json$"))).unionByName(health)
     return {"events": dated.where("at IS NOT NULL AND label IS NOT NULL"), "cells": cells}
 
 
@@ -210,7 +255,8 @@ def reddit(files: DataFrame) -> Library:
 
 
 def generic(files: DataFrame) -> Library:
-    return apple(files)
+    """An export of a service that isn't known: its tables, and no guesses at what they mean."""
+    return {"cells": csv_cells(files).unionByName(_json_tables(_like(files, r"(?i)\.json$")))}
 
 
 READERS = {"snapchat": snapchat, "instagram": meta, "facebook": meta, "google": google, "apple": apple, "samsung": samsung, "reddit": reddit}
@@ -221,11 +267,13 @@ def media_of(entries: DataFrame, sidecars: DataFrame | None = None, contents: Da
     movie's header, their sidecar, EXIF, their name or the archive, in this order.
 
     contents(source_id, path, content binary) are read where they are given; only dates and positions
-    of them go into the join. A sidecar's position counts before that of EXIF."""
+    of them go into the join. A sidecar's position counts before that of EXIF. Where both entries and
+    sidecars have an export_key, sidecars only go with photos of the same export."""
     nothing = F.lit(None).cast("timestamp_ntz")
     found = entries.withColumn("kind", paths.media_kind(F.col("path"))).where("kind IS NOT NULL")
     if sidecars is not None:
-        found = with_sidecars(found, sidecars.select("path", "taken", "lat", "lon", "caption"), ["taken", "lat", "lon", "caption"])
+        by = [c for c in ("export_key",) if c in entries.columns and c in sidecars.columns]
+        found = with_sidecars(found, sidecars.select(*by, "path", "taken", "lat", "lon", "caption"), ["taken", "lat", "lon", "caption"], by)
     else:
         found = found.withColumns({"taken": nothing, "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"), "caption": F.lit(None).cast("string")})
     if contents is not None:

@@ -67,6 +67,45 @@ def write_zips(placed: DataFrame, root: str, name: str = "export") -> DataFrame:
     return stash(placed.select("target", "content").mapInArrow(run, "file string, entries long, bytes long"), "zips")
 
 
+def write_streams(lines: DataFrame, root: str, name: str = "export", parts: int | None = None) -> DataFrame:
+    """lines(target, place, line) as members of zip files below root, a zip file a partition; returns (file,
+    entries, bytes). A member's lines (strings, written as they are) are in order of place; they come
+    sorted and are written as they come, so a member may be of any size."""
+
+    def run(batches):
+        import zipfile
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        store, base = _filesystem(root)
+        file, n, size, open_, member, sink, out = f"{name}-{TaskContext.get().partitionId():05d}.zip", 0, 0, None, None, None, None
+        part = f"{base}/{file}.part-{TaskContext.get().taskAttemptId()}"
+        for b in batches:
+            for target, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if out is None:
+                    store.create_dir(base, recursive=True)
+                    sink = store.open_output_stream(part)
+                    out = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED, allowZip64=True, compresslevel=1)
+                if target != open_:
+                    if member is not None:
+                        member.close()
+                    member, open_, n = out.open(target, "w", force_zip64=True), target, n + 1
+                data = (line or "").encode()
+                member.write(data)
+                size += len(data)
+        if out is not None:
+            member.close()
+            out.close()
+            sink.close()
+            store.move(part, f"{base}/{file}")
+            yield pa.RecordBatch.from_pydict({"file": [file], "entries": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
+
+    spark = lines.sparkSession
+    dealt = lines.where("target IS NOT NULL").repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), "target").sortWithinPartitions("target", "place")
+    return stash(dealt.select("target", "line").mapInArrow(run, "file string, entries long, bytes long"), "zips")
+
+
 def save_library(library: dict[str, DataFrame], path: str, version: int) -> None:
     """Each table as compressed JSON lines, with the version of the readers that made it."""
     for name, table in library.items():
