@@ -32,3 +32,25 @@ def unit_of(name: Column) -> Column:
     for pattern, unit, label, agg in UNITS:
         out = out.when(name.rlike(pattern), F.struct(F.lit(unit).alias("unit"), F.lit(label).alias("label"), F.lit(agg).alias("agg")))
     return out
+
+
+def rule_of(name: Column) -> Column:
+    """Place of the first rule that fits, null if none does."""
+    out = F
+    for i, (pattern, *_) in enumerate(UNITS):
+        out = out.when(name.rlike(pattern), F.lit(i))
+    return out
+
+
+def rule(place: Column, part: str) -> Column:
+    """A rule's unit, label or agg, by its place."""
+    at = ("pattern", "unit", "label", "agg").index(part)
+    return F.get(F.array(*(F.lit(u[at]) for u in UNITS)), place)
+
+
+def rule_fits(place: Column, name: Column) -> Column:
+    """Whether the rule at this place fits a name."""
+    out = F
+    for i, (pattern, *_) in enumerate(UNITS):
+        out = out.when(place == i, name.rlike(pattern))
+    return F.coalesce(out, F.lit(False))

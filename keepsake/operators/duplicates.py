@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -45,6 +46,11 @@ def keep_in_groups(files: DataFrame, group: str, order: list[Column], n: int = 1
     return ranked.drop("_r")
 
 
+def _lacks(key: list[str]) -> Column:
+    """Whether a part of the key is null."""
+    return functools.reduce(lambda a, b: a | b, (F.col(k).isNull() for k in key))
+
+
 def superseded(files: DataFrame, key: list[str], provider: str, download: str) -> DataFrame:
     """What stays when a provider's newest download replaces the older ones: all of the newest, and of the
     older what the newest lacks by key; rows without a key always stay. newest: whether a row is
@@ -52,7 +58,7 @@ def superseded(files: DataFrame, key: list[str], provider: str, download: str) -
     last = files.groupBy(provider).agg(F.max(download).alias("_last"))
     marked = files.join(F.broadcast(last), provider).withColumn("newest", F.col(download) == F.col("_last")).drop("_last")
     there = marked.where("newest").select(provider, *key).distinct()
-    no_key = F.greatest(*(F.col(k).isNull().cast("int") for k in key)) == 1
+    no_key = _lacks(key)
     older = marked.where(~F.col("newest"))
     return marked.where("newest").unionByName(older.where(no_key)).unionByName(older.where(~no_key).join(there, [provider, *key], "left_anti").select(*marked.columns))
 
@@ -62,7 +68,7 @@ def first_of_parts(entries: DataFrame, key: list[str], order: list[str]) -> Data
     null in the key pass."""
     whole = entries.dropna(subset=key)
     first = whole.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
-    no_key = F.greatest(*(F.col(k).isNull().cast("int") for k in key)) == 1
+    no_key = _lacks(key)
     return first.unionByName(entries.where(no_key))
 
 

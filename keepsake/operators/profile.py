@@ -27,20 +27,21 @@ def cells(table: DataFrame, table_id: str, columns: list[str] | None = None) ->
     return table.select(F.inline(one)).select(F.lit(table_id).alias("table_id"), "col_no", "col_name", "value")
 
 
-def column_profile(long: DataFrame, now_ms: int | None = None) -> DataFrame:
+def column_profile(long: DataFrame, now_ms: int | None = None, by: tuple[str, ...] = ("table_id",)) -> DataFrame:
     """A row a column of every table: filled, distinct (stops at 401), type and, for numbers, least,
     greatest, sum and mean. Types go by the shares of all filled cells, in this order: empty, id (by
-    name), date, money or number, url, category, title (by name), text. All tables in one job."""
+    name), date, money or number, url, category, title (by name), text. All tables in one job; by tells
+    them apart."""
     value = F.when(F.trim("value") != "", F.col("value"))
     # equal cells are put together first: expressions run once a distinct value, counts weigh them
-    cells_ = long.groupBy("table_id", "col_no", "col_name", value.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    cells_ = long.groupBy(*by, "col_no", "col_name", value.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     v, c = F.col("v"), F.col("c")
     read = cells_.select(
-        "table_id", "col_no", "col_name", "v", "c", numbers.to_number(v).alias("x"), dates.profile_date(v, now_ms).isNotNull().alias("d"),
+        *by, "col_no", "col_name", "v", "c", numbers.to_number(v).alias("x"), dates.profile_date(v, now_ms).isNotNull().alias("d"),
         numbers.looks_numeric(v).alias("k"), v.rlike(numbers.SIGNS).alias("signed"), v.rlike("(?i)^https?://").alias("u"),
     )
     weigh = lambda cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0))
-    per = read.groupBy("table_id", "col_no", "col_name").agg(
+    per = read.groupBy(*by, "col_no", "col_name").agg(
         weigh(v.isNotNull()).alias("filled"), F.count("v").alias("seen"), weigh(v.isNotNull() & F.col("d")).alias("dates"), weigh(F.col("k")).alias("numeric"),
         F.coalesce(F.bool_or("signed"), F.lit(False)).alias("signed"), weigh(F.col("u")).alias("urls"),
         F.min("x").alias("least"), F.max("x").alias("most"), F.sum(F.col("x") * c).alias("total"), weigh(F.col("x").isNotNull()).alias("n_numbers"),
@@ -61,7 +62,7 @@ def column_profile(long: DataFrame, now_ms: int | None = None) -> DataFrame:
     measured = kind.isin("money", "number")
     only = lambda c: F.when(measured, c)
     return per.select(
-        "table_id", "col_no", "col_name", "filled", F.least("seen", F.lit(DISTINCT_MOST)).alias("distinct"), kind.alias("type"),
+        *by, "col_no", "col_name", "filled", F.least("seen", F.lit(DISTINCT_MOST)).alias("distinct"), kind.alias("type"),
         only(F.col("least")).alias("least"), only(F.col("most")).alias("most"), only(F.col("total")).alias("total"), only(F.col("total") / F.col("n_numbers")).alias("mean"),
     )
 
