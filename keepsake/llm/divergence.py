@@ -18,14 +18,17 @@ LEAST_DOCS, ADDED, SHARE, RANKS = 10, 2, 1_000_000_000, 10
 #: Terms are runs of A-Z, a-z and everything beyond ASCII: in UTF-8, of these bytes once A-Z are lower-cased.
 TERM = rb"[a-z\x80-\xff]+"
 #: Terms that a task remembers before it hands their counts on.
-HELD = 200_000
+HELD = 250_000
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", held: int = HELD) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents with the term, of every group. A group
-    also has a row with an empty term, so groups without terms are there. Counts are summed in
-    the task, and again before and after the shuffle."""
-    clean = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in (("lang", "lang"), ("source", "source"))), common.text_of(text_col).cast("binary").alias("text"))
+    """(lang, source, term, n, docs): occurrences, and documents with the term, of every group, in as many rows
+    as tasks handed on. A group also has a row with an empty term, so groups without terms are there.
+
+    Documents are dealt by ranges of group and place: a task has few groups, so few tables of terms, and a
+    large group is spread over as many tasks as it has shares of the rows."""
+    place = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())  # not of the text: copies are spread too
+    clean = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in (("lang", "lang"), ("source", "source"))), common.text_of(text_col).cast("binary").alias("text"), place.alias("place")).repartitionByRange("lang", "source", "place").drop("place")
 
     def count(batches):
         import re
@@ -37,24 +40,18 @@ def term_counts(docs: DataFrame, text_col: str = "text", held: int = HELD) -> Da
         groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
         def told():
-            keys = [(g, t) for g, (n, _) in groups.items() for t in n]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([g[0] for g, _ in keys], pa.string()),
-                    pa.array([g[1] for g, _ in keys], pa.string()),
-                    pa.array([t for _, t in keys], pa.binary()).cast(pa.string()),
-                    pa.array([groups[g][0][t] for g, t in keys], pa.int64()),
-                    pa.array([groups[g][1][t] for g, t in keys], pa.int64()),
-                ],
-                names=["lang", "source", "term", "n", "docs"],
-            )
+            while groups:
+                (lang, source), (n, with_) = groups.popitem()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(lang, len(n)), pa.repeat(source, len(n)), pa.array(n, pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array([with_[t] for t in n], pa.int64())],
+                    names=["lang", "source", "term", "n", "docs"],
+                )
 
         size = 0
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if (lang, source) not in groups:
                     groups[lang, source] = (Counter({b"": 0}), Counter())
-                    size += 1
                 n, with_ = groups[lang, source]
                 size -= len(n)
                 terms = find(text.as_py().lower())
@@ -62,20 +59,20 @@ def term_counts(docs: DataFrame, text_col: str = "text", held: int = HELD) -> Da
                 with_.update(set(terms))
                 size += len(n)
                 if size >= held:
-                    yield told()
-                    groups, size = {}, 0
-        if groups:
-            yield told()
+                    yield from told()
+                    size = 0
+        yield from told()
 
-    per = clean.mapInArrow(count, "lang string, source string, term string, n long, docs long")
-    return per.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return clean.mapInArrow(count, "lang string, source string, term string, n long, docs long")
 
 
 def kept_terms(counts: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
-    """(lang, source, term, n, total, first): the terms in at least `least` documents of their language, with
-    the language's count and whether the row is the term's first; empty terms stay with n 0."""
+    """(lang, source, term, n, total, first): the terms in at least `least` documents of their language, with the
+    language's count and whether the row is the term's first; empty terms stay with n 0. One shuffle
+    serves the sums and the windows, which run over the sources of one term."""
+    per = counts.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of = Window.partitionBy("lang", "term")
-    all_ = counts.select("lang", "source", "term", "n", F.sum("docs").over(of).alias("docs"), F.sum("n").over(of).alias("total"), (F.row_number().over(of.orderBy("source")) == 1).alias("first"))
+    all_ = per.select("lang", "source", "term", "n", F.sum("docs").over(of).alias("docs"), F.sum("n").over(of).alias("total"), (F.row_number().over(of.orderBy("source")) == 1).alias("first"))
     return all_.where((F.col("term") == "") | (F.col("docs") >= least)).drop("docs")
 
 
@@ -99,11 +96,11 @@ def divergence(docs: DataFrame, text_col: str = "text", least: int = LEAST_DOCS,
     are documents of their own; other columns are not read, whatever their names; equal values are
     ranked by item; a language without kept terms has pairs of value 0; an empty table gives none."""
     kept = common.stash(kept_terms(term_counts(docs, text_col), least), "terms")
-    real = F.col("term") != ""
-    groups = kept.groupBy("lang", "source").agg(F.sum("n").alias("size"))
-    langs = kept.where(real).groupBy("lang").agg(F.sum(F.col("first").cast("long")).alias("terms"), F.sum("n").alias("lang_size"))
-    groups = common.stash(groups.join(langs, "lang", "left").na.fill(0, ["terms", "lang_size"]), "groups")
-    return _pairs(kept.where(real), groups).unionByName(_terms(kept.where(real), groups, ranks))
+    own = kept.where("term <> ''")
+    langs = own.groupBy("lang").agg(F.sum(F.col("first").cast("long")).alias("terms"), F.sum("n").alias("lang_size"))
+    groups = kept.groupBy("lang", "source").agg(F.sum("n").alias("size")).join(langs, "lang", "left")
+    groups = common.stash(groups.na.fill(0, ["terms", "lang_size"]), "groups")
+    return _pairs(own, groups).unionByName(_terms(own, groups, ranks))
 
 
 def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
