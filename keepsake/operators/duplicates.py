@@ -76,9 +76,11 @@ def first_of_parts(entries: DataFrame, key: list[str], order: list[str]) -> Data
 
 
 def fingerprints(vectors: DataFrame, vec: str, keep: list[str]) -> DataFrame:
-    """keep, bits (bit i: component i is greater than the next), mean and population sd."""
+    """keep, bits (bit i: component i is greater than the next), mean and population sd, of vectors of two
+    components or more. A print has 63 bits, so vectors of more than 64 are refused with an error."""
     e = F.col(vec).cast("array<double>")
     n = F.size(vec)
+    n = F.when(n > 64, F.raise_error(F.lit("a print has 63 bits: vectors have 64 components at most")).cast("int")).otherwise(n)
     bits = F.aggregate(
         F.sequence(F.lit(0), F.least(n - 2, F.lit(62))),
         F.lit(0).cast("long"),

@@ -19,15 +19,28 @@ TRASH = "trash/transferred"
 
 
 def targets(planned: DataFrame, destinations: list[str | None], trash: str = "trash") -> DataFrame:
-    """planned(path, rule, action) with target, of the rows to act on. Folders aren't kept; equal names in
-    one folder get ` (2)`, ` (3)` in order of path. destinations: of each rule, by its place."""
+    """planned(path, rule, action) with target, of the rows to act on. Folders aren't kept; of equal names in
+    one folder, case aside, the first by path keeps it, the others get ` (2)`, ` (3)`, leaving out the
+    numbers that names of the folder have already, so no two rows have one target. destinations: of
+    each rule, by its place."""
     where = F.when(F.col("action") == "delete", F.lit(trash)).otherwise(F.get(F.array(*(F.lit(d or "") for d in destinations)), F.col("rule")))
     acting = planned.where(F.col("action").isin("delete", "move", "transfer")).withColumn("_dir", where).withColumn("_name", paths.base(F.col("path")))
-    place = F.row_number().over(Window.partitionBy("_dir", F.lower("_name")).orderBy("path"))
+    place = F.row_number().over(Window.partitionBy("_dir", F.lower("_name")).orderBy("path")) - 1
+    placed = acting.select("path", "action", "_dir", "_name", F.lower("_name").alias("_key"), place.cast("long").alias("_nth"))
+    #: the numbers from 2 on of names like `a (7).jpg`, under the name `a.jpg`, in ascending order
+    pattern = r"^(.+) \(([1-9]\d{0,8})\)(\.[^.]*)?$"
+    numbered = placed.where("_nth = 0").select("_dir", F.concat(F.regexp_extract("_key", pattern, 1), F.regexp_extract("_key", pattern, 3)).alias("_key"), F.regexp_extract("_key", pattern, 2).try_cast("long").alias("_no")).where("_no >= 2")
+    again = placed.where("_nth > 0").select("_dir", "_key").distinct()
+    order = Window.partitionBy("_dir", "_key")
+    # the n-th copy has the n-th free number: n + 1, and one more for each taken number that isn't beyond it
+    taken = numbered.join(again, ["_dir", "_key"], "left_semi").select("_dir", "_key", (F.col("_no") - F.row_number().over(order.orderBy("_no"))).alias("_at"), F.lit(0).alias("_ask"), F.lit(None).cast("string").alias("path"))
+    both = placed.where("_nth > 0").select("_dir", "_key", F.col("_nth").alias("_at"), F.lit(1).alias("_ask"), "path").unionByName(taken)
+    passed = F.sum(1 - F.col("_ask")).over(order.orderBy("_at", "_ask").rowsBetween(Window.unboundedPreceding, 0))
+    numbers = both.withColumn("_no", F.col("_at") + 1 + passed).where("_ask = 1").select("path", "_no")
     ext = F.regexp_extract("_name", r"^.+(\.[^.]*)$", 1)
     bare = F.substring(F.col("_name"), F.lit(1), F.length("_name") - F.length(ext))
-    named = F.when(place == 1, F.col("_name")).otherwise(F.concat(bare, F.lit(" ("), place.cast("string"), F.lit(")"), ext))
-    return acting.withColumn("target", F.concat_ws("/", "_dir", named)).select("path", "action", "target")
+    named = F.when(F.col("_no").isNull(), F.col("_name")).otherwise(F.concat(bare, F.lit(" ("), F.col("_no").cast("string"), F.lit(")"), ext))
+    return placed.join(numbers, "path", "left").withColumn("target", F.concat_ws("/", "_dir", named)).select("path", "action", "target")
 
 
 def _moved(rows: DataFrame, root: str) -> DataFrame:

@@ -32,6 +32,19 @@ def test_scan_plan_execute_undo(spark, tmp_path):
     assert tree(tmp_path)["a/IMG_1.PNG"] == "shot"
 
 
+def test_targets_are_told_apart(spark):
+    names = ["x/a.jpg", "y/a.jpg", "z/a (2).jpg", "w/A.JPG", "v/a (4).jpg", "u/a (4).jpg", "t/a (3)", "s/a (03).jpg", "r/.b", "q/.b", "p/a (2) (2).jpg", "o/a (2).jpg", "n/c", "m/C", "l/a (99999999999).jpg"]
+    got = {r.path: r.target for r in execute.targets(spark.createDataFrame([(n, 0, "move") for n in names], "path string, rule int, action string").repartition(4), ["out"]).collect()}
+    assert len({t.lower() for t in got.values()}) == len(names)
+    firsts = {}
+    for n in sorted(names):  # by hand: the first by path keeps its name, others get the next number that no name has
+        firsts.setdefault(n.split("/")[1].lower(), []).append(n)
+    for key, paths in firsts.items():
+        stem, dot, ext = key.rpartition(".") if key.rfind(".") > 0 else (key, "", "")
+        free = (k for k in range(2, 99) if f"{stem} ({k}){dot}{ext}" not in firsts)
+        assert [got[p].lower() for p in paths] == [f"out/{key}"] + [f"out/{stem} ({k}){dot}{ext}" for k, _ in zip(free, paths[1:])]
+
+
 def test_transfer_keeps_the_original_in_the_trash(spark, tmp_path):
     (tmp_path / "a.txt").write_text("hello")
     acting = spark.createDataFrame([("a.txt", "transfer", "Far/a.txt"), ("gone.txt", "move", "Far/gone.txt")], "path string, action string, target string")
