@@ -2,13 +2,13 @@
 
 Identical vectors are one class. Classes are dealt over shards, by length and hash; each shard's
 graph is a file in the shared folder. Every class queries every shard of its length: a task takes a
-block of classes and loads the graphs one after the other, so vectors aren't sent about. Beams begin
+large block of classes and loads each graph once, so vectors aren't sent about. Beams begin
 narrow and work in single precision. A beam whose results are all at or above
 the threshold is widened until it isn't, up to the whole shard. When a graph is built, an audit
 compares what queries from all shards find with all that is there, their own nodes left out, and
-widens the shard's beam until the recall is reached. Found pairs are checked by their cosine in double precision; a task returns
-counts and a spanning forest of its pairs, never the pairs, so a large group costs rows in
-proportion to its members.
+widens the shard's beam until the recall is reached. Found pairs are checked by their cosine in
+double precision, and become counts and a spanning forest a few queries at a time, so a task never
+holds the pairs of a large group, and returns rows in proportion to its members.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from . import common
 DEGREE, BUILD_BEAM, BEAM, AT_ONCE, POOL = 16, 48, 8, 4, 32
 #: How far single precision may be off a cosine: beams take in that much more, double precision decides.
 LOOSE = 1e-4
+#: Cosines that are worked out at once, beams' entries that are held at once; links of a forest before it is cut to one a node.
+COSINES, ENTRIES, LINKS = 1 << 22, 1 << 15, 1 << 20
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -168,21 +170,22 @@ class Graph:
         order = np.argsort(-s, axis=1)
         near[nodes] = choose(v, nodes, np.take_along_axis(both, order, 1), np.take_along_axis(s, order, 1), degree)
 
-    def within(self, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of the pairs with a cosine of threshold or more that the beams find."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+    def within(self, q: np.ndarray, threshold: float):
+        """(query, node) arrays, a few queries at a time, of the pairs with a cosine of threshold or more that
+        the beams find."""
         rest, width = np.arange(len(q)), self.width
         low = q.astype(np.float32)
         entry = None if self.exact else self.descend(low)
         while len(rest):
             if self.exact or width * 4 >= len(self.v):
-                for i in range(0, len(rest), 512):
-                    a, b = np.nonzero(q[rest[i : i + 512]] @ self.v.T >= threshold)
-                    found.append((rest[i : i + 512][a], b))
-                break
-            full = []
-            for i in range(0, len(rest), 256):
-                part = rest[i : i + 256]
+                step = max(1, COSINES // len(self.v))
+                for i in range(0, len(rest), step):
+                    a, b = np.nonzero(q[rest[i : i + step]] @ self.v.T >= threshold)
+                    yield rest[i : i + step][a], b
+                return
+            full, step = [], max(8, min(256, ENTRIES // width))
+            for i in range(0, len(rest), step):
+                part = rest[i : i + step]
                 ids, sims = beam_search(self.low, self.layers[0], low[part], entry[part], width)
                 hit = sims >= threshold - LOOSE
                 whole = hit.all(axis=1)
@@ -190,9 +193,8 @@ class Graph:
                 a, b = np.nonzero(hit & ~whole[:, None])
                 a, b = part[a], ids[a, b]
                 sure = (q[a] * self.v[b]).sum(axis=1) >= threshold
-                found.append((a[sure], b[sure]))
+                yield a[sure], b[sure]
             rest, width = np.concatenate(full), width * 4
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
     def audit(self, threshold: float, recall: float, sample: int, pool: np.ndarray | None = None, same: np.ndarray | None = None) -> float:
         """Widen the beam until the queries' links are found to the recall; the last step is to compare
@@ -219,8 +221,7 @@ class Graph:
         while True:
             shares = [1.0]
             for q, own, there in kinds:
-                a, b = self.within(q, threshold)
-                shares.append(int((b != own[a]).sum()) / there)
+                shares.append(sum(int((b != own[a]).sum()) for a, b in self.within(q, threshold)) / there)
             if min(shares) >= recall or self.exact:
                 return min(shares)
             self.width, self.exact = self.width * 2, self.width * 8 >= len(self.v)
@@ -245,6 +246,40 @@ def _loaded(folder: str, file: str) -> tuple[Graph, np.ndarray, np.ndarray]:
         return Graph.load(io.BytesIO(f.read()))
 
 
+class Forest:
+    """Spanning forest of links between ids as they come: LINKS of them at most, and one a node, are held."""
+
+    def __init__(self):
+        self.held, self.size = [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        """Links between left[a] and right[b]; a and b are places. Places are labelled, ids aren't sorted."""
+        if not len(a):
+            return
+        rows, x = np.unique(a, return_inverse=True)  # few
+        label = np.arange(len(rows) + len(right))
+        y = b + len(rows)
+        while True:
+            low = label.copy()
+            np.minimum.at(low, x, label[y])
+            np.minimum.at(low, y, label[x])
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        ids = lambda at: np.where(at < len(rows), left[rows[np.minimum(at, len(rows) - 1)]], right[np.maximum(at - len(rows), 0)])
+        self.held.append((ids(moved), ids(label[moved])))
+        self.size += len(moved)
+        if self.size > LINKS:
+            self.held, self.size = [self.links()], 0  # at most one a node
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return (np.zeros(0, np.int64),) * 2
+        return common.forest(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+
+
 def usable(col: str) -> Column:
     """Neither null nor zero, and all components finite."""
     ok = F.forall(col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -252,10 +287,11 @@ def usable(col: str) -> Column:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.9, recall: float = 0.98, shards: int = 8, shard_rows: int = 50_000, block_rows: int = 4096, sample: int = 256,
+    vectors: DataFrame, threshold: float = 0.9, recall: float = 0.98, shards: int = 8, shard_rows: int = 50_000, block_rows: int = 100_000, sample: int = 256,
     id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
-    """Per row: vec_id, n_links long, component_id (smallest vec_id in reach), kept boolean.
+    """Per row: vec_id, n_links long, component_id (smallest vec_id in reach), kept boolean, audit_recall
+    double (the least share of links that an audit of a shard found).
 
     vec_id is an integer. Links: cosine of threshold or more, both in double precision, between
     vectors of one length. Vectors that are null, zero or hold null or non-finite components link
@@ -333,20 +369,21 @@ def near_duplicates(
             part = t.filter(pc.equal(t.column("size"), size))
             files = dataset.dataset(path, filesystem=fs, format="parquet").to_table(columns=["shard", "file"], filter=dataset.field("size") == size).sort_by("shard")
             own, q = part.column("class").to_numpy(), matrix(part)
-            count, pairs = np.zeros(len(own), np.int64), [(np.zeros(0, np.int64),) * 2]
+            count, links = np.zeros(len(own), np.int64), Forest()
             for file in files.column("file").to_pylist():
                 graph, ids, weight = _loaded(folder, file)
-                a, b = graph.within(q, threshold)
-                other = own[a] != ids[b]
-                a, b = a[other], b[other]
-                count += np.bincount(a, weights=weight[b], minlength=len(own)).astype(np.int64)
-                pairs.append(common.forest(own[a], ids[b]))
-            node, root = common.forest(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+                for a, b in graph.within(q, threshold):
+                    other = own[a] != ids[b]
+                    a, b = a[other], b[other]
+                    np.add.at(count, a, weight[b])
+                    links.add(a, b, own, ids)
+            node, root = links.links()
             some = count > 0
             columns = [np.concatenate(x) for x in ((own[some], node), (count[some], np.zeros(len(node), np.int64)), (np.zeros(some.sum(), np.int64), root), (np.zeros(some.sum(), bool), np.ones(len(node), bool)))]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["a", "links", "b", "edge"])
 
     # The stated query set: every class asks every shard. Blocks are dealt evenly; vectors move once for that.
+    reached = spark.read.schema("recall double").parquet(manifest).agg(F.min("recall")).first()[0]
     blocks = max(2 * n, -(-total // block_rows))
     asks = classes.select("class", "vec", "size").repartition(blocks)
     answered = common.stash(asks.mapInArrow(query, "a long, links long, b long, edge boolean"), "answers")
@@ -360,7 +397,7 @@ def near_duplicates(
         F.col("vec_id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    ).withColumns({"kept": F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)), "audit_recall": F.lit(reached).cast("double")})
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

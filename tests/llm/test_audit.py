@@ -10,7 +10,7 @@ class Blind(hnsw.Graph):
 
     def within(self, q, threshold):
         sims = q @ self.v.T
-        return np.nonzero(sims >= (threshold if self.exact or self.width >= 400 else 1 - 1e-9))
+        yield np.nonzero(sims >= (threshold if self.exact or self.width >= 400 else 1 - 1e-9))
 
 
 def vectors(n, links, seed=7):
@@ -65,3 +65,44 @@ def test_every_length_has_its_links(spark):
     rows += [(3000, rows[5][1]), (3001, rows[310][1]), (3002, [x * 2 for x in rows[320][1]])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shards=3).collect()}
     assert got[3000] == (1, 5) and got[3001] == (1, 1010) and got[3002] == (1, 1020) and got[2000] == got[2001] == (1, 2000) and got[2002] == (0, 2002)
+
+
+def test_forests_have_the_components_of_their_links(monkeypatch):
+    monkeypatch.setattr(hnsw, "LINKS", 40)
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(10**6)[:400]
+    own, other = ids[:150], ids[100:]
+    forest, root = hnsw.Forest(), {int(i): int(i) for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for _ in range(30):
+        a, b = rng.integers(150, size=7), rng.integers(300, size=7)
+        forest.add(a, b, own, other)
+        for x, y in zip(own[a].tolist(), other[b].tolist()):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    node, low = forest.links()
+    held = {i: i for i in root} | dict(zip(node.tolist(), low.tolist()))
+    up = lambda i: i if held[i] == i else up(held[i])
+    assert len(node) == len(set(node.tolist())) and all((up(i) == up(j)) == (find(i) == find(j)) for i in root for j in list(root)[:20])
+
+
+def test_a_large_family_is_counted_in_bounded_memory():
+    """4,000 queries against 20,000 of their family: 80 million pairs, which would take over a gigabyte."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    v = hnsw.unit(np.ones(32) + rng.normal(size=(20_000, 32)) * 0.05)
+    graph = hnsw.Graph(v, [], 0, exact=True)
+    ids, count, links = np.arange(20_000), np.zeros(4000, np.int64), hnsw.Forest()
+    tracemalloc.start()
+    for a, b in graph.within(v[:4000], 0.9):
+        np.add.at(count, a, 1)
+        links.add(a, b, ids[:4000], ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (count == 20_000).all() and len(links.links()[0]) == 19_999 and peak < 400 << 20
