@@ -119,6 +119,48 @@ def sections(tables: DataFrame, rows: str = "rows") -> DataFrame:
     return section_cells(section_rows(tables, rows))
 
 
+def stacked_lines(flat: DataFrame) -> DataFrame:
+    """flat(source_id if any, path, line, r), rows of sheets, as (source_id if any, path, section, title, columns,
+    row_no, r): tables that stand one below the other.
+
+    Rows of one width in a row are a run; a width goes to the last cell that isn't empty. A run of one row
+    before a wider run of two rows or more is a title, its last cell that says something. A sheet that
+    opens with a title and has two is cut at them, and other runs aren't tables; any other sheet is
+    one table, its first row has the column names. Sections of four columns and more have their names
+    in their first row, narrower ones none. Windows run over the rows of one file."""
+    keys = keys_of(flat)
+    last = F.array_max(F.transform("r", lambda c, i: F.when(F.coalesce(c, F.lit("")) != "", i + 1).otherwise(0)))
+    by = Window.partitionBy(*keys).orderBy("line")
+    wide = flat.select(*keys, "line", "r", F.coalesce(last, F.lit(0)).alias("w"))
+    fresh = F.coalesce(F.lag("w").over(by) != F.col("w"), F.lit(True)).cast("int")
+    runs = wide.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    per = runs.groupBy(*keys, "run").agg(F.first("w").alias("w"), F.count(F.lit(1)).alias("size"))
+    order = Window.partitionBy(*keys).orderBy("run")
+    titled = (F.col("size") == 1) & (F.col("w") < F.lead("w").over(order)) & (F.lead("size").over(order) >= 2)
+    per = per.withColumn("titled", F.coalesce(titled, F.lit(False)))
+    per = per.withColumn("under", F.coalesce(F.lag("titled").over(order), F.lit(False)))
+    whole = Window.partitionBy(*keys)
+    per = per.withColumns({"most": F.max("w").over(whole), "cut": (F.sum(F.col("titled").cast("int")).over(whole) >= 2) & F.max(F.col("titled") & (F.col("run") == 1)).over(whole)})
+    told = runs.drop("w", "fresh").join(per, [*keys, "run"])
+    words = F.filter("r", lambda c: F.coalesce(c, F.lit("")) != "")
+    told = told.where("titled OR under OR NOT cut").withColumn("section", F.when(F.col("cut"), F.when(F.col("titled"), F.col("run")).otherwise(F.col("run") - 1)).otherwise(F.lit(0)))
+    inside = Window.partitionBy(*keys, "section").orderBy("line")
+    told = told.withColumn("title", F.first(F.when(F.col("cut"), F.trim(F.element_at(words, -1)))).over(inside)).where("under OR NOT cut")
+    place = F.row_number().over(inside)
+    told = told.withColumns({"place": place, "n_cols": F.when(F.col("cut"), F.col("w")).otherwise(F.col("most")), "head": F.first("r").over(inside)})
+    header = ~F.col("cut") | (F.col("n_cols") >= 4)
+    columns = F.transform(F.sequence(F.lit(1), F.col("n_cols")), lambda i: F.coalesce(F.when(header, F.nullif(F.get("head", i - 1), F.lit(""))), F.concat(F.lit("Column "), i.cast("string"))))
+    told = told.where(~header | (F.col("place") > 1)).where("n_cols > 0")
+    return told.select(*keys, "section", F.coalesce("title", F.lit("")).alias("title"), columns.alias("columns"), (F.col("place") - F.when(header, 2).otherwise(1)).cast("long").alias("row_no"), F.slice("r", F.lit(1), F.col("n_cols")).alias("r"))
+
+
+def stacked_cells(found: DataFrame) -> DataFrame:
+    """Rows of stacked tables as cells; titles that are null or equal are told apart by their section."""
+    own = keys_of(found)[:-1]
+    rows = found.select(*own, F.concat_ws("#", "path", F.col("section").cast("string")).alias("table_id"), "title", "row_no", "columns", F.posexplode("r").alias("col_no", "value"))
+    return rows.select(*own, "table_id", "title", "row_no", "col_no", F.get("columns", F.col("col_no")).alias("col_name"), "value")
+
+
 def under(header: Column, row: Column, pattern: str) -> Column:
     """A row's value under the first column whose name is like this; null without one."""
     return F.get(row, F.array_position(F.transform(header, lambda h: F.trim(h).rlike(pattern)), True).cast("int") - 1)
@@ -285,17 +327,6 @@ def sniff(head: Column) -> Column:
     return out
 
 
-def movie_date(head: Column) -> Column:
-    """When a movie says it was made: seconds from 1904 in its mvhd box, either version; 1990 to 2100."""
-    h = F.hex(head)
-    version = F.regexp_extract(h, "6D766864(00|01)000000", 1)
-    four = F.conv(F.regexp_extract(h, "6D76686400000000([0-9A-F]{8})", 1), 16, 10).try_cast("long")
-    eight = F.conv(F.regexp_extract(h, "6D76686401000000([0-9A-F]{16})", 1), 16, 10).try_cast("long")
-    seconds = F.when(version == "00", four).when(version == "01", eight) - 2_082_844_800
-    at = F.timestamp_add("SECOND", F.when(seconds.between(0, 4_102_444_800), seconds), F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"))
-    return F.when(F.year(at).between(1990, 2100), at)
-
-
 _EXIF = StructType([StructField("taken", StringType()), StructField("lat", DoubleType()), StructField("lon", DoubleType())])
 
 

@@ -13,7 +13,7 @@ from keepsake.functions import dates, names, paths, text
 from keepsake.operators.joins import with_sidecars
 from keepsake.operators.series import health_days
 
-from . import formats
+from . import boxes, formats
 
 Library = dict[str, DataFrame]
 
@@ -259,6 +259,12 @@ def generic(files: DataFrame) -> Library:
     return {"cells": csv_cells(files).unionByName(_json_tables(_like(files, r"(?i)\.json$")))}
 
 
+def sheet_cells(files: DataFrame) -> DataFrame:
+    """Cells of workbooks, files(source_id, path, raw binary): each table of their first sheet."""
+    rows = _like(files, r"(?i)\.xlsx$").select("source_id", "path", F.posexplode(formats.xlsx_rows("raw")).alias("line", "r"))
+    return formats.stacked_cells(formats.stacked_lines(rows))
+
+
 READERS = {"snapchat": snapchat, "instagram": meta, "facebook": meta, "google": google, "apple": apple, "samsung": samsung, "reddit": reddit}
 
 
@@ -278,7 +284,7 @@ def media_of(entries: DataFrame, sidecars: DataFrame | None = None, contents: Da
         found = found.withColumns({"taken": nothing, "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"), "caption": F.lit(None).cast("string")})
     if contents is not None:
         kind = paths.media_kind(F.col("path"))
-        read = contents.withColumn("_k", kind).where("_k IN ('photo', 'video')").select("source_id", "path", F.when(F.col("_k") == "video", formats.movie_date(F.col("content"))).alias("_movie"), formats.exif("content").alias("_e"))
+        read = contents.withColumn("_k", kind).where("_k IN ('photo', 'video')").select("source_id", "path", F.when(F.col("_k") == "video", boxes.movie_date(F.col("content"))).alias("_movie"), formats.exif("content").alias("_e"))
         told = read.select("source_id", "path", "_movie", dates.exif_date(F.col("_e.taken")).alias("_shot"), F.col("_e.lat").alias("_lat"), F.col("_e.lon").alias("_lon")).dropDuplicates(["source_id", "path"])
         found = found.join(told, ["source_id", "path"], "left")
     else:

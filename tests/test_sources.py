@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keepsake.operators import duplicates
-from keepsake.sources import aes, archives, detect, formats, readers
+from keepsake.sources import aes, archives, boxes, detect, formats, readers
 from keepsake.sources.readers import media_of
 
 
@@ -234,7 +234,7 @@ def test_binary_headers(spark):
     df = spark.createDataFrame([(bytearray(exif_jpeg()),), (bytearray(b"\xff\xd8broken Exif\0\0II"),), (None,), (bytearray(movie),), (bytearray(b"RIFF1234WEBP"),), (bytearray(b"From x"),)], "h binary")
     assert [tuple(r[0]) for r in df.select(formats.exif("h")).collect()][:3] == [("2024:02:03 04:05:06", -10.5, 20.5), (None, None, None), (None, None, None)]
     assert [r[0] for r in df.select(formats.sniff(F.col("h"))).collect()] == ["jpg", None, None, None, "webp", "mbox"]
-    assert [r[0] for r in df.select(formats.movie_date(F.col("h"))).collect()][3] == dt.datetime(2023, 11, 14, 22, 13, 20)
+    assert [r[0] for r in df.select(boxes.movie_date(F.col("h"))).collect()][3] == dt.datetime(2023, 11, 14, 22, 13, 20)
 
 
 def test_json_tables(spark):
