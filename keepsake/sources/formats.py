@@ -145,7 +145,7 @@ def stacked_lines(flat: DataFrame) -> DataFrame:
     words = F.filter("r", lambda c: F.coalesce(c, F.lit("")) != "")
     told = told.where("titled OR under OR NOT cut").withColumn("section", F.when(F.col("cut"), F.when(F.col("titled"), F.col("run")).otherwise(F.col("run") - 1)).otherwise(F.lit(0)))
     inside = Window.partitionBy(*keys, "section").orderBy("line")
-    told = told.withColumn("title", F.first(F.when(F.col("cut"), F.trim(F.element_at(words, -1)))).over(inside)).where("under OR NOT cut")
+    told = told.withColumn("title", F.first(F.when(F.col("cut"), F.trim(F.try_element_at(words, F.lit(-1))))).over(inside)).where("under OR NOT cut")
     place = F.row_number().over(inside)
     told = told.withColumns({"place": place, "n_cols": F.when(F.col("cut"), F.col("w")).otherwise(F.col("most")), "head": F.first("r").over(inside)})
     header = ~F.col("cut") | (F.col("n_cols") >= 4)
