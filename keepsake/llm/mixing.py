@@ -75,7 +75,10 @@ def _finish(epoch: int) -> Column:
 
 def plan_mix(light: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = EPOCHS) -> Mix:
     """light: doc_id, source, _size, _key, _slot, in a stored table. Items are documents, once an
-    epoch; the cut lies where all items in order of finish time reach the size of all documents."""
+    epoch; the cut lies where all items in order of finish time reach the size of all documents.
+
+    Rows of size 0 are no items. Items of equal finish time go by key, then by their source's place; rows equal
+    in all of these are taken together. Without words, or rows, there is no cut."""
     sources = common.stash(targets(light, weights, most), "sources")
     slots = light.groupBy("source", "_slot").agg(F.sum("_size").alias("n"))
     w = Window.partitionBy("source").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +110,9 @@ def plan_mix(light: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = E
 
 
 def apply_mix(rows: DataFrame, mix: Mix, most: int = EPOCHS) -> DataFrame:
-    """rows with source_size, target and _copies, how often the mix takes a row (0 to most)."""
+    """rows with source_size, target and _copies, how often the mix takes a row (0 to most; 0 for rows of size
+    0). Null sources meet the null source; repeated rows give a row each; columns of rows must not be
+    called like the mix's own."""
     all_ = _cumulated(rows, mix)
     n = F.lit(0)
     for e in range(most):
@@ -161,7 +166,12 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
+    """What the mix takes of every document.
+
+    A null, empty or wordless text has size 0 and is never taken; very long ones count whole. A null source
+    is a source of its own and comes last; a null id is an id like any other. Repeated rows are
+    documents of their own: rows equal in key, id and size tie, and follow each other in an order that
+    changes nothing here. Other columns are not read, whatever their names; an empty table gives none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     light = common.stash(sized(docs).select("doc_id", "source", "_size", "_key", "_slot"), "sized")
     return apply_mix(light, plan_mix(light)).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))

@@ -222,8 +222,8 @@ def redact(docs: DataFrame, text_col: str = "text", iterations: int = 15) -> Dat
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", iterations: int = 15) -> DataFrame:
-    """Per row of docs the contract's columns. Null or empty texts have no spans; ids may repeat or be
-    null; other columns are not read. Candidates, small next to texts, are stored between the fit
+    """Per row of docs the contract's columns. Null or empty texts have no spans, very long ones are read
+    whole in time that grows with their length and spans; ids may repeat or be null; other columns are not read. Candidates, small next to texts, are stored between the fit
     and the decisions, so texts are read once."""
     found = common.stash(candidates(docs.select(id_col, text_col), text_col).drop(text_col), "candidates")
     return digest(decide(found, fit_spans(found, iterations)), id_col)

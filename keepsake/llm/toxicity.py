@@ -74,12 +74,14 @@ def fit_ordinal(rows: list, grades: list[int], n_features: int, steps: int = 250
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most_features: int = 4096) -> Ordinal:
     """Fit on at most `sample` labelled documents (a documented bound: those with the smallest hash of
-    the id) and the most_features features that tell toxic from clean best.
+    the id; of rows with one id that with the smallest hash of its text) and the most_features features that tell toxic from clean best.
 
     Labels are 0 or 1. A toxic document's grade 1 to 3 is its third of the toxic ones by how many
     of its words have a telling feature. Without labels of both kinds the model finds nothing."""
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", common.text_of().alias("text"))
+    held = docs.select("doc_id", common.text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    # of rows with one id a single text counts, so no more than `sample` rows come of it
+    texts = held.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(batches):
         import pyarrow as pa
@@ -118,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most_feature
 
 def score_toxicity(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, severity double (expected grade, 0 to 3), p_toxic double, toxic boolean (p_toxic at
-    least a half). Null or empty texts score as without features; ids may repeat or be null; other
+    least a half). Very long texts are read whole. Null or empty texts score as without features; ids may repeat or be null; other
     columns are not read; an empty table gives none."""
     kind = dict(docs.dtypes)[id_col]
 
