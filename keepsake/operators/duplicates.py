@@ -27,13 +27,14 @@ def duplicate_totals(groups: DataFrame) -> DataFrame:
 def three_stage(files: DataFrame, content: Column, size: str, order: str, head_bytes: int = 65_536) -> DataFrame:
     """files with sha256 (null for files that have no double) and duplicate: all but the first of a group.
 
-    The cheapest test goes first: only sizes that occur twice are looked at, only beginnings that then
-    agree are hashed whole."""
-    sizes = files.where(F.col(size) > 0).groupBy(size).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(size)
-    head = F.sha1(F.substring(F.encode(content, "UTF-8"), 1, head_bytes))
-    likely = files.join(sizes, size, "left_semi").withColumn("_head", head)
-    heads = likely.groupBy(size, "_head").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(size, "_head")
-    hashed = likely.join(heads, [size, "_head"], "left_semi").select(order, size, F.sha2(content, 256).alias("sha256"))
+    The cheapest test goes first: sizes and the hashes of beginnings are told by one scan, and only files
+    that agree in both are hashed whole. Contents are read where they lie: what is shuffled are ids,
+    sizes and hashes."""
+    head = F.xxhash64(F.substring(F.encode(content, "UTF-8"), 1, head_bytes)).alias("_head")
+    light = files.where(F.col(size) > 0).select(order, size, head)
+    alike = light.groupBy(size, "_head").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(size, "_head")
+    likely = light.join(alike, [size, "_head"], "left_semi").select(order)
+    hashed = files.join(likely, order, "left_semi").select(order, size, F.sha2(content, 256).alias("sha256"))
     groups = hashed.groupBy("sha256", size).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     members = hashed.join(groups, ["sha256", size]).select(order, "sha256", (F.col(order) > F.col("_first")).alias("duplicate"))
     return files.join(members, order, "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))

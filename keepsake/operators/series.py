@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import times
+from keepsake.tables import stash
 
 
 def hour_histogram(points: DataFrame, at: str = "at") -> DataFrame:
@@ -79,11 +80,19 @@ def density(points: DataFrame, start: int, end: int, slots: int = 210, t: str =
     return counted.join(F.broadcast(top)).select("slot", "n", strength.cast("long").alias("strength"))  # one row
 
 
-def thin(points: DataFrame, keep: int = 150, by: str = "series", order: str = "t") -> DataFrame:
-    """Every ceil(n / keep)-th point of a series in order, for drawing."""
-    sizes = points.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / keep).alias("_step"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return points.withColumn("_place", place).join(sizes, by).where("_place % _step = 0").drop("_place", "_step")
+def thin(points: DataFrame, keep: int = 150, by: str = "series", order: str = "t", parts: int | None = None) -> DataFrame:
+    """Every ceil(n / keep)-th point of a series in order, for drawing. Points are dealt by ranges of series and
+    order and numbered there; only the sizes of a series' ranges are added up, so a long series is
+    spread over tasks."""
+    n = parts or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stash(points.repartitionByRange(n, by, order).withColumn("_part", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    over = Window.partitionBy(by)
+    before = F.coalesce(F.sum("_n").over(over.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col(by).alias("_by"), F.col("_part").alias("_at"), before.alias("_before"), F.ceil(F.sum("_n").over(over) / keep).alias("_step"))
+    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part", by).orderBy(order)) - 1)
+    placed = inside.join(sizes, inside[by].eqNullSafe(sizes["_by"]) & (inside["_part"] == sizes["_at"]))
+    return placed.where("(_before + _in) % _step = 0").select(*points.columns)
 
 
 def headline(points: DataFrame, agg: Column, by: str = "series", t: str = "t", v: str = "v") -> DataFrame:
