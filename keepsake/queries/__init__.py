@@ -1,4 +1,4 @@
 """The queries of the engine, each with its SQL."""
 
-from . import accounting, appending, cards, dedup, linking, people, plans, profile, scalars, series, services, structures, timeline  # noqa: F401
+from . import accounting, appending, cards, dedup, figures, linking, people, plans, profile, scalars, series, services, structures, timeline  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

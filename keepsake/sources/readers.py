@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import dates, names, paths, text
-from keepsake.operators.joins import with_sidecars
+from keepsake.operators.joins import with_overlays, with_sidecars
+from keepsake.operators.merge import merge_cells
 from keepsake.operators.series import health_days
 
 from . import boxes, formats
@@ -294,3 +295,19 @@ def media_of(entries: DataFrame, sidecars: DataFrame | None = None, contents: Da
     best = dates.best_date(F.col("kind"), F.col("taken"), F.col("_shot"), F.col("_movie"), name, archive)
     where = [F.coalesce(F.when(F.col("lat").isNotNull(), F.col(c)), F.col(f"_{c}")).alias(c) for c in ("lat", "lon")]
     return found.withColumn("_d", best).select("source_id", "path", paths.base(F.col("path")).alias("name"), "size", "crc32", "kind", "_d.at", "_d.at_source", *where, "caption")
+
+
+def finish(library: Library, entries: DataFrame, contents: DataFrame | None = None, workbooks: DataFrame | None = None) -> Library:
+    """What all services have in common, after their readers: workbooks become tables, pages of a table one
+    table, overlays meet their pictures, and media get the best date that there is evidence for, the
+    weakest last. entries: those of archive_dir; contents and workbooks(source_id, path, raw) are read
+    where they are given."""
+    cells = library.get("cells")
+    if workbooks is not None:
+        sheets = sheet_cells(workbooks)
+        cells = sheets if cells is None else cells.unionByName(sheets)
+    media = media_of(entries.where("path IS NOT NULL"), library.get("sidecars"), contents)
+    overlays = with_overlays(media.where(F.lower("path").rlike("(^|/)memories/")).select("path")).where("base IS NOT NULL AND overlay IS NOT NULL").dropDuplicates(["overlay"])
+    taken = overlays.select(F.col("overlay").alias("path"))
+    paired = media.join(taken, "path", "left_anti").join(overlays.select(F.col("base").alias("path"), "overlay"), "path", "left").select(*media.columns, "overlay")
+    return library | {"media": paired} | ({} if cells is None else {"cells": merge_cells(cells)})
