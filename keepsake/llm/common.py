@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -32,11 +33,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/keepsake-{name}-{uuid.uuid4().hex}"
 
 
+#: Stored tables of this process: a weak reference to the relation that every plan over a table holds, and its path.
+_STORED: list[tuple] = []
+
+
 def stash(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = path or scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = path or scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED.append((spark._jvm.java.lang.ref.WeakReference(out._jdf.queryExecution().analyzed().relation()), path))
+    return out
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the stored tables that no DataFrame refers to any more, neither itself nor one made of it; returns
+    how many went. Tables that may still be read stay, so it may be called at any time."""
+    gc.collect()
+    spark._jvm.System.gc()
+    gone = [path for ref, path in _STORED if ref.get() is None]
+    discard(*gone)
+    _STORED[:] = [(ref, path) for ref, path in _STORED if path not in gone]
+    return len(gone)
 
 
 def local_fs(uri: str):
