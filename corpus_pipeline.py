@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near duplicates, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns documents' columns, but for the last, which
-returns the packed pieces. Each decision takes effect on what the stage before kept.
+returns the packed pieces. Each decision takes effect on what the stage before kept. A stage begins
+by deleting the scratch tables of earlier ones that no DataFrame refers to any more.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null, empty or wordless text fails the base rule of 50 words and goes; very long texts count
     whole; nulls in other columns and extra columns, whatever their names, go along; repeated rows
     are judged alike and all stay or go; an empty table gives none."""
+    common.sweep(spark)
     return quality.kept_documents(docs)
 
 
@@ -32,6 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without words (null or empty texts) are nobody's copy: all their rows stay. Very long texts
     count whole; extra columns go along; an empty table gives none. Only documents that may have
     to go are joined with what is decided, so most texts aren't shuffled."""
+    common.sweep(spark)
     known = common.free_name(docs.columns, "_own")
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text"))
     found = common.stash(jaccard.jaccard_components(docs.select(own.alias("doc_id"), "text"), size=5, percent=80).where("n_shingles > 0"), "found")
@@ -52,6 +55,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null texts stay null and empty ones empty; very long texts are read whole; repeated rows come
     out alike, each once; nulls in other columns and extra columns go along (n_chars is the new
     length); an empty table gives none."""
+    common.sweep(spark)
     return pii.redact(docs)
 
 
@@ -61,6 +65,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and wordless texts have no size and aren't taken; very long ones count whole; a
     null source is a source of its own; repeated rows are documents of their own, and those that
     tie in the shuffled order follow each other; extra columns go along; an empty table gives none."""
+    common.sweep(spark)
     return mixing.mix_documents(docs)
 
 
@@ -70,6 +75,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is one end token; very long ones are cut into pieces; each repeated row is
     packed; ties between bins are settled by content; other columns aren't read; an empty table
     gives none."""
+    common.sweep(spark)
     return packing.pack_documents(docs)
 
 
