@@ -230,7 +230,7 @@ def test_health_xml(spark, tmp_path):
 
 
 def test_binary_headers(spark):
-    movie = b"\0\0\0\x20ftypisom" + b"moov\0\0\0lmvhd\0\0\0\0" + struct.pack(">I", 1_700_000_000 + 2_082_844_800)
+    movie = b"\0\0\0\x0cftypisom" + b"\0\0\0\x74moov\0\0\0lmvhd\0\0\0\0" + struct.pack(">I", 1_700_000_000 + 2_082_844_800)
     df = spark.createDataFrame([(bytearray(exif_jpeg()),), (bytearray(b"\xff\xd8broken Exif\0\0II"),), (None,), (bytearray(movie),), (bytearray(b"RIFF1234WEBP"),), (bytearray(b"From x"),)], "h binary")
     assert [tuple(r[0]) for r in df.select(formats.exif("h")).collect()][:3] == [("2024:02:03 04:05:06", -10.5, 20.5), (None, None, None), (None, None, None)]
     assert [r[0] for r in df.select(formats.sniff(F.col("h"))).collect()] == ["jpg", None, None, None, "webp", "mbox"]
