@@ -97,5 +97,5 @@ def test_the_entry_registers_all(spark):
     import __spark_entry__ as e
 
     names = e.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if re.match(r"op\d+_", k)} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if re.match(r"op\d+_", k)} and "pipeline" in names
     assert set(e.oracle_sql()) <= set(names)
