@@ -16,7 +16,7 @@ HEADLINES = [
     "trend_first_last", "monthly_totals", "column_profile_lineitem", "money_card", "rank_top8", "exact_duplicates", "three_stage_dup_flag", "keep_n_per_group", "supersede_anti",
     "cross_part_dedup", "paged_table_merge", "near_dup_pairs", "rules_first_match", "plan_summary", "bucket_plan", "nearby_3h", "sidecar_join", "reconcile_ladder", "reply_tree",
     "people_rollup", "self_votes", "name_normalise", "mojibake_repair", "activity_html", "json_props", "date_coalesce", "number_parse", "notes_words", "cumulative_budget", "geo_bins", "counter_stream",
-    "mailbox_senders", "health_type_days", "activity_blocks", "record_events",
+    "mailbox_senders", "health_type_days", "activity_blocks", "record_events", "zip_mail_events", "zip_health_days", "cards_all", "append_exports", "alias_states", "sidecar_forms", "json_merged_schema", "paged_cells",
 ]
 
 
