@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.operators import joins, structure
-from keepsake.sources import boxes, formats, sinks, walk
+from keepsake.sources import boxes, formats, sinks, stamps, walk
 from keepsake.tables import read, scratch_path
 
 from .base import query
@@ -102,3 +102,21 @@ def movie_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     moov = lambda inner: F.concat(F.lit("000002006D6F6F76"), inner)
     head = F.concat(F.lit("000000146674797069736F6D0000000069736F6D"), trap, F.when(F.col("o_orderkey") % 3 == 0, moov(short)).when(F.col("o_orderkey") % 3 == 1, moov(long_)).otherwise(moov(F.lit("0000000866726565"))))
     return read(spark, sf_dir, "orders").select("o_orderkey", boxes.movie_date(F.unhex(head)).alias("at"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate + INTERVAL 3661 SECOND, '%Y:%m:%d %H:%M:%S') END AS taken, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 THEN o_orderkey % 179 - 89.25 END AS lat,
+  CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 THEN o_orderkey % 359 - 179.5 END AS lon, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority || ' <é> & ' || o_orderkey END AS said FROM orders
+""")
+def stamped_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pictures into which date, position and description are written twice; every fifth is none."""
+    o, key = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    jpeg = F.when(key % 5 != 0, F.unhex(F.lit("FFD8FFE000104A46494600010100000100010000FFDA0000FFD9"))).otherwise(F.unhex(F.lit("89504E470D0A")))
+    at = F.timestamp_add("SECOND", F.lit(3661), F.col("o_orderdate").cast("timestamp_ntz"))
+    lat, lon = F.when(key % 3 != 0, key % 179 - 89.25), F.when(key % 3 != 0, key % 359 - 179.5)
+    said = F.concat("o_orderpriority", F.lit(" <é> & "), key.cast("string"))
+    first = stamps.stamped(jpeg, F.timestamp_add("DAY", F.lit(1), at), F.lit(1.0), F.lit(2.0), F.lit("before"))
+    twice = o.select("o_orderkey", at.alias("at"), lat.alias("lat"), lon.alias("lon"), said.alias("said"), first.alias("c"))
+    done = twice.select("o_orderkey", stamps.stamped("c", "at", F.col("lat").cast("double"), F.col("lon").cast("double"), "said").alias("c"))
+    read_ = done.select("o_orderkey", formats.exif("c").alias("e"), stamps.description("c").alias("said"))
+    return read_.select("o_orderkey", "e.taken", F.round("e.lat", 6).alias("lat"), F.round("e.lon", 6).alias("lon"), "said")
