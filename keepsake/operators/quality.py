@@ -77,3 +77,12 @@ def structure(entries: DataFrame, size: str = "size") -> DataFrame:
 def one_per_shape(entries: DataFrame) -> DataFrame:
     """One entry, the first by path, of each masked name."""
     return entries.groupBy(names.mask_path(F.col("path")).alias("shape")).agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n"))
+
+
+def golden(expected: DataFrame, found: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Figures against those of a trusted run, by key: same, changed, missing (which fails) or new (which is only
+    reported), with both values."""
+    a, b = expected.select(*key, F.col(value).alias("expected"), F.lit(True).alias("_a")), found.select(*key, F.col(value).alias("found"), F.lit(True).alias("_b"))
+    both = a.join(b, key, "full")
+    status = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "new").when(F.col("expected").eqNullSafe(F.col("found")), "same").otherwise("changed")
+    return both.select(*key, "expected", "found", status.alias("status"), F.col("_b").isNull().alias("fails"))

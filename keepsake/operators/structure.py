@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.functions import names
+from keepsake.functions import names, paths
+
+from . import quality
 
 #: Fixed value: objects and arrays at this depth are only named.
 DEPTH = 2
@@ -46,3 +50,18 @@ def table_shapes(rows: DataFrame) -> DataFrame:
     """rows(path, line, r) of CSV files: per masked path and column names the files and their rows below them."""
     per = rows.groupBy("path").agg(F.min_by("r", F.when(F.col("line") == 0, 0)).alias("columns"), (F.count(F.lit(1)) - 1).alias("n"))
     return per.groupBy(names.mask_path(F.col("path")).alias("path"), "columns").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("rows"))
+
+
+def report(entries: DataFrame, files: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """(part, body): a report of what an export is made of, a JSON object a row, that holds nothing that a person
+    wrote: totals, endings, folders, and shapes of the documents and tables that are given (files(path,
+    content), rows(path, line, r))."""
+    ext = paths.extension(F.col("path"))
+    whole = entries.agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.array_sort(F.collect_set("method")).alias("methods"))
+    endings = entries.groupBy(ext.alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+    parts = {"archive": whole, "ending": endings, "folder": quality.structure(entries)}
+    if files is not None:
+        parts |= {"document": json_shapes(files), "schema": merged_schemas(files)}
+    if rows is not None:
+        parts["table"] = table_shapes(rows)
+    return functools.reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("part"), F.to_json(F.struct(*df.columns)).alias("body")) for name, df in parts.items()))

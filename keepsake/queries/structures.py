@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.operators import joins, structure
+from keepsake.operators import joins, quality, structure
 from keepsake.sources import boxes, formats, sinks, stamps, walk
 from keepsake.tables import read, scratch_path
 
@@ -120,3 +120,29 @@ def stamped_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = twice.select("o_orderkey", stamps.stamped("c", "at", F.col("lat").cast("double"), F.col("lon").cast("double"), "said").alias("c"))
     read_ = done.select("o_orderkey", formats.exif("c").alias("e"), stamps.description("c").alias("said"))
     return read_.select("o_orderkey", "e.taken", F.round("e.lat", 6).alias("lat"), F.round("e.lon", 6).alias("lon"), "said")
+
+
+@query("""
+WITH e AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'json' ELSE 'txt' END AS ext, n_chars AS size FROM documents)
+SELECT 'archive' AS part, '{"files":' || count(*) || ',"bytes":' || sum(size) || ',"methods":[0,8]}' AS body FROM e UNION ALL SELECT 'ending', '{"ext":"' || ext || '","n":' || count(*) || '}' FROM e GROUP BY ext
+UNION ALL SELECT 'folder', '{"folder":"notes","files":' || count(*) || ',"bytes":' || sum(size) || ',"extensions":"json:' || count(*) FILTER (ext = 'json') || ',txt:' || count(*) FILTER (ext = 'txt') || '"}' FROM e
+UNION ALL SELECT 'document', '{"path":"data/file_####.json","shape":"{\\"a\\":\\"number\\"}","files":' || count(*) || ',"chars":' || count(*) * 8 || '}' FROM region
+UNION ALL SELECT 'schema', '{"path":"data/file_####.json","schema":"OBJECT<a: BIGINT>","files":' || count(*) || ',"unreadable":0}' FROM region
+""")
+def structure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entries of an export, regions as its JSON files, in one report."""
+    d = read(spark, sf_dir, "documents")
+    entries = d.select(F.concat(F.lit("notes/n"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".json").otherwise(".txt")).alias("path"), F.col("n_chars").alias("size"), F.when(F.col("doc_id") % 2 == 0, 0).otherwise(8).alias("method"))
+    files = read(spark, sf_dir, "region").select(F.format_string("data/file_%d.json", F.col("r_regionkey") + 1000).alias("path"), F.format_string('{"a": %d}', F.col("r_regionkey") % 10).alias("content"))
+    return structure.report(entries, files)
+
+
+@query("""
+WITH a AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_custkey % 5 <> 0), b AS (SELECT c_custkey AS k, c_nationkey + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END AS v FROM customer WHERE c_custkey % 7 <> 0)
+SELECT coalesce(a.k, b.k) AS c_custkey, a.v AS expected, b.v AS found, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'new' WHEN a.v = b.v THEN 'same' ELSE 'changed' END AS status, b.k IS NULL AS fails FROM a FULL JOIN b ON a.k = b.k
+""")
+def golden_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' nations as figures of two runs."""
+    c = read(spark, sf_dir, "customer")
+    found = c.where("c_custkey % 7 <> 0").select("c_custkey", (F.col("c_nationkey") + F.when(F.col("c_custkey") % 4 == 0, 1).otherwise(0)).alias("v"))
+    return quality.golden(c.where("c_custkey % 5 <> 0").select("c_custkey", F.col("c_nationkey").alias("v")), found, ["c_custkey"], "v")
