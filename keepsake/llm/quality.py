@@ -126,11 +126,17 @@ def score_documents(docs: DataFrame, text_col: str = "text", threshold: float =
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
-    """The rows of docs that score_documents keeps, all their columns as they are. Rows are stored with
-    their counts between the fit and the verdict, so each text is counted once."""
-    whole = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))
-    counted = common.stash(counts(whole, "text", keep=["doc"]), "counts")
-    return verdict(counted, **kw)[0].where("kept").select("doc.*")
+    """The rows of docs that score_documents keeps, all their columns as they are. The verdict goes by the text
+    alone, so counts are stored under a text's MD5 hash, without the text, and each text is counted
+    once. A sieve of the hashes that go lets through most rows that stay; those few that it can't tell
+    are found by their hashes, so texts aren't shuffled or stored."""
+    key = F.unhex(F.md5(common.text_of(text_col))).alias("_key")
+    counted = common.stash(counts(docs.select(key, F.col(text_col).alias("text")), "text", keep=["_key"]), "counts")
+    told = common.stash(verdict(counted, **kw)[0].select("_key", "kept").distinct(), "verdicts")
+    split = common.sieve(told.where("NOT kept"), "_key")
+    in_doubt = common.stash(split(told.where("kept").select("_key"))[0], "in_doubt")
+    may, free = split(docs.select(F.struct("*").alias("doc"), key))
+    return free.select("doc.*").unionByName(may.join(in_doubt, "_key", "left_semi").select("doc.*"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

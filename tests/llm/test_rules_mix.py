@@ -96,3 +96,21 @@ def test_rows_with_one_id_that_the_cut_runs_through(spark, tmp_path):
         plan[r.doc_id] += r.taken // r["size"] if r["size"] else 0
     got = Counter(r.doc_id for r in mixing.mix_documents(df).collect())
     assert got == +plan and 0 < got[1] % 30
+
+
+def test_kept_documents_are_those_scored_so(spark, docs, odd, none, monkeypatch):
+    """With a sieve that tells next to nothing too, and with columns called like those that are added."""
+    from keepsake.llm import common, quality
+
+    def rows(df):
+        return sorted(map(repr, df.collect()))
+
+    want = rows(quality.score_documents(docs)[0].where("kept").select(*docs.columns))
+    assert rows(quality.kept_documents(docs)) == want and 0 < len(want) < docs.count()
+    extra = odd.unionByName(docs, allowMissingColumns=True).withColumnRenamed("n", "_sieve").withColumnRenamed("votes", "_may")
+    told = quality.kept_documents(extra)
+    assert told.columns == extra.columns and quality.kept_documents(none).count() == 0
+    twice = docs.unionAll(docs)
+    assert rows(quality.kept_documents(twice)) == rows(quality.score_documents(twice)[0].where("kept").select(*docs.columns))
+    monkeypatch.setattr(common, "sieve", lambda keys, *cols: lambda df, *names: (df, df.where("false")))
+    assert rows(quality.kept_documents(docs)) == want
