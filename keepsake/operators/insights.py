@@ -41,6 +41,8 @@ def _columns(cells: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return hits.join(first, [*TABLE, "what", "col_no"]).select(*TABLE, "what", "value", "row_no")
 
 
+#: Columns with the address someone was connected from, and with a channel's title and handle.
+ADDRESS, CHANNEL = r"(?i)^ip[ _]?(address)?$", {"name": "(?i)^channel title", "handle": "(?i)vanity url"}
 #: The columns of a table of sign-ins that tell when, where and with what.
 SIGN_IN = {"time": "(?i)time|date|when", "place": "(?i)country|city|region|location", "device": "(?i)agent|device|browser|platform|model"}
 
@@ -59,7 +61,7 @@ def sign_ins(cells: DataFrame) -> DataFrame:
 
 def address_rows(cells: DataFrame) -> DataFrame:
     """Per table that has any: the rows that carry the address someone was connected from."""
-    ip = _columns(cells, {"ip": r"(?i)^ip[ _]?(address)?$"}).where("value <> ''")
+    ip = _columns(cells, {"ip": ADDRESS}).where("value <> ''")
     return ip.groupBy(*TABLE).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -73,7 +75,7 @@ def kinds(cells: DataFrame, ladder: dict[str, str]) -> DataFrame:
 def identity(cells: DataFrame, provider: DataFrame) -> DataFrame:
     """provider(source_id, provider): per provider its channel's title and handle, the first that any of its
     tables' first rows has, by source and table; no row without either."""
-    first = _columns(cells.where("row_no = 0"), {"name": "(?i)^channel title", "handle": "(?i)vanity url"}).where("value <> ''")
+    first = _columns(cells.where("row_no = 0"), CHANNEL).where("value <> ''")
     of = lambda what: F.min_by("value", F.when(F.col("what") == what, F.struct(*TABLE))).alias(what)
     return first.join(provider, "source_id").groupBy("provider").agg(of("name"), of("handle"))
 
