@@ -37,7 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     common.sweep(spark)
     known = common.free_name(docs.columns, "_own")
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text"))
-    found = common.stash(jaccard.jaccard_components(docs.select(own.alias("doc_id"), "text"), size=5, percent=80).where("n_shingles > 0"), "found")
+    with common.batches_of(spark, 1000):
+        found = common.stash(jaccard.jaccard_components(docs.select(own.alias("doc_id"), "text"), size=5, percent=80).where("n_shingles > 0"), "found")
     per = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.first("component_id").alias("component_id"))
     # what has to go, and of what only one row stays
     doubt = common.stash(per.where("component_id <> doc_id OR rows > 1").select(F.col("doc_id").alias(known), (F.col("component_id") == F.col("doc_id")).alias("_stays")), "doubt")
