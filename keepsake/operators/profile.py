@@ -86,7 +86,7 @@ def money_card(rows: DataFrame, amount: Column, code: Column | None = None) -> D
     from 10,000 on are millionths."""
     read = rows.select(amount.alias("a"), (code if code is not None else F.lit(None).cast("string")).alias("c")).where("a > 0")
     one = read.agg(
-        F.sum("a").alias("total"), F.max("a").alias("most"), F.count(F.lit(1)).alias("n"), F.bool_and(F.col("a") == F.floor("a")).alias("whole"),
+        numbers.total(F.col("a")).alias("total"), F.max("a").alias("most"), F.count(F.lit(1)).alias("n"), F.bool_and(F.col("a") == F.floor("a")).alias("whole"),
         F.min("a").alias("least"), F.min("c").alias("c0"), F.max("c").alias("c1"),
     )
     micros = F.coalesce(F.col("whole") & (F.col("least") >= 10_000), F.lit(False))
