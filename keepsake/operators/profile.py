@@ -44,7 +44,7 @@ def column_profile(long: DataFrame, now_ms: int | None = None, by: tuple[str, ..
     per = read.groupBy(*by, "col_no", "col_name").agg(
         weigh(v.isNotNull()).alias("filled"), F.count("v").alias("seen"), weigh(v.isNotNull() & F.col("d")).alias("dates"), weigh(F.col("k")).alias("numeric"),
         F.coalesce(F.bool_or("signed"), F.lit(False)).alias("signed"), weigh(F.col("u")).alias("urls"),
-        F.min("x").alias("least"), F.max("x").alias("most"), F.sum(F.col("x") * c).alias("total"), weigh(F.col("x").isNotNull()).alias("n_numbers"),
+        F.min("x").alias("least"), F.max("x").alias("most"), numbers.total(F.col("x"), c).alias("total"), weigh(F.col("x").isNotNull()).alias("n_numbers"),
     )
     n, name = F.col("filled"), F.col("col_name")
     numeric = F.col("numeric") > NUMBER_SHARE * n

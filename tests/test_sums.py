@@ -21,6 +21,12 @@ def test_money_card_total_is_exact(spark):
     assert card.total == WANT and card.n == len(GREAT) + SMALL and not card.micros
 
 
+def test_column_profile_total_is_exact(spark):
+    long = amounts(spark).select(F.lit("t").alias("table_id"), F.lit(0).alias("col_no"), F.lit("price").alias("col_name"), "value")
+    one = pf.column_profile(long.unionAll(long)).first()
+    assert one.type == "money" and one.total == 2 * WANT
+
+
 
 def test_totals_leave_nothing_out(spark):
     """Beyond the exact range, with more places, weighed, and without any value."""
