@@ -169,7 +169,7 @@ def _shown_facts(facts: DataFrame, keys: list[str]) -> DataFrame:
 def _series(rows: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
     v = F.col("measure")
     last = F.max_by(v, F.struct("at", "row_no"))
-    got = rows.where("at IS NOT NULL AND measure IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("sum"), F.min(v).alias("low"), F.max(v).alias("high"), last.alias("last")).where("n >= 2").join(plan, keys)
+    got = rows.where("at IS NOT NULL AND measure IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), numbers.total(v).alias("sum"), F.min(v).alias("low"), F.max(v).alias("high"), last.alias("last")).where("n >= 2").join(plan, keys)
     rule = F.col("rule")
     agg, mean = F.coalesce(units.rule(rule, "agg"), F.lit("mean")), F.col("sum") / F.col("n")
     unit = F.coalesce(units.rule(rule, "unit"), F.lit(""))
@@ -194,7 +194,7 @@ def _unit(rows: DataFrame, keys: list[str]) -> DataFrame:
     divided by: whole amounts from 10,000 on beside one currency code are millionths."""
     spent = F.when(F.col("money") > 0, F.col("money"))
     got = rows.groupBy(*keys).agg(
-        F.sum(spent).alias("sum"), F.max(spent).alias("most"), F.min(spent).alias("least"), F.count(spent).alias("n"), F.bool_and(spent == F.floor(spent)).alias("whole"), F.min("currency").alias("c0"), F.max("currency").alias("c1")
+        numbers.total(spent).alias("sum"), F.max(spent).alias("most"), F.min(spent).alias("least"), F.count(spent).alias("n"), F.bool_and(spent == F.floor(spent)).alias("whole"), F.min("currency").alias("c0"), F.max("currency").alias("c1")
     ).where("n > 0")
     one = F.when(F.col("c0") == F.col("c1"), F.col("c0"))
     return got.select(*keys, "sum", "most", "n", one.alias("currency"), F.when(one.isNotNull() & F.col("whole") & (F.col("least") >= 10_000), 1e6).otherwise(1.0).alias("scale"))
@@ -207,7 +207,7 @@ def _money(rows: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
 
 def _years(rows: DataFrame, made: DataFrame, keys: list[str]) -> DataFrame:
     own = rows.join(made.where("kind = 'money'").select(*keys), keys, "left_semi")
-    got = own.where("at IS NOT NULL AND money > 0").groupBy(*keys, F.year("at").alias("year")).agg(F.sum("money").alias("s"), F.count(F.lit(1)).alias("n")).join(_unit(own, keys).select(*keys, "scale"), keys)
+    got = own.where("at IS NOT NULL AND money > 0").groupBy(*keys, F.year("at").alias("year")).agg(numbers.total(F.col("money")).alias("s"), F.count(F.lit(1)).alias("n")).join(_unit(own, keys).select(*keys, "scale"), keys)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("year"))
     return _items(got.withColumn("place", place), keys, kind=F.lit("money"), label=F.col("year").cast("string"), value=F.col("s") / F.col("scale"))
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from keepsake.functions import numbers
+from keepsake.operators import cards as cd
 from keepsake.operators import profile as pf
 
 #: Fifty amounts so great that 0.0009 more doesn't change a double.
@@ -27,6 +28,11 @@ def test_column_profile_total_is_exact(spark):
     assert one.type == "money" and one.total == 2 * WANT
 
 
+def test_cards_total_is_exact(spark):
+    money = amounts(spark).select(F.lit("t").alias("table_id"), "row_no", F.lit(0).alias("col_no"), F.lit("price").alias("col_name"), "value")
+    made, _ = cd.cards(money, spark.createDataFrame([("t", "Purchases")], "table_id string, title string"))
+    assert [(r.kind, r.stat) for r in made.where("kind = 'money'").collect()] == [("money", WANT)]
+
 
 def test_totals_leave_nothing_out(spark):
     """Beyond the exact range, with more places, weighed, and without any value."""
