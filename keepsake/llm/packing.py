@@ -64,23 +64,26 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack(items: DataFrame, capacity: int = 2048, slack: int = 8, fan_in: int = 8, items_per_part: int = 50_000, carry: int = 256) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 2048, fan_in: int = 8, items_per_part: int = 50_000, carry: int = 256) -> DataFrame:
     """Assign pieces to sequences of at most capacity ids.
 
-    Round 0 packs each partition (items_per_part pieces at most on average) best-fit decreasing.
-    Bins with at most slack ids of room are done; the others go on as items, members along, to
-    rounds over fan_in times fewer partitions, down to one. A bin has at most capacity members,
-    so rows stay bounded. After best fit a partition has at most one bin that is half empty, and
-    only bins half empty or emptier can merge later: a partition hands its `carry` emptiest bins
-    on and closes the others, so the last round's input is bounded too. Nothing is dropped: all
-    bins come out, closed or not. Pieces of capacity ids are sequences at once.
+    Round 0 packs each partition (items_per_part pieces at most on average) best-fit decreasing. After
+    best fit no two bins of a partition fit together, so it has at most one that is at most half
+    full, and what merges later has such a bin in it. If there are s of those in all partitions, no more than s
+    fuller bins can take one: the small bins go on as items, members along, and the s emptiest of all
+    others that have room for the smallest of them, `carry` at least. That loses nothing: where a
+    small bin is left in the end, one of those s took none and has no room for it, and a bin that
+    was closed has no more. Rounds are over fan_in times fewer partitions at least, down to one; a round has at most
+    twice as many items as the one before has partitions, so the last one's input is bounded too.
+    A bin has at most capacity members, so rows stay bounded.
+    Pieces of capacity ids are sequences at once.
 
     Returns the pieces with sequence_id (unique, any number) and offset. Empty input: no rows."""
     kind = dict(items.dtypes)["doc_id"]
     member = _MEMBER.format(kind=kind)
-    schema = f"room int, bin long, load long, done boolean, members array<{member}>"
+    schema = f"bin long, load long, members array<{member}>"
 
-    def round_of(number: int, last: bool):
+    def round_of(number: int):
         def run(batches):
             import pyarrow as pa
 
@@ -94,19 +97,16 @@ def pack(items: DataFrame, capacity: int = 2048, slack: int = 8, fan_in: int = 8
                 at = 0
                 for m in held:
                     m["offset"], at = at, at + m["length"]
-            made.sort(key=lambda b: b[0])
             base = number << 54 | TaskContext.get().partitionId() << 32
             for i in range(0, len(made), 2000):
                 part = made[i : i + 2000]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([capacity - n for n, _ in part], pa.int32()),
                         pa.array([base + i + k for k in range(len(part))], pa.int64()),
                         pa.array([n for n, _ in part], pa.int64()),
-                        pa.array([last or capacity - n <= slack or i + k >= carry for k, (n, _) in enumerate(part)], pa.bool_()),
                         pa.array([m for _, m in part], t.schema.field("members").type),
                     ],
-                    names=["room", "bin", "load", "done", "members"],
+                    names=["bin", "load", "members"],
                 )
 
         return run
@@ -116,14 +116,22 @@ def pack(items: DataFrame, capacity: int = 2048, slack: int = 8, fan_in: int = 8
     parts = max(1, -(-small.count() // items_per_part))
     packed, number, open_ = [], 0, small
     while True:
-        last = parts == 1
         # dealt by content, so a task that runs again gets the same items
         dealt = open_.repartition(parts, F.xxhash64("members")) if parts > 1 else open_.repartition(1)
-        bins = common.stash(dealt.sortWithinPartitions("load", F.xxhash64("members")).mapInArrow(round_of(number, last), schema), "bins")
-        packed.append(bins.where("done").select("bin", "members"))
-        if last:
+        bins = common.stash(dealt.sortWithinPartitions("load", F.xxhash64("members")).mapInArrow(round_of(number), schema), "bins")
+        if parts == 1:
+            packed.append(bins.select("bin", "members"))
             break
-        open_, number, parts = bins.where("NOT done").select("load", "members"), number + 1, max(1, parts // fan_in)
+        few = F.col("load") * 2 <= capacity
+        small = bins.where(few).agg(F.count(F.lit(1)).alias("n"), F.min("load").alias("least")).first()
+        if not small.n:
+            packed.append(bins.select("bin", "members"))
+            break
+        others = bins.where(~few & (F.col("load") + small.least <= capacity)).select("load", "bin").orderBy("load", "bin").limit(max(small.n, carry)).select("bin")
+        others = common.stash(others, "open")
+        packed.append(bins.where(~few).join(others, "bin", "left_anti").select("bin", "members"))
+        open_ = bins.where(few).unionByName(bins.where(~few).join(others, "bin", "left_semi")).select("load", "members")
+        number, parts = number + 1, max(1, min(parts // fan_in, -(-(small.n + max(small.n, carry)) // items_per_part)))
     full = one.where(F.col("load") >= capacity).select((-F.lit(1) - F.monotonically_increasing_id()).alias("bin"), "members")
     for p in packed:
         full = full.unionAll(p)
