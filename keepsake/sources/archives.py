@@ -17,7 +17,8 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ENTRY_DDL = "source_id INT, archive STRING, path STRING, size BIGINT, comp_size BIGINT, crc32 BIGINT, method INT, encrypted BOOLEAN, mod_date INT, mod_time INT, nested_in STRING, skipped STRING"
@@ -361,3 +362,9 @@ class ArchiveRecords(DataSource):
 def register(spark: SparkSession) -> None:
     for source in (ArchiveDirectory, ArchiveContent, ArchiveRecords):
         spark.dataSource.register(source)
+
+
+def one_export(records: DataFrame) -> DataFrame:
+    """Records of archives that are the parts of one export, as if they were one archive: a member that goes on
+    in a later part goes on in number, with gaps. A source has 2^40 records of a member at most."""
+    return records.withColumns({"record": F.shiftleft(F.col("source_id").cast("long"), 40) + F.col("record"), "source_id": F.lit(0)})

@@ -67,10 +67,17 @@ def write_zips(placed: DataFrame, root: str, name: str = "export") -> DataFrame:
     return stash(placed.select("target", "content").mapInArrow(run, "file string, entries long, bytes long"), "zips")
 
 
+#: Bytes of lines that a part of an export takes.
+PART_BYTES = 32 << 20
+
+
 def write_streams(lines: DataFrame, root: str, name: str = "export", parts: int | None = None) -> DataFrame:
     """lines(target, place, line) as members of zip files below root, a zip file a partition; returns (file,
     entries, bytes). A member's lines (strings, written as they are) are in order of place; they come
-    sorted and are written as they come, so a member may be of any size."""
+    sorted and are written as they come. Partitions are ranges of target and place, as many as PART_BYTES
+    of lines each make unless parts is given: a member that is larger goes on under its name in the next zip
+    file, in order of their names, as exports in parts do, so neither writing nor reading is one task's.
+    archives.one_export puts such records together."""
 
     def run(batches):
         import zipfile
@@ -101,8 +108,10 @@ def write_streams(lines: DataFrame, root: str, name: str = "export", parts: int
             store.move(part, f"{base}/{file}")
             yield pa.RecordBatch.from_pydict({"file": [file], "entries": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
-    spark = lines.sparkSession
-    dealt = lines.where("target IS NOT NULL").repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), "target").sortWithinPartitions("target", "place")
+    held = lines.where("target IS NOT NULL").select("target", "place", "line")
+    if parts is None:
+        parts = max(1, -(-(held.agg(F.sum(F.octet_length("line"))).first()[0] or 0) // PART_BYTES))
+    dealt = held.repartitionByRange(parts, "target", "place").sortWithinPartitions("target", "place")
     return stash(dealt.select("target", "line").mapInArrow(run, "file string, entries long, bytes long"), "zips")
 
 
