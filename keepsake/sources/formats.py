@@ -231,12 +231,15 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
 def mails(raw: DataFrame, *keep: str) -> DataFrame:
     """raw(raw): a message after `From `, as its headers: subject, sender's name and address, date. Columns
     named in keep stay."""
+    # one element arrays hold what is worked out once, however often it is asked for, in filters too
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
     whole = F.regexp_replace(F.regexp_replace("raw", "\r\n", "\n"), r"^[^\n]*\n", "")
     head = F.regexp_replace(F.split(whole, "\n\n", 2)[0], "\n[ \t]+", " ")
-    field = lambda n: F.nullif(F.trim(F.regexp_extract(head, rf"(?im)^{n}:\s*(.*)$", 1)), F.lit(""))
-    sender = text.address_name(text.decode_words(field("From")))
-    read = raw.select(*keep, text.decode_words(field("Subject")).alias("subject"), sender.alias("s"), field("Date").alias("date"))
-    return read.select(*keep, "subject", F.col("s.name").alias("name"), F.col("s.address").alias("address"), dates.english_date(F.col("date")).alias("at"))
+    field = lambda h, n: F.nullif(F.trim(F.regexp_extract(h, rf"(?im)^{n}:\s*(.*)$", 1)), F.lit(""))
+    fields = once(head, lambda h: F.struct(field(h, "Subject").alias("subject"), field(h, "From").alias("sender"), once(field(h, "Date"), dates.english_date).alias("at")))
+    told = raw.select(*keep, fields.alias("f"))
+    read = told.select(*keep, text.decode_words(F.col("f.subject")).alias("subject"), text.address_name(text.decode_words(F.col("f.sender"))).alias("s"), F.col("f.at").alias("at"))
+    return read.select(*keep, "subject", F.col("s.name").alias("name"), F.col("s.address").alias("address"), "at")
 
 
 @F.pandas_udf(StringType())
