@@ -31,6 +31,9 @@ BROKEN = (zipfile.BadZipFile, tarfile.TarError, NotImplementedError, EOFError, K
 #: Stored bytes of an archive that a task takes; what an unpacked archive may have in memory before it goes to a temporary file.
 SHARE_BYTES, IN_MEMORY = 64 << 20, 32 << 20
 
+#: Contents that Python hands to Spark at once.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
+
 
 @dataclass(frozen=True)
 class Guards:
@@ -283,6 +286,23 @@ class ContentReader(MemberReader):
             error = type(problem).__name__
         yield (part.source_id, e.path, e.nested_in, e.size, e.crc32, e.method, content, error)
 
+    def read(self, part: Part):
+        """Rows in batches of BATCH_BYTES of contents or BATCH_ROWS rows, whatever Spark takes by default."""
+        import pyarrow as pa
+
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string()]
+        names = [c.split(" ")[0] for c in CONTENT_DDL.split(", ")]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        held, size = [], 0
+        for row in super().read(part):
+            held.append(row)
+            size += len(row[6] or b"")
+            if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                yield made(held)
+                held, size = [], 0
+        if held:
+            yield made(held)
+
     def failed(self, part: Part, e: Entry | None, error: str):
         return (part.source_id, None, None, None, None, None, None, error)
 

@@ -38,9 +38,14 @@ def write_files(placed: DataFrame, root: str) -> DataFrame:
     return stash(placed.select("target", "content").mapInArrow(run, "target string, status string, error string"), "written")
 
 
+#: Members and bytes after which a zip file is closed and the next one begun.
+ZIP_MEMBERS, ZIP_BYTES = 10_000, 256 << 20
+
+
 def write_zips(placed: DataFrame, root: str, name: str = "export") -> DataFrame:
-    """placed(target, content) as one zip file a partition below root; returns (file, entries, bytes). Members
-    are written as they come, a content at a time."""
+    """placed(target, content) as zip files of each partition below root; returns (file, entries, bytes). Members
+    are written as they come, a content at a time; a file is followed by the next one after ZIP_MEMBERS members or
+    ZIP_BYTES bytes, because writers and readers hold a file's directory in memory."""
 
     def run(batches):
         import zipfile
@@ -49,20 +54,29 @@ def write_zips(placed: DataFrame, root: str, name: str = "export") -> DataFrame:
         from pyspark import TaskContext
 
         store, base = _filesystem(root)
-        file, n, size, sink, out = f"{name}-{TaskContext.get().partitionId():05d}.zip", 0, 0, None, None
+        part, attempt, k, sink, out = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, None, None
+
+        def closed():
+            out.close()
+            sink.close()
+            store.move(f"{base}/{file}.part-{attempt}", f"{base}/{file}")
+            return pa.RecordBatch.from_pydict({"file": [file], "entries": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
+
         for b in batches:
-            for target, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for target, content in zip(b.column(0), b.column(1), strict=True):
                 if out is None:
+                    file, n, size = f"{name}-{part:05d}{f'-{k:03d}' if k else ''}.zip", 0, 0
                     store.create_dir(base, recursive=True)
-                    sink = store.open_output_stream(f"{base}/{file}.part-{TaskContext.get().taskAttemptId()}")
+                    sink = store.open_output_stream(f"{base}/{file}.part-{attempt}")
                     out = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, allowZip64=True)
-                out.writestr(target, content or b"")
-                n, size = n + 1, size + len(content or b"")
+                data = content.as_py() or b""
+                out.writestr(target.as_py(), data)
+                n, size = n + 1, size + len(data)
+                if n >= ZIP_MEMBERS or size >= ZIP_BYTES:
+                    yield closed()
+                    out, k = None, k + 1
         if out is not None:
-            out.close()
-            sink.close()
-            store.move(f"{base}/{file}.part-{TaskContext.get().taskAttemptId()}", f"{base}/{file}")
-            yield pa.RecordBatch.from_pydict({"file": [file], "entries": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
+            yield closed()
 
     return stash(placed.select("target", "content").mapInArrow(run, "file string, entries long, bytes long"), "zips")
 
