@@ -45,12 +45,19 @@ def busiest_run(points: DataFrame, at: str = "at", shortest: int = 3, longest: i
     )
 
 
+#: Shares that a series' points are dealt to by their time.
+SHARES = 64
+
+
 def time_buckets(points: DataFrame, want: int, by: str = "series", t: str = "t", v: str = "v") -> DataFrame:
     """Mean, count, least and greatest value in each of `want` equal spans between a series' first and
     last point. Empty spans are skipped; a series of one instant is one bucket; a series of at most
-    `want` points comes back as it is, a bucket a point. t is a whole number (microseconds)."""
+    `want` points comes back as it is, a bucket a point. t is a whole number (microseconds). A series' points
+    meet its extent in SHARES shares, so few long series aren't few tasks."""
     extent = points.groupBy(by).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.count(F.lit(1)).alias("_n"))
-    spread = points.join(extent, by).withColumn("_span", F.col("_t1") - F.col("_t0"))
+    extent = extent.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    dealt = points.withColumn("_share", F.pmod(F.xxhash64(t), F.lit(SHARES).cast("long")))
+    spread = dealt.join(extent, [by, "_share"]).drop("_share").withColumn("_span", F.col("_t1") - F.col("_t0"))
     few = F.col("_n") <= want
     slot = F.least(F.expr(f"(({t} - _t0) * {want}) div _span"), F.lit(want - 1))
     bucket = F.when(few, F.col(t) - F.col("_t0")).when(F.col("_span") <= 0, F.lit(0)).otherwise(slot)
