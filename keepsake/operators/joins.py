@@ -30,6 +30,8 @@ def orphan_sidecars(media: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 #: How a sidecar may be named after its photo, the first that is there counts.
 FORMS = ("exact", "basename", "counter-moved", "supplemental")
+#: Names that a task takes: paths of a folder are so alike that their stored size says little about their memory.
+NAMES_EACH = 50_000
 
 
 def sidecar_forms(photos: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -38,20 +40,21 @@ def sidecar_forms(photos: DataFrame, sidecars: DataFrame) -> DataFrame:
     exact: the photo's name and `.json`; basename: the name without its ending; counter-moved: `a.JPG(1)` for
     `a(1).JPG`; supplemental: any longer name that begins with the photo's and a point, the first by name.
     A beginning is a join too: each sidecar is listed under what stands before each of its points, so
-    nothing is compared with all names of a folder."""
+    nothing is compared with all names of a folder. Tasks are as many as NAMES_EACH names each make."""
+    parts = max(1, -(-(photos.count() + sidecars.count()) // NAMES_EACH))
     folder, base = paths.folder(F.col("path")), paths.base(F.col("path"))
-    named = sidecars.select(folder.alias("_dir"), base.alias("_name")).where(F.col("_name").endswith(".json")).distinct()
+    named = sidecars.select(folder.alias("_dir"), base.alias("_name")).where(F.col("_name").endswith(".json")).repartition(parts, "_dir", "_name").distinct()
     points = F.filter(F.sequence(F.lit(2), F.length("_name")), lambda i: F.substring(F.col("_name"), i, F.lit(1)) == ".")
-    beginnings = named.select("_dir", "_name", F.explode(F.transform(points, lambda i: F.substring(F.col("_name"), F.lit(1), i - 1))).alias("_key")).groupBy("_dir", "_key").agg(F.min("_name").alias("_name"))
-    known = named.select("_dir", F.lit(True).alias("_whole"), F.col("_name").alias("_key"), "_name").unionByName(beginnings.select("_dir", F.lit(False).alias("_whole"), "_key", "_name"))
+    beginnings = named.select("_dir", "_name", F.explode(F.transform(points, lambda i: F.substring(F.col("_name"), F.lit(1), i - 1))).alias("_key")).repartition(parts, "_dir", "_key").groupBy("_dir", "_key").agg(F.min("_name").alias("_name"))
+    known = named.select("_dir", F.lit(True).alias("_whole"), F.col("_name").alias("_key"), "_name").unionByName(beginnings.select("_dir", F.lit(False).alias("_whole"), "_key", "_name")).repartition(parts, "_dir", "_whole", "_key")
     counter = r"^(.*)(\(\d+\))(\.[^.]+)$"
     moved = F.when(F.col("_base").rlike(counter), F.concat(F.regexp_replace("_base", counter, "$1$3$2"), F.lit(".json")))
     keys = [F.concat("_base", F.lit(".json")), F.concat(F.regexp_replace("_base", r"\.[^.]+$", ""), F.lit(".json")), moved, F.col("_base")]
-    asked = photos.select("path", folder.alias("_dir"), base.alias("_base")).distinct()
-    asked = asked.select("path", "_dir", F.posexplode(F.array(*keys)).alias("_form", "_key")).where("_key IS NOT NULL").withColumn("_whole", F.col("_form") < 3)
-    best = asked.join(known, ["_dir", "_whole", "_key"]).groupBy("path").agg(F.min_by(F.struct("_form", "_dir", "_name"), "_form").alias("_s"))
+    asked = photos.select("path", folder.alias("_dir"), base.alias("_base")).repartition(parts, "path").distinct()
+    asked = asked.select("path", "_dir", F.posexplode(F.array(*keys)).alias("_form", "_key")).where("_key IS NOT NULL").withColumn("_whole", F.col("_form") < 3).repartition(parts, "_dir", "_whole", "_key")
+    best = asked.join(known, ["_dir", "_whole", "_key"]).repartition(parts, "path").groupBy("path").agg(F.min_by(F.struct("_form", "_dir", "_name"), "_form").alias("_s"))
     full = F.when(F.col("_s._dir") == "", F.col("_s._name")).otherwise(F.concat_ws("/", "_s._dir", "_s._name"))
-    return photos.join(best.select("path", F.get(F.array(*map(F.lit, FORMS)), F.col("_s._form")).alias("form"), full.alias("sidecar")), "path", "left")
+    return photos.repartition(parts, "path").join(best.select("path", F.get(F.array(*map(F.lit, FORMS)), F.col("_s._form")).alias("form"), full.alias("sidecar")), "path", "left")
 
 
 def with_overlays(memories: DataFrame) -> DataFrame:
