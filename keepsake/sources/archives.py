@@ -1,5 +1,5 @@
 """Archives as data sources: `archive_dir` lists zip and tar files, `archive_content` reads members,
-`archive_records` reads the mails, XML elements or CSV rows of members as they stream by.
+`archive_records` reads the mails, XML elements, CSV rows, JSON objects or blocks of members as they stream by.
 
 Both kinds only need seeks: the directory of a zip file is at its end. Listing costs a task an archive;
 members are read in shares of an archive's bytes, so a large archive is spread over tasks, and an
@@ -24,6 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 ENTRY_DDL = "source_id INT, archive STRING, path STRING, size BIGINT, comp_size BIGINT, crc32 BIGINT, method INT, encrypted BOOLEAN, mod_date INT, mod_time INT, nested_in STRING, skipped STRING"
 CONTENT_DDL = "source_id INT, path STRING, nested_in STRING, size BIGINT, crc32 BIGINT, method INT, content BINARY, error STRING"
 RECORD_DDL = "source_id INT, path STRING, nested_in STRING, record BIGINT, raw STRING, fields ARRAY<STRING>, error STRING"
+#: What rows of tables in CSV members have besides.
+TABLE_DDL = "section BIGINT, title STRING, row_no BIGINT, header ARRAY<STRING>"
 
 NESTED = re.compile(r"\.(zip|spd)$", re.IGNORECASE)
 #: What an archive or a member that is no good raises.
@@ -318,20 +320,20 @@ class RecordReader(MemberReader):
     def rows(self, part: Part, f, e: Entry, opened):
         from . import records
 
-        n = 0
+        n, none = 0, (None,) * 4 * (self.kind == "tables")
         try:
             if e.method == 99:
                 raise RuntimeError
             with opened() as member:
-                for n, (raw, fields) in enumerate(records.read(self.kind, member, self.headers), 1):
-                    yield (part.source_id, e.path, e.nested_in, n - 1, raw, fields, None)
+                for n, (raw, fields, *table) in enumerate(records.read(self.kind, member, self.headers), 1):
+                    yield (part.source_id, e.path, e.nested_in, n - 1, raw, fields, None, *table)
         except RuntimeError:
-            yield (part.source_id, e.path, e.nested_in, n, None, None, "locked")
+            yield (part.source_id, e.path, e.nested_in, n, None, None, "locked", *none)
         except BROKEN as problem:
-            yield (part.source_id, e.path, e.nested_in, n, None, None, type(problem).__name__)
+            yield (part.source_id, e.path, e.nested_in, n, None, None, type(problem).__name__, *none)
 
     def failed(self, part: Part, e: Entry | None, error: str):
-        return (part.source_id, None, None, None, None, None, error)
+        return (part.source_id, None, None, None, None, None, error, *(None,) * 4 * (self.kind == "tables"))
 
 
 def raw_member(source, path: str) -> bytes:
@@ -363,8 +365,10 @@ class ArchiveContent(DataSource):
 
 class ArchiveRecords(DataSource):
     """`spark.read.format("archive_records").option("records", "mbox").option("match", r"\\.mbox$").load(folder)`:
-    a row a record of each member: its number, and raw (a mail, or an element's attributes) or fields
-    (a CSV row). Options: records (mbox, csv, or xml:TAG), headers (true: mails without bodies), and
+    a row a record of each member: its number, and raw (a mail, an element's attributes, a JSON object, a
+    block) or fields (a CSV row; a JSON object's key and the names of its array's first element). tables
+    are CSV rows with section, title, row_no and header of their table. Options: records (mbox, csv,
+    tables, json, xml:TAG, or after:MARK for what follows each mark), headers (true: mails without bodies), and
     those of archive_content but head_bytes. After a member's last good record comes a row with an
     error, if it ends too soon; an empty member has no row."""
 
@@ -373,7 +377,7 @@ class ArchiveRecords(DataSource):
         return "archive_records"
 
     def schema(self) -> str:
-        return RECORD_DDL
+        return f"{RECORD_DDL}, {TABLE_DDL}" if self.options.get("records") == "tables" else RECORD_DDL
 
     def reader(self, schema) -> DataSourceReader:
         return RecordReader(self.options)

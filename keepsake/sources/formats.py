@@ -6,10 +6,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from keepsake.functions import dates, names, text
 
+from . import records
+
 _TABLE = ArrayType(ArrayType(StringType()))
 
 
@@ -78,32 +80,41 @@ def keys_of(files: DataFrame) -> list[str]:
     return [c for c in ("source_id", "path") if c in files.columns]
 
 
+_TABLES = ArrayType(StructType([StructField("section", LongType()), StructField("title", StringType()), StructField("header", ArrayType(StringType())), StructField("rows", _TABLE)]))
+
+
+@F.pandas_udf(_TABLES)
+def tables_in(rows: pd.Series) -> pd.Series:
+    """The tables in a file's rows, by records.tables."""
+    from itertools import groupby
+
+    def one(found):
+        if found is None:
+            return None
+        by = groupby(records.tables(map(list, found)), lambda t: t[0])
+        lists = [list(g) for _, g in by]
+        return [{"section": g[0][0], "title": g[0][1], "header": g[0][3], "rows": [t[4] for t in g]} for g in lists]
+
+    return rows.map(one)
+
+
 def section_rows(tables: DataFrame, rows: str = "rows") -> DataFrame:
     """tables(source_id if any, path, rows) as (source_id if any, path, table_id, title, row_no, header, r): a
-    row of a section and its names."""
-    return section_lines(tables.select(*keys_of(tables), F.posexplode(rows).alias("line", "r")))
+    row of a section and its names. A file's rows are there together, so nothing is shuffled or sorted."""
+    keys = keys_of(tables)
+    found = tables.select(*keys, F.explode(tables_in(rows)).alias("t"))
+    flat = found.select(*keys, "t.section", "t.title", "t.header", F.posexplode("t.rows").alias("row_no", "r"))
+    return flat.select(*keys, _table_id(), "title", F.col("row_no").cast("long").alias("row_no"), "header", "r")
 
 
-def section_lines(flat: DataFrame) -> DataFrame:
-    """The same of flat(source_id if any, path, line, r), a row a line.
+def _table_id() -> Column:
+    return F.concat_ws("#", "path", F.col("section").cast("string")).alias("table_id")
 
-    A lone field above a wider row is a heading; a heading or a row after a blank one starts a
-    section. A section's first wide row has its column names; `com.samsung...` on the first line
-    is a service's mark, not a heading. Windows run over the rows of one file."""
-    keys = keys_of(flat)
-    filled = lambda r: F.size(F.filter(r, lambda c: F.trim(c) != ""))
-    flat = flat.select(*keys, "line", "r").withColumn("w", filled("r"))
-    flat = flat.where(~((F.col("line") == 0) & F.get("r", F.lit(0)).rlike(r"(?i)^com\.samsung")))
-    by = Window.partitionBy(*keys).orderBy("line")
-    told = flat.withColumns({"next": F.lead("w", 1, 0).over(by), "last": F.lag("w", 1, 0).over(by)})
-    heading = (F.col("w") == 1) & (F.col("next") > 1)
-    told = told.withColumn("heading", heading).where("w > 0")
-    starts = F.col("heading") | (F.col("last") == 0)
-    told = told.withColumn("section", F.sum(starts.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*keys, "section").orderBy("line")
-    body = told.withColumn("title", F.max(F.when(F.col("heading"), F.trim(F.get("r", F.lit(0))))).over(Window.partitionBy(*keys, "section"))).where("NOT heading")
-    body = body.withColumn("n", F.row_number().over(inside)).withColumn("header", F.first("r").over(inside))
-    return body.where("n > 1").select(*keys, F.concat_ws("#", "path", F.col("section").cast("string")).alias("table_id"), "title", (F.col("n") - 2).cast("long").alias("row_no"), "header", "r")
+
+def section_records(read: DataFrame) -> DataFrame:
+    """The same of read(source_id if any, path, section, title, row_no, header, fields), as archive_records gives them
+    for tables: files of any size, in order as they are read."""
+    return read.where("fields IS NOT NULL").select(*keys_of(read), _table_id(), "title", "row_no", "header", F.col("fields").alias("r"))
 
 
 def section_cells(found: DataFrame) -> DataFrame:
@@ -177,6 +188,19 @@ def json_tables(files: DataFrame) -> DataFrame:
     lists = top.unionByName(under).where("size(list) > 0")
     first = F.map_keys(F.get("list", F.lit(0)))
     rows = lists.select(*own, F.concat_ws("#", "path", F.nullif("key", F.lit(""))).alias("table_id"), first.alias("names"), F.posexplode("list").alias("row_no", "o"))
+    return _object_cells(rows, own)
+
+
+def json_records(objects: DataFrame) -> DataFrame:
+    """The same of objects(source_id if any, path, record, raw, fields), as archive_records gives them for JSON. Rows
+    have the numbers of their records."""
+    own, key = keys_of(objects)[:-1], F.get("fields", F.lit(0))
+    o = F.try_variant_get(F.try_parse_json("raw"), F.lit("$"), "map<string,variant>")
+    rows = objects.where("raw IS NOT NULL").select(*own, F.concat_ws("#", "path", F.nullif(key, F.lit(""))).alias("table_id"), F.slice("fields", 2, 2**31 - 2).alias("names"), F.col("record").alias("row_no"), o.alias("o"))
+    return _object_cells(rows, own)
+
+
+def _object_cells(rows: DataFrame, own: list[str]) -> DataFrame:
     cells = rows.select(*own, "table_id", F.col("row_no").cast("long").alias("row_no"), "o", F.posexplode("names").alias("col_no", "col_name"))
     value = F.try_element_at("o", F.col("col_name"))
     return cells.select(*own, "table_id", F.lit(None).cast("string").alias("title"), "row_no", "col_no", "col_name", F.coalesce(F.try_variant_get(value, F.lit("$"), "string"), F.to_json(value)).alias("value"))
@@ -260,14 +284,20 @@ def mhtml_page(content: pd.Series) -> pd.Series:
 
 #: Fixed value: the verbs that activity pages begin with.
 VERBS = "Watched|Searched for|Visited|Viewed|Used|Liked|Listened to|Subscribed to"
+#: Fixed value: what a block of an activity page begins with.
+BLOCK = '<div class="outer-cell'
 
 
 def activity(pages: DataFrame) -> DataFrame:
     """pages(source_id if any, path, content): blocks of an activity page as (product, verb, what, href, at),
     with their file and place in it."""
-    keys = keys_of(pages)
-    cut = F.split("content", r'<div class="outer-cell')
-    blocks = F.slice(cut, F.lit(2), F.size(cut))
+    cut = F.split("content", BLOCK)
+    return activity_of(pages.select(*keys_of(pages), F.posexplode(F.slice(cut, F.lit(2), F.size(cut))).alias("place", "b")))
+
+
+def activity_of(rows: DataFrame) -> DataFrame:
+    """The same of rows(source_id if any, path, place, b), what follows a BLOCK each."""
+    keys = keys_of(rows)
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), "&nbsp;| | ", " "), r"\s+", " "))
     b = F.col("b")
     cell = F.regexp_extract(b, r'(?s)class="content-cell[^"]*">(.*?)</div>', 1)
@@ -277,7 +307,6 @@ def activity(pages: DataFrame) -> DataFrame:
     stamp = F.regexp_extract(said, when, 1)
     verb = F.regexp_extract(said, rf"^({VERBS})", 1)
     what = F.trim(F.regexp_replace(F.replace(F.replace(said, stamp, F.lit("")), verb, F.lit("")), r"\s+[A-Z]{2,5}$", ""))
-    rows = pages.select(*keys, F.posexplode(blocks).alias("place", "b"))
     return rows.select(*keys, "place", product.alias("product"), F.nullif(verb, F.lit("")).alias("verb"), what.alias("what"), F.nullif(F.regexp_extract(cell, r'href="([^"]*)"', 1), F.lit("")).alias("href"), dates.english_date(stamp).alias("at"))
 
 

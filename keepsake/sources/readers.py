@@ -209,15 +209,21 @@ def health_cells(readings: DataFrame) -> DataFrame:
     return _as_cells(per_day, F.concat_ws("#", "path", label), label, F.unix_date(F.col("day").cast("date")), {"Date": F.date_format("day", "yyyy-MM-dd"), "Value": F.col("value")})
 
 
-def apple(files: DataFrame, records: DataFrame | None = None) -> Library:
+def apple(files: DataFrame, records: DataFrame | None = None, tables: DataFrame | None = None, objects: DataFrame | None = None) -> Library:
     """Every CSV file and JSON list as a table, health by type and day; rows of a table with a date and a
     label are events. records(source_id, path, raw), as archive_records gives them for Record elements,
-    are the health readings; without them those of the files' contents."""
+    are the health readings; without them those of the files' contents. tables and objects, as it gives
+    them for tables and json, are the tables of files that are too large to be contents."""
     rows = _csv_sections(files)
+    lists = _json_tables(_like(files, r"(?i)\.json$"))
+    if tables is not None:
+        rows = rows.unionByName(formats.section_records(tables))
+    if objects is not None:
+        lists = lists.unionByName(formats.json_records(objects))
     under = lambda p: formats.under(F.col("header"), F.col("r"), p)
     dated = rows.select("source_id", dates.parse_date(under("(?i)date|time|purchase")).alias("at"), F.lit("record").alias("kind"), F.nullif(under("(?i)item|title|name|description|product"), F.lit("")).alias("label"))
     health = health_series(files) if records is None else health_cells(formats.health_elements(records.where("raw IS NOT NULL"), "source_id", "path"))
-    cells = csv_cells(files).unionByName(_json_tables(_like(files, r"(?i)\.json$"))).unionByName(health)
+    cells = formats.section_cells(rows).unionByName(lists).unionByName(health)
     return {"events": dated.where("at IS NOT NULL AND label IS NOT NULL"), "cells": cells}
 
 

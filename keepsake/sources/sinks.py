@@ -85,13 +85,14 @@ def write_zips(placed: DataFrame, root: str, name: str = "export") -> DataFrame:
 PART_BYTES = 32 << 20
 
 
-def write_streams(lines: DataFrame, root: str, name: str = "export", parts: int | None = None) -> DataFrame:
+def write_streams(lines: DataFrame, root: str, name: str = "export", parts: int | None = None, whole: str | None = None) -> DataFrame:
     """lines(target, place, line) as members of zip files below root, a zip file a partition; returns (file,
     entries, bytes). A member's lines (strings, written as they are) are in order of place; they come
     sorted and are written as they come. Partitions are ranges of target and place, as many as PART_BYTES
     of lines each make unless parts is given: a member that is larger goes on under its name in the next zip
     file, in order of their names, as exports in parts do, so neither writing nor reading is one task's.
-    archives.one_export puts such records together."""
+    archives.one_export puts such records together. Members whose path is like whole aren't cut: a part of
+    a JSON text or of a table can't be read without what comes before it."""
 
     def run(batches):
         import zipfile
@@ -125,7 +126,8 @@ def write_streams(lines: DataFrame, root: str, name: str = "export", parts: int
     held = lines.where("target IS NOT NULL").select("target", "place", "line")
     if parts is None:
         parts = max(1, -(-(held.agg(F.sum(F.octet_length("line"))).first()[0] or 0) // PART_BYTES))
-    dealt = held.repartitionByRange(parts, "target", "place").sortWithinPartitions("target", "place")
+    cut = F.col("place") if whole is None else F.when(~F.col("target").rlike(whole), F.col("place"))
+    dealt = held.repartitionByRange(parts, F.col("target"), cut).sortWithinPartitions("target", "place")
     return stash(dealt.select("target", "line").mapInArrow(run, "file string, entries long, bytes long"), "zips")
 
 
