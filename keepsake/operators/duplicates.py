@@ -8,6 +8,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from keepsake.tables import stash
 
 from . import graph
 
@@ -98,6 +101,11 @@ def _masks(bits: int, most: int) -> list[int]:
     return [sum(1 << i for i in at) for n in range(most + 1) for at in itertools.combinations(range(bits), n)]
 
 
+#: One in how many of all pairs may meet in bands; prints of a block; tasks up to which each has one pair of blocks, and
+#: rows that one takes beyond; rows that are compared with a block at once, and pairs that are handed on at once.
+MET, BLOCK, TASKS, ROWS_EACH, ROWS_AT_ONCE, PAIRS_AT_ONCE = 16, 8192, 1000, 32_768, 32, 100_000
+
+
 def near_pairs(prints: DataFrame, node: str, distance: int = 6, least_sd: float = 12.0, mean_gap: float = 26.0, width: int = 64, most_probes: int = 512) -> DataFrame:
     """(a, b, distance): pairs within `distance` bits, both with an sd of least_sd or more, means at most
     mean_gap apart.
@@ -105,7 +113,8 @@ def near_pairs(prints: DataFrame, node: str, distance: int = 6, least_sd: float
     Cut into m bands, two such prints differ by at most distance / m bits (rounded down) in one band at
     least. Bands are join keys; one side asks for all values so near to its own. The fewest, and so
     widest, bands are taken that cost at most most_probes such values a print (four of 16 bits for
-    six bits). A pair counts in the first band where it is so near, so no distinct is needed."""
+    six bits). A pair counts in the first band where it is so near, so no distinct is needed. Where bands are so
+    narrow that more than one in MET of all pairs would meet, blocks of prints are compared instead."""
 
     def cut(m: int) -> tuple[list[int], list[list[int]]]:
         at = [round(i * width / m) for i in range(m + 1)]
@@ -121,6 +130,8 @@ def near_pairs(prints: DataFrame, node: str, distance: int = 6, least_sd: float
         return F.shiftrightunsigned(F.shiftleft(c, left) if left else c, left + at[i])
 
     rich = prints.where(F.col("sd") >= least_sd).select(F.col(node).alias("id"), "bits", "mean")
+    if sum(len(m) / 2 ** (at[i + 1] - at[i]) for i, m in enumerate(masks)) > 1 / MET:
+        return _pairs_of_blocks(rich, distance, mean_gap)
     held = rich.select("*", F.posexplode(F.array(*(band(F.col("bits"), i) for i in range(bands)))).alias("band", "part"))
 
     def around(i: int) -> Column:
@@ -137,6 +148,62 @@ def near_pairs(prints: DataFrame, node: str, distance: int = 6, least_sd: float
     return close.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.bit_count(differ).cast("long").alias("distance"))
 
 
+def _pairs_of_blocks(rich: DataFrame, distance: int, mean_gap: float) -> DataFrame:
+    """The pairs of rich(id, bits, mean) by comparing all: prints are dealt to blocks of about BLOCK, each pair of
+    blocks meets in one task, and a task holds two blocks, whatever their number."""
+    rich = stash(rich.dropna(), "prints")
+    n = rich.count()
+    blocks = max(1, -(-n // BLOCK))
+    tasks = min(blocks * (blocks + 1) // 2, max(TASKS, -(-n * blocks // ROWS_EACH)))
+    own = F.pmod(F.xxhash64("id", "bits", "mean"), F.lit(blocks)).cast("int")
+    sent = rich.withColumn("own", own).select("id", "bits", "mean", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    met = sent.select("id", "bits", "mean", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    kind = rich.schema["id"].dataType
+
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        names, arrow = ["a", "b", "distance"], to_arrow_type(kind)
+
+        def met_in(rows, x: int, y: int):
+            of = lambda k: rows.filter(pc.equal(rows["own"], k)).combine_chunks()
+            left, right = of(x), of(y)
+            lb, rb = (t["bits"].to_numpy().view(np.uint64) for t in (left, right))
+            lm, rm = (t["mean"].to_numpy() for t in (left, right))
+            for at in range(0, len(lb), ROWS_AT_ONCE):
+                far = np.bitwise_count(lb[at : at + ROWS_AT_ONCE, None] ^ rb[None, :])
+                i, j = np.divmod(np.flatnonzero(far <= distance), len(rb)) if len(rb) else np.nonzero(far)
+                with np.errstate(invalid="ignore"):
+                    kept = np.abs(lm[i + at] - rm[j]) <= mean_gap
+                kept &= (x != y) | (i + at < j)
+                i, j = i[kept], j[kept]
+                for k in range(0, len(i), PAIRS_AT_ONCE):
+                    ii, jj = i[k : k + PAIRS_AT_ONCE], j[k : k + PAIRS_AT_ONCE]
+                    p, q = (t["id"].take(pa.array(where)).combine_chunks() for t, where in ((left, ii + at), (right, jj)))
+                    earlier, apart = pc.less(p, q), pc.not_equal(p, q)
+                    pairs = [pc.if_else(earlier, p, q), pc.if_else(earlier, q, p), pa.array(far[ii, jj].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays([c.cast(t).filter(apart) for c, t in zip(pairs, (arrow, arrow, pa.int64()), strict=True)], names=names)
+
+        held, now = [], None
+        for batch in batches:
+            xs, ys = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+            cuts = np.flatnonzero((np.diff(xs) != 0) | (np.diff(ys) != 0)) + 1
+            for begin, end in itertools.pairwise([0, *cuts.tolist(), len(xs)]):
+                if begin < end and (key := (int(xs[begin]), int(ys[begin]))) != now:
+                    if held:
+                        yield from met_in(pa.Table.from_batches(held), *now)
+                    held, now = [], key
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from met_in(pa.Table.from_batches(held), *now)
+
+    out = StructType([StructField("a", kind), StructField("b", kind), StructField("distance", LongType())])
+    return met.repartition(tasks, "x", "y").sortWithinPartitions("x", "y").mapInArrow(compare, out)
+
+
 def near_groups(pairs: DataFrame) -> DataFrame:
     """Groups around seeds, in order of id."""
     return graph.seed_groups(pairs)
