@@ -147,14 +147,17 @@ def fit_series(files: DataFrame) -> DataFrame:
     alone where there is one. Of columns that tell the same measure (average, max, min) the first
     average stays, without one the first column. Order within a source's measure is by file and row."""
     fit = _like(files, r"(?i)(^|/)fit/.*\.csv$").where(~F.col("path").rlike("(?i)/activities/")).withColumn("_daily", F.col("path").rlike(r"(?i)daily\s*summar"))
-    daily = fit.groupBy("source_id").agg(F.bool_or("_daily").alias("_any"))
-    rows = _csv_sections(fit.join(daily, "source_id").where("_daily OR NOT _any"))
+    daily = fit.where("_daily")
+    # contents stream past the sources that have a summary; a merge would sort them
+    alone = fit.where(~F.col("_daily")).join(daily.select("source_id").distinct().hint("shuffle_hash"), "source_id", "left_anti")
+    rows = _csv_sections(daily.unionByName(alone))
     dated = rows.select("source_id", "path", "row_no", formats.under(F.col("header"), F.col("r"), "(?i)^(date|start ?time)$").alias("date"), "header", F.posexplode("r").alias("col_no", "value")).where("date IS NOT NULL")
     label = F.trim(F.get("header", F.col("col_no")))
     stem = F.trim(F.lower(F.regexp_replace(F.regexp_replace("label", FIT_WORDS, ""), FIT_UNIT, "")))
     number = F.col("value").try_cast("double")
     points = dated.withColumn("label", label).where(~F.col("label").rlike(FIT_TIMES) & (F.abs(number) < float("inf"))).withColumn("stem", stem)
-    named = points.groupBy("source_id", "stem", "label").agg(F.min(F.struct("path", "col_no")).alias("_at"))
+    columns = points.select("source_id", "stem", "label", "path", "col_no").distinct()  # hashed, so that few are left to sort
+    named = columns.groupBy("source_id", "stem", "label").agg(F.min(F.struct("path", "col_no")).alias("_at"))
     average = F.when(F.col("label").rlike("(?i)^average"), F.col("_at"))
     best = named.groupBy("source_id", "stem").agg(F.coalesce(F.min_by("label", average), F.min_by("label", "_at")).alias("label"), F.min("_at.path").alias("_file"))
     kept = points.join(best, ["source_id", "stem", "label"])
